@@ -15,32 +15,99 @@ PIECES = "start long, length long, token_ids binary, doc_tokens long, sequence_i
 OUTPUTS = ["start", "length", "token_ids", "doc_tokens", "sequence_id", "offset", "sequence_tokens"]
 
 
-class Encoder:
-    """Whole texts to token ids.
+def gathered(flat, start, length):
+    """The runs flat[start : start + length], one after another."""
+    import numpy as np
 
-    The tokenizer drops white space and never joins across it, so a text's ids are
-    those of its space-separated chunks; each distinct chunk is encoded once and
-    kept in a table of bounded size.
-    """
+    ends = np.cumsum(length)
+    n = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(n, len(flat)) < 1 << 31 else np.int64
+    at = np.repeat((start - (ends - length)).astype(kind), length)
+    at += np.arange(n, dtype=kind)
+    return flat.take(at)
 
-    def __init__(self, path: str, end_id: int, most: int = 400_000):
-        from tokenizers import Tokenizer
 
-        self.tokenizer, self.end, self.most, self.known = Tokenizer.from_file(path), [end_id], most, {"": ()}
+class Encoder:
+    """Whole texts to token ids.
 
-    def __call__(self, text: str | None):
-        import array
-        import itertools
+    The tokenizer drops white space, folds case and never joins across white space
+    or between a letter and the punctuation after it.  So of a batch of texts each
+    distinct chunk between spaces is encoded once, the punctuation that ends it
+    apart from its word, and the ids are laid out by numpy.
+    """
 
-        chunks = (text or "").replace("\n", " ").split(" ")
-        new = [c for c in set(chunks) if c not in self.known]
-        if new:
-            if len(self.known) + len(new) > self.most:
-                self.known = {"": ()}
-                new = list(set(chunks) - {""})
-            for c, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                self.known[c] = tuple(e.ids)
-        return array.array("I", itertools.chain(itertools.chain.from_iterable(map(self.known.__getitem__, chunks)), self.end))
+    SPLIT = r"^(?P<core>[a-z\x{df}-\x{f6}\x{f8}-\x{ff}]*)(?P<tail>[!-&(-/:-@\[-`{-~]*)$"  # letters, then ASCII punctuation but the apostrophe
+    MARK = "\x1f"  # a token of its own between chunks that are encoded in one call
+
+    def __init__(self, path: str, end_id: int):
+        import numpy as np
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.full, self.plain, self.end_id = Tokenizer.from_file(path), Tokenizer.from_file(path), end_id
+        # words of lower-case letters need no normalising, and only spaces part them
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocab = self.full.get_vocab()
+        self.word_end = np.zeros(max(vocab.values()) + 1, bool)
+        self.word_end[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+        self.mark = self.full.encode(self.MARK, add_special_tokens=False).ids[0]
+
+    def _words(self, words: list[str], n: int = 20_000):
+        """(ids, how many of each) of words of lower-case letters."""
+        import numpy as np
+
+        got = [np.array(self.plain.encode_batch_fast([" ".join(words[i : i + n])], add_special_tokens=False)[0].ids, np.uint32) for i in range(0, len(words), n)]
+        ids = np.concatenate([np.empty(0, np.uint32), *got])
+        return ids, np.diff(np.flatnonzero(self.word_end[ids]) + 1, prepend=0)
+
+    def _chunks(self, chunks: list[str], n: int = 2_000):
+        """(ids, how many of each) of any chunks."""
+        import numpy as np
+
+        ids, sizes = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        for i in range(0, len(chunks), n):
+            part = chunks[i : i + n]
+            if any(self.MARK in c for c in part):
+                each = [e.ids for e in self.full.encode_batch_fast(part, add_special_tokens=False)]
+                ids.append(np.array([x for e in each for x in e], np.uint32))
+                sizes.append(np.array([len(e) for e in each], np.int64))
+                continue
+            got = np.array(self.full.encode_batch_fast(["".join(f"{c} {self.MARK} " for c in part)], add_special_tokens=False)[0].ids, np.uint32)
+            marks = got == self.mark
+            ids.append(got[~marks])
+            sizes.append(np.diff(np.flatnonzero(marks), prepend=-1) - 1)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def __call__(self, texts: pa.Array):
+        """(ids of all texts, where each text's ids begin and the last end)."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        texts = pa.array([t or "" for t in texts.to_pylist()], pa.large_string())
+        lists = pc.split_pattern(pc.replace_substring(pc.ascii_lower(texts), "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        chunks = coded.dictionary
+        both = pc.extract_regex(chunks, self.SPLIT)
+        easy = both.is_valid()
+        core, tail = pc.if_else(easy, pc.struct_field(both, "core"), chunks), pc.fill_null(pc.struct_field(both, "tail"), "")
+        core, tail = core.cast(pa.large_string()), tail.cast(pa.large_string())
+        words = core.filter(pc.and_(easy, pc.not_equal(core, ""))).unique()
+        rest = pa.concat_arrays([core.filter(pc.invert(easy)), tail.filter(pc.not_equal(tail, ""))]).unique()
+        (a, n_a), (b, n_b) = self._words(words.to_pylist()), self._chunks(rest.to_pylist())
+        # one list of parts: words, rest, the empty chunk and the end id
+        flat, size = np.concatenate([a, b, np.array([self.end_id], np.uint32)]), np.concatenate([n_a, n_b, [0, 1]])
+        start = np.cumsum(size) - size
+        parts = pa.concat_arrays([words, rest, pa.array([""], pa.large_string())])
+        two = np.stack([pc.index_in(core, parts).to_numpy(), pc.index_in(tail, parts).to_numpy()], 1).ravel().astype(np.int64)
+        by_chunk = gathered(flat, start[two], size[two])
+        n_chunk = size[two].reshape(-1, 2).sum(1)
+        by_chunk, n_chunk = np.append(by_chunk, np.uint32(self.end_id)), np.append(n_chunk, 1)
+        begin = np.cumsum(n_chunk) - n_chunk
+        which, at = coded.indices.to_numpy().astype(np.int64), lists.offsets.to_numpy()
+        which = np.insert(which, at[1:] - at[0], len(n_chunk) - 1)  # the end id after each text
+        n_each = n_chunk[which]
+        cuts = np.concatenate([[0], np.cumsum(n_each)])[at - at[0] + np.arange(len(at))]
+        return gathered(by_chunk, begin[which], n_each).astype("<u4"), cuts
 
 
 class Bins:
@@ -132,21 +199,30 @@ def packed(docs: DataFrame, *, tokenizer_path: str, end_id: int = 2, text_col: s
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), kinds, strict=True)], names=["_row", *OUTPUTS, "_open", "_group"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import pyarrow.compute as pc
+
         encode, bins, group = Encoder(tokenizer_path, end_id), Bins(window, n_open, cut), TaskContext.get().partitionId()
         held: dict[int, tuple] = {}
         n_doc, first, row_type = 0, group << 36, None
         for batch in batches:
             row_type = batch.schema.field("_row").type
-            for whole, text in zip(batch.column("_row").to_pylist(), batch.column("_text"), strict=True):
-                ids = encode(text.as_py())
-                held[n_doc] = (whole, 0, len(ids), ids.tobytes())
-                bins.place(len(ids), (n_doc, 0))
-                n_doc += 1
-            yield from chunks(windows(bins.done, held, first, False, group), row_type)
-            first += len(bins.done)
-            bins.done = []
-            still = {p[0] for b in bins.bins for p in b[1]}
-            held = {k: v for k, v in held.items() if k in still}  # only what lies in an open window stays in memory
+            at, bytes_to = 0, np.cumsum(pc.fill_null(pc.binary_length(batch.column("_text")), 0).to_numpy())
+            while at < batch.num_rows:  # slices of about 32 MB of text
+                n = max(1, int(np.searchsorted(bytes_to, (bytes_to[at - 1] if at else 0) + (32 << 20), "right")) - at)
+                part, at = batch.slice(at, n), at + n
+                ids, cuts = encode(part.column("_text"))
+                for i, whole in enumerate(part.column("_row").to_pylist()):
+                    own = ids[cuts[i] : cuts[i + 1]]
+                    held[n_doc] = (whole, 0, len(own), own.tobytes())
+                    bins.place(len(own), (n_doc, 0))
+                    n_doc += 1
+                    if n_doc % 128 == 0 or i + 1 == n:
+                        yield from chunks(windows(bins.done, held, first, False, group), row_type)
+                        first += len(bins.done)
+                        bins.done = []
+                        still = {p[0] for b in bins.bins for p in b[1]}
+                        held = {k: v for k, v in held.items() if k in still}  # only what lies in an open window stays in memory
         if row_type is not None:
             left = bins.close()
             yield from chunks(windows(bins.done, held, first, False, group), row_type)
