@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from sessionloom.llm import decontamination, packing
+from sessionloom.llm import decontamination, packing, quality_compression, quality_rules
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_packing": packing.op2_packing,
+    "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op10_quality_classifier": quality_compression.op10_quality_classifier,
 }
 
 ORACLES = {"op1_decontamination": decontamination.OP1_SQL}
