@@ -1,0 +1,30 @@
+"""Connected components of a table of links."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sessionloom.llm.common import written
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(id, component): for every id in ``links`` (a, b) a name of its component, one of its ids.
+
+    Rounds of contraction: each node joins the neighbour (or itself) whose hash for
+    the round is least, and links between joined nodes vanish.  Random ranks shrink
+    even long chains by a constant share a round; each round is written out.
+    """
+    edges = written(links.filter("a != b").select("a", "b").distinct(), "links")
+    names = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().withColumn("component", F.col("id"))
+    round_no = 0
+    while edges.limit(1).count():
+        rank = lambda c, r=round_no: F.struct(F.xxhash64(F.lit(r), c).alias("r"), F.col(c).alias("v"))
+        both = edges.select("a", "b").union(edges.select("b", "a"))
+        to = both.groupBy("a").agg(F.least(F.min(rank("b")), F.min(rank("a")))["v"].alias("to"))
+        to = written(to, "contract")
+        names = written(names.join(to, names["component"] == to["a"], "left").select("id", F.coalesce("to", "component").alias("component")), "components")
+        step = edges.join(to.select(F.col("a").alias("_a"), F.col("to").alias("_ta")), F.col("a") == F.col("_a")).join(to.select(F.col("a").alias("_b"), F.col("to").alias("_tb")), F.col("b") == F.col("_b"))
+        edges = written(step.filter("_ta != _tb").select(F.least("_ta", "_tb").alias("a"), F.greatest("_ta", "_tb").alias("b")).distinct(), "links")
+        round_no += 1
+    return names

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from sessionloom.llm import decontamination, packing, quality_compression, quality_rules, secrets, sharding, url_filters
+from sessionloom.llm import decontamination, jaccard_join, packing, quality_compression, quality_rules, secrets, sharding, url_filters
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_packing": packing.op2_packing,
     "op3_secret_scans": secrets.op3_secret_scans,
+    "op6_ngram_jaccard": jaccard_join.op6_ngram_jaccard,
     "op7_sharding": sharding.op7_sharding,
     "op8_url_filters": url_filters.op8_url_filters,
     "op9_quality_rules": quality_rules.op9_quality_rules,
