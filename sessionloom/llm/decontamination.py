@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -177,14 +178,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     nothing.  Input columns named like these outputs are replaced.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(automata(benchmark, item_id_col=item_id_col, item_text_col=item_text_col, window=window, block_words=block_words, max_benchmark_bytes=max_benchmark_bytes))
+    autos = automata(benchmark, item_id_col=item_id_col, item_text_col=item_text_col, window=window, block_words=block_words, max_benchmark_bytes=max_benchmark_bytes)
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(autos))  # with its class, which executors need not have
     kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([(k, pa.int64()) for k in ("word_start", "word_end", "byte_start", "byte_end")])))])
 
     @F.arrow_udf(RESULT)
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import pickle
         import re
 
-        autos, bytemap, word = shared.value, word_table(), re.compile(rb"[^ ]+")
+        autos, bytemap, word = pickle.loads(shared.value), word_table(), re.compile(rb"[^ ]+")
         for batch in batches:
             out = []
             for value in batch:
