@@ -44,10 +44,11 @@ def pooled_rows(frames: list[tuple], state: list | None, max_bytes: int, max_ms:
     return out, state
 
 
-def pooled(frames: DataFrame, *, max_bytes: int = 262_144, max_ms: int = 10_000) -> DataFrame:
+def pooled(frames: DataFrame, *, max_bytes: int = 262_144, max_ms: int = 10_000, watermark: str = "10 seconds") -> DataFrame:
     """Frames of a session joined into chunks: flushed at ``max_bytes``, at a frame ``max_ms`` after the first, or at the end.
 
-    A stream keeps the open pool as state and flushes it when its timer runs out.
+    A stream keeps the open pool as state and flushes it when the watermark has passed
+    its first frame by ``max_ms``.
     """
 
     def rows(session: int, chunks: list[tuple]) -> pd.DataFrame:
@@ -73,12 +74,14 @@ def pooled(frames: DataFrame, *, max_bytes: int = 262_144, max_ms: int = 10_000)
         out, pool = pooled_rows(ordered(new), pool, max_bytes, max_ms, False)
         if pool:
             state.update(tuple(pool))
-            state.setTimeoutDuration(max_ms)
+            due = int(pd.Timestamp(pool[0]).timestamp() * 1000) + max_ms
+            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
         yield rows(key[0], out)
 
-    return frames.groupBy("session_id").applyInPandasWithState(step, CHUNK, "captured_at timestamp, last long, first long, n long, pcm binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = frames.withWatermark("captured_at", watermark)
+    return timed.groupBy("session_id").applyInPandasWithState(step, CHUNK, "captured_at timestamp, last long, first long, n long, pcm binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def progress(frames: DataFrame) -> DataFrame:
