@@ -1,0 +1,282 @@
+"""The training-data operators: edge cases, and brute force on small seeded texts."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from sessionloom.llm import common, decontamination, jaccard_join, packing, quality_compression, quality_rules, secrets, sharding, suffix_dedup, url_filters
+from sessionloom.llm.components import components
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words long, spans string, shard string, host string, score string"
+
+
+def texts(seed, n=60):
+    """Short texts with copies, near copies, shared passages and repeated words."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdeé") for _ in range(r.randint(1, 4)))
+    passage = " ".join(word() for _ in range(25))
+    out = []
+    for _ in range(n):
+        kind = r.random()
+        if out and kind < 0.2:
+            t = r.choice(out)
+        elif out and kind < 0.5:
+            w = r.choice(out).split(" ")
+            for _ in range(max(1, len(w) // 60)):
+                w[r.randrange(len(w))] = word()
+            t = " ".join(w)
+        else:
+            t = " ".join(word() for _ in range(r.randint(0, 120)))
+            if r.random() < 0.4:
+                t += "\n" + passage
+        out.append(t)
+    return out
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), 1, "x", "y", "z", "q") for i, t in rows], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def edge(spark):
+    """Nulls, empty and long texts, ties and repeated rows, columns that clash."""
+    long = " ".join(f"w{i % 997}" for i in range(30_000))
+    return frame(spark, [(1, "one two three four five six"), (2, None), (3, ""), (None, "no id here"), (5, "tie tie tie"), (5, "tie tie tie"), (6, long), (7, long), (8, " \n\t ")])
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return frame(spark, [])
+
+
+@pytest.fixture(scope="module")
+def benchmark(spark):
+    return spark.createDataFrame([(1, "three four"), (2, None), (3, ""), (None, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11"), (4, "One, TWO")], "item_id long, text string")
+
+
+def test_decontamination_edges(edge, nothing, benchmark):
+    got = decontamination.contamination(edge, benchmark).collect()
+    assert len(got) == 9
+    one = next(r for r in got if r["doc_id"] == 1)
+    assert (one["n_words"], one["n_hit"], one["item_ids"]) == (6, 4, ["1", "4"])
+    assert [r["n_words"] for r in got if r["text"] is None] == [0]
+    assert all(r["item_ids"] == ["null"] for r in got if r["doc_id"] in (6, 7))
+    assert decontamination.contamination(nothing, benchmark).count() == 0
+    assert decontamination.contamination(edge, benchmark.limit(0)).filter("n_hit > 0").count() == 0
+    left = decontamination.decontaminated(edge, benchmark, max_coverage=0.9)
+    assert left.columns == edge.columns and left.filter("doc_id = 1").first()["text"] == " five six"
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_decontamination_brute_force(seed):
+    r = random.Random(seed)
+    items = [(str(i), [r.choice("abc").encode() for _ in range(r.randint(1, 30))]) for i in range(12)]
+    auto = decontamination.Automaton(items, 10)
+    for _ in range(60):
+        words = [r.choice("abcd").encode() if r.random() < 0.8 else b"zz" for _ in range(r.randint(0, 60))]
+        if r.random() < 0.7:
+            w = r.choice(items)[1]
+            at = r.randrange(len(w))
+            words[3:3] = w[at : at + r.randint(1, 30)]
+        hit, names = set(), set()
+        for name, w in items:
+            k = min(10, len(w))
+            grams = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+            for i in range(len(words) - k + 1):
+                if tuple(words[i : i + k]) in grams:
+                    hit.update(range(i, i + k))
+                    names.add(name)
+        found, got = auto.hits(words)
+        assert got == names and {i for s, e in found for i in range(s, e)} == hit
+
+
+def test_packing(spark, edge, nothing):
+    from tokenizers import Tokenizer
+
+    path = packing.word_tokenizer()
+    enc = Tokenizer.from_file(path)
+    rows = list(enumerate(texts(5))) + [(100, "don't İx é ﬁ <|endoftext|> \x1f a.'s"), (101, None)]
+    docs = frame(spark, rows).repartition(5)
+    got = packing.packed(docs, tokenizer_path=path, window=256, n_open=3, fan_in=2).collect()
+    want = {i: enc.encode(t or "", add_special_tokens=False).ids + [2] for i, t in rows}
+    have = collections.defaultdict(dict)
+    for p in got:
+        ids = [int.from_bytes(p["token_ids"][k : k + 4], "little") for k in range(0, len(p["token_ids"]), 4)]
+        assert len(ids) == p["length"]
+        have[p["doc_id"]][p["start"]] = ids
+    assert {i: sum((v[k] for k in sorted(v)), []) for i, v in have.items()} == want
+    by = collections.defaultdict(list)
+    for p in got:
+        by[p["sequence_id"]].append((p["offset"], p["length"], p["sequence_tokens"]))
+    for pieces in by.values():
+        pieces.sort()
+        assert all(o == sum(x[1] for x in pieces[:i]) for i, (o, _, _) in enumerate(pieces))
+        assert sum(x[1] for x in pieces) == pieces[0][2] <= 256
+    assert sum(p[0][2] < 256 for p in by.values()) <= 1
+    uncut = packing.packed(docs, tokenizer_path=path, window=256, n_open=3, cut=False).groupBy("doc_id").count()
+    assert uncut.filter("count = 1").count() > 40
+    assert packing.packed(edge, tokenizer_path=path).select("doc_id").distinct().count() == 8
+    assert packing.packed(nothing, tokenizer_path=path).count() == 0
+
+
+PATTERNS = [("assign", re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 1, 12), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 18), ("hex", re.compile("[0-9a-f]+"), 0, 16)]
+
+
+def test_secrets(spark, edge, nothing):
+    r = random.Random(4)
+    bits = ["token=secret:", 'Password = "', "api_key:'", "AKIA", "0123456789abcdef", "deadbeef", "é", "\n", " ", "ABCDEFGH12345678", "x=", "passwd==", "-_-", "ſecret=abcdefghijklmnop "]
+    rows = [(i, "".join(r.choice(bits) for _ in range(r.randint(0, 25)))) for i in range(120)]
+    got = {x["doc_id"]: x["secret_spans"] for x in secrets.secret_spans(frame(spark, rows)).collect()}
+    for i, t in rows:
+        want = sorted((m.start(), k, m.end()) for k, (_, p, g, n) in enumerate(PATTERNS) for m in p.finditer(t) if len(m[g]) >= n)
+        assert [(s["start"], s["end"], s["kind"]) for s in got[i] if s["kind"] != "random"] == [(a, e, PATTERNS[k][0]) for a, k, e in want]
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    keys = [(i, "see " + "".join(r.choice(alphabet) for _ in range(40))) for i in range(300)]
+    flat = [(i + 300, "see aaaa1aaaabbbbaaaaccccaaaabbbbaaaa") for i in range(300)]
+    found = secrets.secret_spans(frame(spark, keys + flat)).filter(F.exists("secret_spans", lambda s: s["kind"] == "random")).select("doc_id").collect()
+    ids = {x["doc_id"] for x in found}
+    assert len([i for i in ids if i < 300]) >= 210 and not [i for i in ids if i >= 300]
+    clean = secrets.redacted(frame(spark, [(1, 'a token = "0123456789abcdef0" b'), (2, None), (3, "plain")]))
+    assert clean.columns == edge.columns
+    assert [x["text"] for x in clean.orderBy("doc_id").collect()] == ["a [SECRET]\" b", None, "plain"]
+    assert secrets.secret_spans(edge).count() == 9 and secrets.secret_spans(nothing).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_suffix_dedup(spark, seed):
+    rows = list(enumerate(texts(seed)))
+    seen, want = {}, {}
+    for i, t in rows:
+        b = t.encode()
+        cover = bytearray(len(b))
+        grams = [b[k : k + 50] for k in range(len(b) - 49)]
+        for k, g in enumerate(grams):
+            if g in seen:
+                cover[k : k + 50] = b"\1" * 50
+        for g in grams:
+            seen.setdefault(g, i)
+        want[i] = bytes(c for c, x in zip(b, cover, strict=True) if not x), sum(1 for k, x in enumerate(cover) if x and (k == 0 or not cover[k - 1]))
+    got = suffix_dedup.repeats_removed(frame(spark, rows).repartition(4), block_bytes=4000, bucket_bytes=2000).collect()
+    assert {r["doc_id"]: (bytes(r["kept"]), len(r["spans"])) for r in got} == want
+
+
+def test_suffix_dedup_edges(edge, nothing):
+    got = suffix_dedup.repeats_removed(edge).collect()
+    assert len(got) == 9
+    assert {r["doc_id"]: r["n_removed"] for r in got if r["doc_id"] in (6, 7)}[6] < {r["doc_id"]: r["n_removed"] for r in got if r["doc_id"] == 7}[7] == next(r for r in got if r["doc_id"] == 7)["n_bytes"]
+    assert suffix_dedup.repeats_removed(nothing).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_jaccard_join(spark, seed):
+    rows = list(enumerate(texts(seed, 80)))
+    sets = {}
+    for i, t in rows:
+        w = t.lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    root = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = root[a], root[b]
+                root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
+    got = jaccard_join.near_duplicates(frame(spark, rows).repartition(4)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (len(sets[i]), root[i]) for i in sets}
+
+
+def test_jaccard_join_edges(edge, nothing):
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(edge).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, None: None, 5: 5, 6: 6, 7: 6, 8: 8}
+    assert jaccard_join.one_of_each(edge).count() == 8
+    assert jaccard_join.near_duplicates(nothing).count() == 0
+
+
+def test_components_of_a_long_chain(spark):
+    links = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).filter("a % 100 != 99")
+    got = components(links).groupBy("component").agg(F.min("id"), F.count("*")).collect()
+    assert sorted((r[1], r[2]) for r in got) == [(0, 100), (100, 100), (200, 100)]
+
+
+def test_sharding(spark, edge, nothing):
+    rows = spark.range(5000).select(F.col("id").alias("doc_id"))
+    got = sharding.sharded(rows, sharding.tree(16), grown=sharding.tree(17)).collect()
+    assert {r["grown_shard"] for r in got if r["shard"] != r["grown_shard"]} == {16}
+    for s in range(16):
+        slots = sorted(r["slot"] for r in got if r["shard"] == s)
+        assert slots == list(range(len(slots))) and 200 < len(slots) < 430
+    heavy = sharding.sharded(rows, sharding.tree(16, weights={3: 4.0})).groupBy("shard").count().filter("shard = 3").first()["count"]
+    assert 800 < heavy < 1300
+    assert sharding.sharded(edge.select("doc_id", "text", "shard"), sharding.tree(4)).count() == 9
+    assert sharding.sharded(nothing.select("doc_id", "text"), sharding.tree(4)).count() == 0
+
+
+def test_url_filters(spark):
+    urls = [None, "no scheme", "http://a.EXAMPLE.com/en/7?x", "http://example.com/en/8", "http://x.net/de/1", "http://example.net/de/81#t", "http://q.org/es/", "http://notcom/en/", "http://bad.test/spam/123", "http://good.test/news/9"]
+    df = spark.createDataFrame([(i, u, "h", "v") for i, u in enumerate(urls)], "page_id long, url string, host string, verdict string")
+    marks = spark.createDataFrame([(f"http://bad.test/spam/{i}", 0) for i in range(40)] + [(f"http://good.test/news/{i}", 1) for i in range(90)] + [("http://bad.test/ok/1", 1)] * 20, "url string, label int")
+    got = {r["page_id"]: r for r in url_filters.url_verdicts(df, marks, rules=url_filters.RULES).collect()}
+    assert [(got[i]["rule"], got[i]["verdict"]) for i in range(10)] == [(None, "allow"), (None, "allow"), ("example.com/en/7", "allow"), ("com/en/", "block"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"), (None, "allow"), (None, "block"), (None, "allow")]
+    assert (got[0]["host"], got[0]["path"], got[2]["host"], got[2]["path"]) == ("", "", "a.example.com", "/en/7")
+    assert url_filters.url_verdicts(df.limit(0), marks).count() == 0
+    assert url_filters.url_verdicts(df, marks.limit(0)).filter("verdict = 'block'").count() == 0
+
+
+def test_quality_rules(spark, edge, nothing):
+    rows = [(i, t + "\n#x#x | a\n\n" + t[:30] + "\n" + t[:30]) for i, t in enumerate(texts(9))] + [(99, "é x \x0b y")]
+    model = quality_rules.fit([])
+    for r in quality_rules.quality_rules(frame(spark, rows), model).collect():
+        t = r["text"]
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        three = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        again = {j for i in range(len(w) - 2) if three[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(again))
+    assert quality_rules.quality_rules(edge, model).count() == 9 and quality_rules.quality_rules(nothing, model).count() == 0
+
+
+def area(pairs):
+    good, bad = ([s for s, q in pairs if q == k] for k in (1, 0))
+    return sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad))
+
+
+def test_classifiers_on_held_out_labels(spark, sf):
+    big = sf.replace("sf0.001", "sf0.01")
+    labels = {r["doc_id"]: r["quality"] for r in common.table(spark, big, "labels").collect()}
+    ten = quality_compression.op10_quality_classifier(spark, big).collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in ten)
+    assert area([(r["score"], labels[r["doc_id"]]) for r in ten if r["held_out"] and r["doc_id"] in labels]) > 0.9
+    nine = quality_rules.op9_quality_rules(spark, big).collect()
+    assert area([(r["quality_score"], labels[r["doc_id"]]) for r in nine if r["doc_id"] in labels and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]) > 0.85
+
+
+def test_compression_edges(edge, nothing):
+    model = quality_compression.fit([])
+    got = quality_compression.compression_quality(edge, model).collect()
+    assert [r["score"] for r in got] == [0.5] * 9
+    assert quality_compression.compression_quality(nothing, model).count() == 0
+
+
+def test_digest_is_of_sorted_strings(spark, sf):
+    got = decontamination.op1_decontamination(spark, sf).filter("n_items = 0").first()
+    assert got["items_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_pipeline(spark, sf):
+    import corpus_pipeline
+
+    docs = common.table(spark, sf, "documents")
+    before = set(docs.columns)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.written(stage(spark, docs, sf), name)
+        assert set(docs.columns) == before
+    kept = {r["doc_id"] for r in docs.select("doc_id").collect()}
+    assert 0 < len(kept) < 200
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert {r["doc_id"] for r in pieces.select("doc_id").collect()} == kept
+    assert decontamination.contamination(docs, common.table(spark, sf, "benchmark")).filter("n_hit > 0").count() == 0
+    assert docs.filter("text like '%[SECRET]%'").count() > 0
