@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from sessionloom.llm import decontamination, jaccard_join, packing, quality_compression, quality_rules, secrets, sharding, suffix_dedup, url_filters
+from sessionloom.llm import decontamination, jaccard_join, packing, quality_compression, quality_rules, secrets, sharding, suffix_dedup, token_counts, url_filters
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_packing": packing.op2_packing,
     "op3_secret_scans": secrets.op3_secret_scans,
+    "op4_token_counts": token_counts.op4_token_counts,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_ngram_jaccard": jaccard_join.op6_ngram_jaccard,
     "op7_sharding": sharding.op7_sharding,
