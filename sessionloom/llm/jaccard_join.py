@@ -14,6 +14,7 @@ from sessionloom.llm.textvec import Hasher, Texts, mixed, slices
 
 SKETCH_BITS = 18
 ORDERS = 3
+CELLS = 128  # counters of a set's count sketch
 
 
 def shingle_sets(texts: list[bytes], hasher: Hasher, k: int) -> list:
@@ -55,6 +56,14 @@ def ordered(s, classes, order: int, n: int):
     return s[np.lexsort((mixed(s ^ seed), classes[s >> np.uint64(64 - SKETCH_BITS)]))[:n]]
 
 
+def cell_counts(s) -> bytes:
+    """How many tokens fall in each of CELLS hash cells; empty for a set too large for one-byte counters."""
+    import numpy as np
+
+    counts = np.bincount(((s >> np.uint64(20)) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+
+
 def frequency_classes(docs: DataFrame, text_col: str, k: int):
     """A class for each of 2**18 hash cells: 0 for cells of usual weight, more for those that frequent shingles weigh down.
 
@@ -112,103 +121,128 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = spark.sparkContext.broadcast(frequency_classes(source, "text", k))
     kind = source.schema["id"].dataType.simpleString()
 
-    @F.arrow_udf("n long, h binary, probe array<long>")
+    @F.arrow_udf("n long, h binary, cells binary, probe array<long>")
     def signature(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import hashlib
 
         hasher, cls = Hasher(), classes.value
         for batch in batches:
-            n, h, probe = [], [], []
+            n, h, cells, probe = [], [], [], []
             for _, part in slices(batch.to_pylist()):
                 for s in shingle_sets(part, hasher, k):
                     n.append(len(s))
                     h.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                    cells.append(cell_counts(s))
                     probe.append(ordered(s, cls, 0, prefixes(len(s), percent)[0]).view(np.int64) if len(s) else np.empty(0, np.int64))
             lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(p) for p in probe])]).astype(np.int32), pa.array(np.concatenate([np.empty(0, np.int64), *probe])))
-            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(h, pa.binary()), lists], names=["n", "h", "probe"])
+            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(h, pa.binary()), pa.array(cells, pa.binary()), lists], names=["n", "h", "cells", "probe"])
 
-    @F.arrow_udf("index array<array<long>>, probe array<array<long>>, tokens binary")
-    def whole(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        hasher, cls = Hasher(), classes.value
+    @F.arrow_udf("binary")
+    def shrunk(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import zstandard
+
+        zip_ = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            out = []
-            for _, part in slices(batch.to_pylist()):
-                for s in shingle_sets(part, hasher, k):
-                    probe, index = prefixes(len(s), percent)
-                    orders = [ordered(s, cls, o, probe).view(np.int64).tolist() for o in range(1, ORDERS)]
-                    out.append({"index": [o[:index] for o in orders], "probe": orders, "tokens": s.astype("<u8").tobytes()})
-            yield pa.array(out, pa.struct([("index", pa.list_(pa.list_(pa.int64()))), ("probe", pa.list_(pa.list_(pa.int64()))), ("tokens", pa.binary())]))
+            yield pa.array([zip_(t.as_py().encode()) for t in batch], pa.binary())
 
     @F.arrow_udf("boolean")
-    def linked(a: pa.Array, b: pa.Array) -> pa.Array:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+    def linked(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        import zstandard
+
+        hasher, cls, unzip = Hasher(), classes.value, zstandard.ZstdDecompressor().decompress
+
+        def passes(x, y) -> bool:
+            """x the smaller set: the other orders' prefixes must meet before the sets are compared."""
+            index, probe = prefixes(len(x), percent)[1], prefixes(len(y), percent)[0]
+            if not all(np.isin(ordered(x, cls, o, index), ordered(y, cls, o, probe)).any() for o in range(1, ORDERS)):
+                return False
             common = len(x) + len(y) - len(np.union1d(x, y))
-            out.append(100 * common >= percent * (len(x) + len(y) - common))
-        return pa.array(out, pa.bool_())
+            return 100 * common >= percent * (len(x) + len(y) - common)
+
+        for a, b in batches:
+            for at in range(0, max(len(a), 1), 500):
+                left, right = a[at : at + 500].to_pylist(), b[at : at + 500].to_pylist()
+                texts = list(dict.fromkeys([*left, *right]))
+                sets = {}
+                for first, part in slices([unzip(t).decode() for t in texts]):
+                    sets.update(zip(texts[first : first + len(part)], shingle_sets(part, hasher, k), strict=True))
+                got = [passes(sets[x], sets[y]) for x, y in zip(left, right, strict=True)]
+                out = got if at == 0 else out + got
+            yield pa.array(out, pa.bool_())
 
-    sig = written(source.withColumn("s", signature("text")).select("id", "s.n", "s.h", "s.probe"), "signatures")
+    @F.arrow_udf("boolean")
+    def may_link(a: pa.Array, b: pa.Array) -> pa.Array:
+        """False where the sets can't share enough: they share at most the lesser count of each cell."""
+        out = np.ones(len(a), bool)
+        known = [i for i, (x, y) in enumerate(zip(a.to_pylist(), b.to_pylist(), strict=True)) if x and y]
+        if known:
+            x, y = (np.frombuffer(b"".join(c.take(pa.array(known)).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int32) for c in (a, b))
+            common = np.minimum(x, y).sum(1)
+            out[known] = 100 * common >= percent * (x.sum(1) + y.sum(1) - common)
+        return pa.array(out)
+
+    sig = written(source.withColumn("s", signature("text")).select("id", "s.n", "s.h", "s.cells", "s.probe"), "signatures")
     known = sig.filter("id is not null and n > 0")
-    classes_of = written(known.groupBy("h").agg(F.min("id").alias("rep")), "classes")  # of equal sets
-    reps = known.join(classes_of, (known["h"] == classes_of["h"]) & (known["id"] == classes_of["rep"]), "left_semi").select("id", "n", "probe").dropDuplicates(["id", "n"])
+    equal = known.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("m")).filter("m > 1")
+    equal = written(known.select("id", "h").join(equal, "h").filter("id != rep").select("id", "rep").distinct(), "equal")  # of equal sets all but the least
     n_index = F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + 1
-    sets = written(reps.withColumn("k", n_index.cast("int")), "sets")
-    probe = sets.select("id", "n", F.explode("probe").alias("t"))
-    index = sets.select("id", "n", F.explode(F.expr("slice(probe, 1, k)")).alias("t"))
-    # only tokens that meet: in an index prefix and in another set's probe prefix
+    tokens = known.select("id", "n", n_index.alias("k"), F.posexplode("probe").alias("pos", "t"))
+    probe, index = tokens.select("t", "id", "n", (F.col("pos") < F.col("k")).alias("is_index")), tokens.filter("pos < k").select("t", "id", "n")
+    # only tokens that meet: in an index prefix and in a larger set's probe prefix
     met = index.groupBy("t").agg(F.min(F.struct("n", "id")).alias("hub"))
-    fits = (F.struct("n", "id") > F.struct(F.col("hub.n").alias("n"), F.col("hub.id").alias("id")))
-    shared = written(probe.join(met, "t").filter(fits).select("t", "id", "n", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "shared")
-    tokens = shared.select("t").distinct()
-    index = written(index.join(tokens, "t", "left_semi"), "index")
-
+    larger = F.struct("n", "id") > F.struct(F.col("hub.n").alias("n"), F.col("hub.id").alias("id"))
+    shared = written(probe.join(met, "t").filter(larger).select("t", "id", "n", "is_index", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "shared")
     close = F.col("n_a") * 100 >= percent * F.col("n_b")
-    bodies = None
+    involved = shared.select("id").union(shared.select("hub")).distinct()
+    bodies = written(source.join(involved, "id", "left_semi").select("id", shrunk("text").alias("body")), "bodies")
 
     def checked(pairs: DataFrame) -> DataFrame:
-        """The links among pairs (a, b), a the smaller set: the other orders' prefixes must meet before the sets are compared."""
+        """The links among pairs (a, b), a the smaller set; of equal sets one speaks for all."""
         pairs = pairs.select("a", "b").distinct()
-        left, right = (bodies.select(F.col("id").alias(x), F.col("index" if x == "a" else "probe").alias(f"p_{x}")) for x in "ab")
-        meet = F.lit(True)
-        for o in range(ORDERS - 1):
-            meet = meet & F.arrays_overlap(F.col("p_a")[o], F.col("p_b")[o])
-        pairs = pairs.join(left, "a").join(right, "b").filter(meet).select("a", "b")
-        left, right = (bodies.select(F.col("id").alias(x), F.col("tokens").alias(f"t_{x}")) for x in "ab")
-        return pairs.join(left, "a").join(right, "b").filter(linked("t_a", "t_b")).select("a", "b")
+        for c in "ab":
+            pairs = pairs.join(equal.select(F.col("id").alias(c), F.col("rep").alias(f"r_{c}")), c, "left").withColumn(c, F.coalesce(f"r_{c}", c)).drop(f"r_{c}")
+        pairs = pairs.filter("a != b").distinct()
+        for c in "ab":
+            pairs = pairs.join(known.select(F.col("id").alias(c), F.col("cells").alias(f"cells_{c}")), c)
+        pairs = pairs.filter(may_link("cells_a", "cells_b")).select("a", "b").distinct()
+        for c in "ab":
+            pairs = pairs.join(bodies.select(F.col("id").alias(c), F.col("body").alias(f"body_{c}")), c)
+        return pairs.filter(linked("body_a", "body_b")).select("a", "b")
 
-    involved = shared.select("id").union(shared.select("hub")).distinct()
-    bodies = written(source.join(involved, "id", "left_semi").withColumn("w", whole("text")).select("id", "w.index", "w.probe", "w.tokens"), "bodies")
     first = shared.select(F.col("hub").alias("a"), F.col("id").alias("b"), F.col("hub_n").alias("n_a"), F.col("n").alias("n_b")).filter(close)
-    links = written(checked(first), "links")
+    links = written(checked(first).union(equal.select(F.col("rep").alias("a"), F.col("id").alias("b"))), "links")
     found = components(links)
 
-    def named(postings: DataFrame) -> DataFrame:
-        return postings.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    def named(rows: DataFrame, c: str) -> DataFrame:
+        return rows.join(found.select(F.col("id").alias(c), F.col("component").alias("_c")), c, "left").withColumn(f"c_{c}", F.coalesce("_c", c)).drop("_c")
 
+    open_ = shared
     for round_no in range(1, hub_rounds + 1):
-        # tokens at which different components meet
-        p, i = named(shared.select("t", "id", "n")), named(index.select("t", "id", "n"))
-        open_tokens = p.union(i).groupBy("t").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("t")
-        p, i = written(p.join(open_tokens, "t", "left_semi"), "open"), written(i.join(open_tokens, "t", "left_semi"), "open")
+        # tokens at which different components meet: every set at a token is there next to its hub
+        apart = named(named(open_.select("hub", "id").distinct(), "hub"), "id").filter("c_hub != c_id").select("hub", "id")
+        at = open_.join(apart, ["hub", "id"], "left_semi").select("t").distinct()
+        open_ = written(open_.join(at, "t", "left_semi"), "open")
+        p = named(open_.select("t", "id", "n", "is_index"), "id")
+        i = p.filter("is_index").select("t", "id", "n", "c_id").union(named(open_.select("t", "hub", F.col("hub_n").alias("n")).distinct(), "hub").select("t", "hub", "n", "c_hub"))
         # pairs that are left, counted from above
         size = i.groupBy("t").count().join(p.groupBy("t").agg(F.count("*").alias("m")), "t").agg(F.sum(F.col("count") * F.col("m")), F.sum(F.col("count") + F.col("m"))).first()
-        last = not size[0] or size[0] <= 16 * size[1] or round_no == hub_rounds
-        across = p.select("t", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-        smaller = i.select("t", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
+        if not size[0]:
+            break
+        last = size[0] <= 16 * size[1] or round_no == hub_rounds
+        across = p.select("t", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("c_id").alias("c_b"))
+        smaller = i.select("t", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("c_id").alias("c_a"))
         if not last:
             rank = F.struct(F.xxhash64(F.lit(round_no), "a").alias("r"), "a", "n_a", "c_a")
             smaller = smaller.groupBy("t").agg(F.min(rank).alias("x")).select("t", "x.a", "x.n_a", "x.c_a")
-        pairs = across.join(smaller, "t").filter((F.col("c_a") != F.col("c_b")) & close & (F.struct(F.col("n_a").alias("n"), F.col("a").alias("id")) < F.struct(F.col("n_b").alias("n"), F.col("b").alias("id"))))
-        if size[0]:
-            links = written(links.union(checked(pairs)), "links")
+        before = F.struct(F.col("n_a").alias("n"), F.col("a").alias("id")) < F.struct(F.col("n_b").alias("n"), F.col("b").alias("id"))
+        pairs = across.join(smaller, "t").filter((F.col("c_a") != F.col("c_b")) & close & before)
+        more = written(checked(pairs), "links")
+        if more.limit(1).count():
+            links = links.union(more)
             found = components(links)
         if last:
             break
-    # from sets to documents: of each component the least id
-    of_set = classes_of.join(found, classes_of["rep"] == found["id"], "left").select("h", "rep", F.coalesce("component", "rep").alias("component"))
-    of_set = of_set.join(of_set.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("h", "component_id")
-    least = known.select("id", "h").join(of_set, "h").groupBy("id").agg(F.min("component_id").alias("component_id"))
+    least = found.join(found.groupBy("component").agg(F.min("id").alias("component_id")), "component").select("id", "component_id")
     return sig.select("id", "n").join(least, "id", "left").select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
