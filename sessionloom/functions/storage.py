@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,9 +22,14 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
 
-    A lost executor then costs a read, not a recomputation.
+    A lost executor then costs a read, not a recomputation.  The shuffle files of the
+    write are of no more use; Spark drops them once the driver's garbage is collected.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    for _ in range(2):  # the first round frees what holds the second's garbage
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
     return spark.read.schema(df.schema).parquet(path)
