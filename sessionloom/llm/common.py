@@ -2,34 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Space, \t, \n, \v, \f, \r: what separates words where no other rule is given.
-ASCII_SPACE = r"[ \t\n\x0B\f\r]"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); one of our own only where it is unset."""
-    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not there:
-        there = "file://" + tempfile.mkdtemp(prefix="sessionloom-")
-        spark.conf.set("spark.checkpoint.dir", there)
-    return there.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
-
-    A lost executor then costs a read, not a recomputation.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from sessionloom.functions.storage import written
 
 
 def dropped(df: DataFrame, names: list[str]) -> DataFrame:
@@ -39,6 +15,9 @@ def dropped(df: DataFrame, names: list[str]) -> DataFrame:
     return df.drop(*clash) if clash else df
 
 
+__all__ = ["dropped", "fit_logistic", "held_out", "labelled_sample", "table", "written"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
