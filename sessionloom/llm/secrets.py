@@ -98,10 +98,10 @@ def likely(word: Column) -> Column:
     return word.rlike("[0-9]")
 
 
-def thresholds(docs: DataFrame, *, text_col: str = "text", fdr: float = 0.05, least: int = 30) -> dict[tuple[str, int], int]:
+def thresholds(docs: DataFrame, *, text_col: str = "text", fdr: float = 0.1, least: int = 30) -> dict[tuple[str, int], int]:
     """The least bin taken as random, by encoding and length class.
 
-    Random strings spread evenly over the bins, so those in the upper half tell how
+    Random strings spread evenly over the bins, so those in the upper three quarters tell how
     many there are in all.  Of the candidates from a bin upwards, what exceeds the
     random strings' share there is false; the lowest bin with a false share of at
     most ``fdr`` is the threshold.  A class with fewer than ``least`` candidates
@@ -117,12 +117,12 @@ def thresholds(docs: DataFrame, *, text_col: str = "text", fdr: float = 0.05, le
     out = {}
     for name, n in [k for k in counts if k[1] >= 0]:
         c = counts[name, n] if sum(counts[name, n]) >= least else counts[name, -1]
-        random = sum(c[BINS // 2 :]) * 2
+        random = sum(c[BINS // 4 :]) / 0.75
         out[name, n] = next((b for b in range(BINS) if (total := sum(c[b:])) and 1 - random * (1 - b / BINS) / total <= fdr), BINS // 2)
     return out
 
 
-def secret_spans(docs: DataFrame, *, text_col: str = "text", fdr: float = 0.05) -> DataFrame:
+def secret_spans(docs: DataFrame, *, text_col: str = "text", fdr: float = 0.1) -> DataFrame:
     """Adds secret_spans: (start, end, kind) in code points, end exclusive, by start and then kind.
 
     Kinds: assign, access and hex by pattern; random by the test battery, where it
