@@ -60,6 +60,7 @@ class Suffixes:
         # two documents that touch never share a run: their strings start apart by `length` - 1 at least
         self.doc = np.searchsorted(self.ends, self.start, side="right")
         self.key = gram[self.anchor]
+        del gram, low, here, inside, at, a, whole, anchor
 
     def leads(self):
         """The first eight bytes of each suffix as a number that sorts like them."""
@@ -106,7 +107,13 @@ def bucket_of(lead, key, splitters):
     return lo + (key % (hi - lo + 1).astype(np.uint64)).astype(np.int64)
 
 
-def repeats_removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, block_bytes: int = 2 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
+def rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """One row at a time: only one block's bytes are copied."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
+def repeats_removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, block_bytes: int = 1 << 20, bucket_bytes: int = 2 << 20) -> DataFrame:
     """(id, n_bytes, n_removed, spans, kept): each text without what a document of smaller id has too.
 
     Texts are UTF-8 bytes.  A byte goes if it lies in a string of ``length`` bytes
@@ -128,10 +135,12 @@ def repeats_removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
 
     def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
         number, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
 
         def block():
-            return pa.RecordBatch.from_pylist([{"block": number, "ids": np.array(ids, np.int64).tobytes(), "nulls": bytes(i == LAST for i in ids), "sizes": np.array([len(t) for t in texts], np.int64).tobytes(), "text": b"".join(texts)}], pa.schema([("block", pa.int64()), *[(c, pa.binary()) for c in ("ids", "nulls", "sizes", "text")]]))
+            return pa.RecordBatch.from_pylist([{"block": number, "ids": np.array(ids, np.int64).tobytes(), "nulls": bytes(i == LAST for i in ids), "sizes": np.array([len(t) for t in texts], np.int64).tobytes(), "text": zstandard.ZstdCompressor(level=3).compress(b"".join(texts)), "n_bytes": size}], pa.schema([("block", pa.int64()), ("n_bytes", pa.int64()), *[(c, pa.binary()) for c in ("ids", "nulls", "sizes", "text")]]))
 
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -146,16 +155,19 @@ def repeats_removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             yield block()
 
     def opened(row: dict, hasher: Hasher) -> tuple[Suffixes, np.ndarray]:
+        import zstandard
+
+        row["text"] = zstandard.ZstdDecompressor().decompress(row["text"])
         return Suffixes(row["text"], np.frombuffer(row["sizes"], np.int64), length, hasher), np.frombuffer(row["ids"], np.int64)
 
-    blocks = written(docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(to_blocks, "block long, ids binary, nulls binary, sizes binary, text binary"), "blocks")
-    n_bytes, n_blocks = blocks.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    blocks = written(docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(to_blocks, "block long, n_bytes long, ids binary, nulls binary, sizes binary, text binary"), "blocks")
+    n_bytes, n_blocks = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count("*")).first()
     n_buckets = max(16, int(n_bytes * 16 // (length - GRAM + 2) // bucket_bytes))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows(batch):
                 s, _ = opened(row, hasher)
                 yield pa.RecordBatch.from_arrays([pa.array(s.leads()[:: max(1, len(s.anchor) // 2000)].view(np.int64))], names=["lead"])
 
@@ -168,8 +180,10 @@ def repeats_removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def send_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows(batch):
                 s, ids = opened(row, hasher)
+                if not len(s.key):
+                    continue
                 order, first = runs_of(s.key)
                 doc = ids[s.doc[order]]
                 several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first) if len(first) else first
@@ -205,9 +219,11 @@ def repeats_removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return np.flatnonzero(known[np.minimum(at, len(known) - 1)] == s.key) if len(known) else np.empty(0, np.int64)
 
     def send_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        import zstandard
+
+        hasher, shrink = Hasher(), zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows(batch):
                 s, ids = opened(row, hasher)
                 run = chosen(s, np.sort(np.frombuffer(b"".join(row["replies"] or []), np.uint64)))
                 if not len(run):
@@ -223,13 +239,16 @@ def repeats_removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                     r = one[p]
                     size = s.n[r] + length - 1
                     text = s.data[np.repeat(s.start[r] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-                    out.append({"bucket": int(where[p[0]]), "block": row["block"], "keys": s.key[r].tobytes(), "names": name[order[first]][p].tobytes(), "docs": least[p].tobytes(), "shape": np.stack([s.anchor[r] - s.start[r], s.n[r]]).astype(np.uint8).tobytes(), "text": text.tobytes()})
+                    out.append({"bucket": int(where[p[0]]), "block": row["block"], "keys": s.key[r].tobytes(), "names": name[order[first]][p].tobytes(), "docs": least[p].tobytes(), "shape": np.stack([s.anchor[r] - s.start[r], s.n[r]]).astype(np.uint8).tobytes(), "text": shrink(text.tobytes())})
                 yield pa.RecordBatch.from_pylist(out, pa.schema([("bucket", pa.int32()), ("block", pa.int64()), *[(c, pa.binary()) for c in ("keys", "names", "docs", "shape", "text")]]))
 
     def compare(t: pa.Table) -> pa.Table:
-        """For each block's contexts: the least document that has it, and which of its strings a still smaller one has."""
+        """For each block's contexts: the least document that has it, and which of its strings a still smaller one has; left out where the block knows as much."""
+        import zstandard
+
         joined = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
-        key, name, doc, data = joined("keys", np.uint64), joined("names", np.uint64), joined("docs", np.int64), joined("text", np.uint8)
+        key, name, doc = joined("keys", np.uint64), joined("names", np.uint64), joined("docs", np.int64)
+        data = np.frombuffer(b"".join(map(zstandard.ZstdDecompressor().decompress, t.column("text").to_pylist())), np.uint8)
         each = np.array([len(b) // 8 for b in t.column("keys").to_pylist()])
         shape = np.concatenate([np.frombuffer(b, np.uint8).reshape(2, -1) for b in t.column("shape").to_pylist()], 1).astype(np.int64)
         place, n = shape
@@ -263,7 +282,7 @@ def repeats_removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             low = np.empty(len(o), np.int64)
             low[o] = np.repeat(np.minimum.reduceat(d[o], f), np.diff(np.append(f, len(o))))
             np.bitwise_or.at(mask, g[which], np.where(low < d, np.uint64(1) << i.astype(np.uint64), np.uint64(0)))
-        matters = (mask[group] != 0) | (least[group] < LAST)
+        matters = (mask[group] != 0) | (least[group] < doc)
         out, at = [], 0
         for k in each:
             own = np.arange(at, at + k)[matters[at : at + k]]
@@ -278,22 +297,29 @@ def repeats_removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         hasher = Hasher()
         kind = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows(batch):
                 s, ids = opened(row, hasher)
                 parts = [np.frombuffer(b, np.uint64).reshape(3, -1) for b in row["replies"] or []]
                 name, least, mask = np.concatenate([np.empty((3, 0), np.uint64), *parts], 1)
                 depth = np.zeros(len(s.data) + length + 1, np.int32)
+                run_name, own = s.contexts(np.arange(len(s.start))), ids[s.doc]
+                order, first = runs_of(run_name)
+                before = np.zeros(len(own), bool)
+                if len(first):  # within the block
+                    before[order] = np.repeat(np.minimum.reduceat(own[order], first), np.diff(np.append(first, len(order)))) < own[order]
+                hit = np.empty(0, np.int64)
                 if len(name):
                     by = np.argsort(name)
-                    run_name = s.contexts(np.arange(len(s.start)))
                     at = np.minimum(np.searchsorted(name[by], run_name), len(by) - 1)
                     hit = np.flatnonzero(name[by][at] == run_name)
                     answer = by[at[hit]]
-                    before = least[answer].view(np.int64) < ids[s.doc[hit]]
-                    full = hit[before]
-                    np.add.at(depth, s.start[full], 1)
-                    np.add.at(depth, s.start[full] + s.n[full] + length - 1, -1)
-                    part, bits = hit[~before], mask[answer[~before]]
+                    before[hit] |= least[answer].view(np.int64) < own[hit]
+                full = np.flatnonzero(before)
+                np.add.at(depth, s.start[full], 1)
+                np.add.at(depth, s.start[full] + s.n[full] + length - 1, -1)
+                if len(hit):
+                    rest = ~before[hit]
+                    part, bits = hit[rest], mask[answer[rest]]
                     for i in range(length - GRAM + 1):
                         p = s.start[part[(bits >> np.uint64(i)) & np.uint64(1) == 1]] + i
                         np.add.at(depth, p, 1)
