@@ -140,7 +140,7 @@ def repeats_removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         number, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
 
         def block():
-            return pa.RecordBatch.from_pylist([{"block": number, "ids": np.array(ids, np.int64).tobytes(), "nulls": bytes(i == LAST for i in ids), "sizes": np.array([len(t) for t in texts], np.int64).tobytes(), "text": zstandard.ZstdCompressor(level=3).compress(b"".join(texts)), "n_bytes": size}], pa.schema([("block", pa.int64()), ("n_bytes", pa.int64()), *[(c, pa.binary()) for c in ("ids", "nulls", "sizes", "text")]]))
+            return pa.RecordBatch.from_pylist([{"block": number, "ids": np.array(ids, np.int64).tobytes(), "nulls": bytes(i == LAST for i in ids), "sizes": np.array([len(t) for t in texts], np.int64).tobytes(), "text": zstandard.ZstdCompressor(level=9).compress(b"".join(texts)), "n_bytes": size}], pa.schema([("block", pa.int64()), ("n_bytes", pa.int64()), *[(c, pa.binary()) for c in ("ids", "nulls", "sizes", "text")]]))
 
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -221,7 +221,7 @@ def repeats_removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def send_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        hasher, shrink = Hasher(), zstandard.ZstdCompressor(level=3).compress
+        hasher, shrink = Hasher(), zstandard.ZstdCompressor(level=9).compress
         for batch in batches:
             for row in rows(batch):
                 s, ids = opened(row, hasher)
