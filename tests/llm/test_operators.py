@@ -147,6 +147,36 @@ def test_secrets(spark, edge, nothing):
     assert secrets.secret_spans(edge).count() == 9 and secrets.secret_spans(nothing).count() == 0
 
 
+def slugs(r, n):
+    """Word-like candidates, most with a number, and the texts their words come from."""
+    words = "getting started with large tables reading writing parallel session window number string value update request response server client handler index first second third report summary user account order history".split()
+    out = []
+    for _ in range(n):
+        w = [r.choice(words) for _ in range(r.randint(4, 8))]
+        w[r.randrange(len(w))] += r.choice(["", "2", "2024", "17"])
+        sep = r.choice(["-", "_", "/", ""])
+        out.append(sep.join(w) if sep else "".join(x.capitalize() for x in w))
+    return [w for w in out if len(w) >= 20], [" ".join(r.choice(words) for _ in range(40)) for _ in range(200)]
+
+
+def random_marks(spark, kinds):
+    """By kind of string: how many a random mark covers."""
+    rows = [(k, w) for k, ws in kinds.items() for w in ws]
+    df = frame(spark, [(i, w if k == "text" else f"see {w} here") for i, (k, w) in enumerate(rows)])
+    hits = [r["doc_id"] for r in secrets.secret_spans(df).filter(F.exists("secret_spans", lambda s: s["kind"] == "random")).select("doc_id").collect()]
+    return collections.Counter(rows[i][0] for i in hits)
+
+
+def test_random_strings_among_words(spark):
+    r = random.Random(6)
+    like, prose = slugs(r, 3000)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(r.choice(alphabet) for _ in range(n)) + "7" for n in (20, 24, 32, 40) for _ in range(50)]
+    got = random_marks(spark, {"key": keys, "slug": like, "text": prose})
+    assert got["key"] >= 190 and 10 * got["slug"] <= got["key"] + got["slug"] and not got["text"]
+    assert not random_marks(spark, {"slug": like, "text": prose})
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_suffix_dedup(spark, seed):
     rows = list(enumerate(texts(seed)))
