@@ -21,17 +21,19 @@ BASE = [
     ("hex", r"[0-9a-f]+", 0, 16),
 ]
 #: What may be a secret of no known form.
-CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
-LEAST = 20
+LEAST = 16
+CANDIDATE = rf"[A-Za-z0-9+/_-]{{{LEAST},}}"
 #: Encodings, the first that fits: (name, pattern, alphabet).
 ENCODINGS = [
     ("decimal", r"^[0-9]+$", "0123456789"),
     ("hex", r"^([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef"),
+    ("letters26", r"^([a-z]+|[A-Z]+)$", "abcdefghijklmnopqrstuvwxyz"),
     ("base32", r"^[A-Z2-7]+$", "abcdefghijklmnopqrstuvwxyz234567"),
     ("base36", r"^([0-9a-z]+|[0-9A-Z]+)$", "0123456789abcdefghijklmnopqrstuvwxyz"),
+    ("letters52", r"^[A-Za-z]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("base64", r".", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 ]
-LENGTHS = [24, 32, 40, 64, 128]  # upper bounds of the length classes but the last
+LENGTHS = [19, 24, 32, 40, 64, 128]  # upper bounds of the length classes but the last
 #: Lower bounds of the bins of p-values but the first: fine where words and random strings part.
 EDGES = [1e-15, 1e-12, 1e-10, 1e-8, 1e-7, 1e-6, 1e-5, 1e-4, 3e-4, 1e-3, 3e-3, 0.01, 0.02, 0.03, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
 BINS = len(EDGES) + 1
@@ -203,11 +205,6 @@ def references(model: Pairs) -> list[tuple[str, bool]]:
     return out
 
 
-def likely(word: Column) -> Column:
-    """Candidates without a digit are words, not encodings."""
-    return word.rlike("[0-9]")
-
-
 def random_share(classes: list[tuple[list[int], list[float], list[float]]]) -> float:
     """The most likely share of random strings among (candidates, word-like, random) histograms, as if one of each had been seen before."""
     share, total = 0.5, sum(sum(c) for c, _, _ in classes)
@@ -228,7 +225,7 @@ def thresholds(docs: DataFrame, model: Pairs, *, text_col: str = "text", fdr: fl
     classes.  Candidates that a base pattern meets don't count.  The counts cover
     every document; at most 25 rows a class come to the driver.
     """
-    words = docs.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(CANDIDATE), F.lit(0))).alias("w")).filter(likely(F.col("w")) & ~F.col("w").rlike(BASE_INSIDE))
+    words = docs.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(CANDIDATE), F.lit(0))).alias("w")).filter(~F.col("w").rlike(BASE_INSIDE))
     rows = words.select(tested(F.col("w"), model).alias("t")).groupBy("t.encoding", "t.length_class", "t.bin").count().collect()
     if not rows:
         return {}
@@ -268,8 +265,7 @@ def secret_spans(docs: DataFrame, *, text_col: str = "text", fdr: float = 0.1) -
     out = dropped(docs, OUTPUTS).withColumn("_base", base)
     if bins:
         limit = F.create_map(*[F.lit(x) for (name, n), b in sorted(bins.items()) for x in (f"{name}{n}", b)])
-        candidates = F.filter(found(text, "random", len(BASE), CANDIDATE, 0, LEAST), lambda s: likely(s["word"]))
-        free = F.filter(candidates, lambda s: ~F.exists(F.col("_base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+        free = F.filter(found(text, "random", len(BASE), CANDIDATE, 0, LEAST), lambda s: ~F.exists(F.col("_base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
         judged = F.filter(F.transform(free, lambda s: F.struct(s.alias("s"), tested(s["word"], model).alias("t"))), lambda x: x["t"]["bin"] >= F.coalesce(limit[F.concat(x["t"]["encoding"], x["t"]["length_class"].cast("string"))], F.lit(BINS)))
         out = out.withColumn("_base", F.concat("_base", F.transform(judged, lambda x: x["s"])))
     return out.withColumn("secret_spans", F.transform(F.array_sort("_base"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).drop("_base")

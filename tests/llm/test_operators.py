@@ -177,6 +177,17 @@ def test_random_strings_among_words(spark):
     assert not random_marks(spark, {"slug": like, "text": prose})
 
 
+def test_random_strings_without_digits_and_short_ones(spark):
+    r = random.Random(7)
+    like, prose = slugs(r, 3000)
+    like += ["".join(w for w in x if w.isalpha()) for x in like]
+    both = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    keys = lambda alphabet, n: ["".join(r.choice(alphabet) for _ in range(n)) for _ in range(60)]
+    got = random_marks(spark, {"mixed": keys(both, 40), "lower": keys(both[26:], 32), "short": keys(both + "0123456789", 16), "like": like, "text": prose})
+    assert min(got["mixed"], got["lower"]) >= 56 and got["short"] >= 50
+    assert 10 * got["like"] <= got.total() and not got["text"]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_suffix_dedup(spark, seed):
     rows = list(enumerate(texts(seed)))
