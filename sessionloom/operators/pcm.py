@@ -14,9 +14,12 @@ HEADER = 44
 
 
 def laid_out(segments: DataFrame) -> DataFrame:
-    """Segments (session_id, sequence, content with its header) with the byte offset of their data in the session."""
+    """Segments (session_id, sequence, content with its header) with the byte offset of their data in the session.
+
+    An odd last byte is no sample: neither the size nor the offset counts it.
+    """
     w = Window.partitionBy("session_id").orderBy("sequence").rowsBetween(Window.unboundedPreceding, -1)
-    size = F.greatest(F.length("content") - HEADER, F.lit(0)).cast("long")
+    size = F.expr(f"bigint(greatest(length(content) - {HEADER}, 0) div 2 * 2)")
     return segments.withColumn("data_bytes", size).withColumn("offset", F.coalesce(F.sum("data_bytes").over(w), F.lit(0)).cast("long"))
 
 

@@ -74,5 +74,5 @@ def headlines(spark, sf_dir):
 
 @query("first_match_headline")
 def first_match_headline(spark, sf_dir):
-    en = d.table(spark, sf_dir, "documents").filter("lang = 'en' and text is not null").withColumn("stems", F.array(F.lit("th"), F.lit("and"), F.lit("ing")))
-    return en.select("doc_id", tx.headline("text", "stems").alias("headline"))
+    docs = d.table(spark, sf_dir, "documents").filter("text is not null").withColumn("stems", F.array(F.lit("th"), F.lit("and"), F.lit("ing")))
+    return docs.select("doc_id", tx.headline("text", "stems").alias("headline"))

@@ -24,3 +24,9 @@ def test_query(spark, sf, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(catalog.QUERIES) <= set(entry.queries())
+
+
+def test_first_match_headline_of_all_languages(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("text is not null")
+    assert docs.filter("lang != 'en'").count() > 0
+    assert catalog.QUERIES["first_match_headline"](spark, sf).count() == docs.count()
