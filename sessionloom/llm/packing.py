@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from sessionloom.llm.common import dropped, table, written
 
-PIECES = "start long, length long, token_ids binary, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
-OUTPUTS = ["start", "length", "token_ids", "doc_tokens", "sequence_id", "offset", "sequence_tokens"]
+PIECES = "start long, length long, token_ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
+OUTPUTS = ["start", "length", "token_ids", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_tokens"]
+#: Bytes of text that a task encodes at a time, and of token ids in a batch that it hands on.
+TEXT_BYTES, BATCH_BYTES = 2 << 20, 4 << 20
 
 
 def gathered(flat, start, length):
@@ -78,12 +80,11 @@ class Encoder:
             sizes.append(np.diff(np.flatnonzero(marks), prepend=-1) - 1)
         return np.concatenate(ids), np.concatenate(sizes)
 
-    def __call__(self, texts: pa.Array):
-        """(ids of all texts, where each text's ids begin and the last end)."""
+    def __call__(self, texts: pa.LargeStringArray):
+        """(ids of all texts, none null, where each text's ids begin and the last end)."""
         import numpy as np
         import pyarrow.compute as pc
 
-        texts = pa.array([t or "" for t in texts.to_pylist()], pa.large_string())
         lists = pc.split_pattern(pc.replace_substring(pc.ascii_lower(texts), "\n", " "), " ")
         coded = lists.flatten().dictionary_encode()
         chunks = coded.dictionary
@@ -158,7 +159,35 @@ class Bins:
         return [b[1] for b in left]
 
 
-def packed(docs: DataFrame, *, tokenizer_path: str, end_id: int = 2, text_col: str = "text", id_col: str = "doc_id", window: int = 4096, n_open: int = 16, cut: bool = True, fan_in: int = 512) -> DataFrame:
+def segments(text: str, most: int = TEXT_BYTES // 4) -> Iterator[str]:
+    """A text in parts of about ``most`` characters, cut before a space: the tokenizer never joins across one.
+
+    A run without a space is never cut.
+    """
+    at = 0
+    while len(text) - at > most:
+        cut = text.find(" ", at + most)
+        if cut < 0:
+            break
+        yield text[at:cut]
+        at = cut
+    yield text[at:] if at else text
+
+
+def encoded(encode: Encoder, parts: list[str]) -> Iterator[bytes]:
+    """The ids of each part, TEXT_BYTES of text at a time."""
+    at = 0
+    while at < len(parts):
+        end, size = at + 1, len(parts[at])
+        while end < len(parts) and size + len(parts[end]) <= TEXT_BYTES:
+            size += len(parts[end])
+            end += 1
+        ids, cuts = encode(pa.array(parts[at:end], pa.large_string()))
+        yield from (ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+        at = end
+
+
+def packed(docs: DataFrame, *, tokenizer_path: str, end_id: int = 2, text_col: str = "text", id_col: str = "doc_id", window: int = 4096, n_open: int = 16, cut: bool = True, fan_in: int = 512, with_ids: bool = True) -> DataFrame:
     """Pieces of tokenised documents, packed into windows of ``window`` tokens.
 
     Each partition encodes its documents as they come (no shuffle of texts), keeps
@@ -168,8 +197,9 @@ def packed(docs: DataFrame, *, tokenizer_path: str, end_id: int = 2, text_col: s
     no task sees more than ``fan_in * n_open`` short windows.
 
     Returns one row per piece: the input's columns but the text, then start (ids of
-    its document before it), length, token_ids (little-endian unsigned 32-bit),
-    doc_tokens, sequence_id (unique, not gapless), offset (of the piece in its
+    its document before it), length, token_ids (little-endian unsigned 32-bit; with
+    ``with_ids`` off null, and only short windows' ids are carried), ids_crc32 (of
+    token_ids), doc_tokens, sequence_id (unique, not gapless), offset (of the piece in its
     window, gapless from 0) and sequence_tokens (ids in the window; the rest up to
     ``window`` is padding).  ``end_id`` ends each document, so null and empty texts
     are one id.  Repeated rows are packed each.  Input columns named like these
@@ -183,47 +213,67 @@ def packed(docs: DataFrame, *, tokenizer_path: str, end_id: int = 2, text_col: s
     row = source.schema["_row"].dataType.simpleString()
     schema = f"_row {row}, {PIECES}, _open boolean, _group long"
 
-    def windows(done: list, docs: list, first: int, is_open: bool, group: int) -> Iterator[list]:
+    def windows(done: list, docs: dict, first: int, is_open: bool, group: int) -> Iterator[list]:
+        import zlib
+
         for n, pieces in enumerate(done):
             offset, total = 0, sum(p[2] for p in pieces)
             for doc, start, length in pieces:
                 whole, base, n_ids, ids = docs[doc]
-                yield [whole, base + start, length, ids[4 * start : 4 * (start + length)], n_ids, first + n, offset, total, is_open, group]
+                own = ids[4 * start : 4 * (start + length)]
+                yield [whole, base + start, length, own if with_ids or is_open else None, zlib.crc32(own), n_ids, first + n, offset, total, is_open, group]
                 offset += length
 
-    def chunks(rows: Iterator[list], row_type, n: int = 4000) -> Iterator[pa.RecordBatch]:
-        import itertools
-
-        kinds = [row_type, *[pa.int64()] * 2, pa.binary(), *[pa.int64()] * 4, pa.bool_(), pa.int64()]
-        while part := list(itertools.islice(rows, n)):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), kinds, strict=True)], names=["_row", *OUTPUTS, "_open", "_group"])
+    def chunks(rows: Iterator[list], row_type) -> Iterator[pa.RecordBatch]:
+        kinds = [row_type, *[pa.int64()] * 2, pa.binary(), *[pa.int64()] * 5, pa.bool_(), pa.int64()]
+        part, size = [], 0
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), kinds, strict=True)], names=["_row", *OUTPUTS, "_open", "_group"])
+        for row in rows:
+            part.append(row)
+            size += len(row[3] or b"") + 256
+            if size > BATCH_BYTES:
+                yield batch()
+                part, size = [], 0
+        if part:
+            yield batch()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-        import pyarrow.compute as pc
-
         encode, bins, group = Encoder(tokenizer_path, end_id), Bins(window, n_open, cut), TaskContext.get().partitionId()
         held: dict[int, tuple] = {}
         n_doc, first, row_type = 0, group << 36, None
+        rows, parts, n_parts, size = [], [], [], 0
+
+        def placed() -> Iterator[pa.RecordBatch]:
+            """Encode and place the texts gathered so far."""
+            nonlocal held, n_doc, first
+            coded = list(encoded(encode, parts))
+            at = 0
+            for i, (whole, k) in enumerate(zip(rows, n_parts, strict=True), 1):
+                own = b"".join([p[:-4] for p in coded[at : at + k - 1]] + [coded[at + k - 1]])  # only the last part's end id stays
+                at += k
+                held[n_doc] = (whole.as_py(), 0, len(own) // 4, own)
+                bins.place(len(own) // 4, (n_doc, 0))
+                n_doc += 1
+                if n_doc % 128 == 0 or i == len(rows):
+                    yield from chunks(windows(bins.done, held, first, False, group), row_type)
+                    first += len(bins.done)
+                    bins.done = []
+                    still = {p[0] for b in bins.bins for p in b[1]}
+                    held = {k: v for k, v in held.items() if k in still}  # only what lies in an open window stays in memory
+
         for batch in batches:
             row_type = batch.schema.field("_row").type
-            at, bytes_to = 0, np.cumsum(pc.fill_null(pc.binary_length(batch.column("_text")), 0).to_numpy())
-            while at < batch.num_rows:  # slices of about 32 MB of text
-                n = max(1, int(np.searchsorted(bytes_to, (bytes_to[at - 1] if at else 0) + (32 << 20), "right")) - at)
-                part, at = batch.slice(at, n), at + n
-                ids, cuts = encode(part.column("_text"))
-                for i, whole in enumerate(part.column("_row").to_pylist()):
-                    own = ids[cuts[i] : cuts[i + 1]]
-                    held[n_doc] = (whole, 0, len(own), own.tobytes())
-                    bins.place(len(own), (n_doc, 0))
-                    n_doc += 1
-                    if n_doc % 128 == 0 or i + 1 == n:
-                        yield from chunks(windows(bins.done, held, first, False, group), row_type)
-                        first += len(bins.done)
-                        bins.done = []
-                        still = {p[0] for b in bins.bins for p in b[1]}
-                        held = {k: v for k, v in held.items() if k in still}  # only what lies in an open window stays in memory
+            for whole, text in zip(batch.column("_row"), batch.column("_text"), strict=True):
+                own = list(segments(text.as_py() or ""))
+                if rows and size + sum(map(len, own)) > TEXT_BYTES:
+                    yield from placed()
+                    rows, parts, n_parts, size = [], [], [], 0
+                rows.append(whole)
+                parts += own
+                n_parts.append(len(own))
+                size += sum(map(len, own))
         if row_type is not None:
+            yield from placed()
             left = bins.close()
             yield from chunks(windows(bins.done, held, first, False, group), row_type)
             yield from chunks(windows(left, held, first + len(bins.done), True, group), row_type)
@@ -240,7 +290,7 @@ def packed(docs: DataFrame, *, tokenizer_path: str, end_id: int = 2, text_col: s
 
         for batch in batches:
             row_type = batch.schema.field("_row").type
-            for r in batch.to_pylist():
+            for r in (row for i in range(0, batch.num_rows, 500) for row in batch.slice(i, 500).to_pylist()):
                 if group is not None and r["_group"] != group:
                     yield from ended()
                     bins, held, n_doc = Bins(window, n_open, cut), {}, 0
@@ -275,5 +325,5 @@ def word_tokenizer() -> str:
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in windows of 4096 tokens, 16 open windows a partition."""
-    pieces = packed(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path=word_tokenizer())
-    return pieces.select("doc_id", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    pieces = packed(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path=word_tokenizer(), with_ids=False)
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -321,3 +322,17 @@ def test_pipeline(spark, sf):
     assert {r["doc_id"] for r in pieces.select("doc_id").collect()} == kept
     assert decontamination.contamination(docs, common.table(spark, sf, "benchmark")).filter("n_hit > 0").count() == 0
     assert docs.filter("text like '%[SECRET]%'").count() > 0
+
+
+def test_packing_long_text():
+    """A text cut into parts has the ids of the whole, whatever its white space."""
+    from tokenizers import Tokenizer
+
+    path = packing.word_tokenizer()
+    encode, full = packing.Encoder(path, 2), Tokenizer.from_file(path)
+    for text in ["Ab  c'd, \n e f ßg! " * 400, "x" * 5000, " " * 3000, "", "word " * 999 + "中文 \x1f end"]:
+        parts = list(packing.segments(text, most=701))
+        assert "".join(parts) == text
+        coded = list(packing.encoded(encode, parts))
+        got = np.frombuffer(b"".join([p[:-4] for p in coded[:-1]] + coded[-1:]), "<u4").tolist()
+        assert got == [*full.encode(text, add_special_tokens=False).ids, 2]
