@@ -8,13 +8,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionloom.functions.storage import discard
 from sessionloom.llm.common import table, written
 from sessionloom.llm.textvec import Hasher, Texts, mixed, slices
 from sessionloom.operators.graph import components
 
 SKETCH_BITS = 18
 ORDERS = 3
-CELLS = 128  # counters of a set's count sketch
 
 
 def shingle_sets(texts: list[bytes], hasher: Hasher, k: int) -> list:
@@ -56,14 +56,6 @@ def ordered(s, classes, order: int, n: int):
     return s[np.lexsort((mixed(s ^ seed), classes[s >> np.uint64(64 - SKETCH_BITS)]))[:n]]
 
 
-def cell_counts(s) -> bytes:
-    """How many tokens fall in each of CELLS hash cells; empty for a set too large for one-byte counters."""
-    import numpy as np
-
-    counts = np.bincount(((s >> np.uint64(20)) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
-    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
-
-
 def frequency_classes(docs: DataFrame, text_col: str, k: int):
     """A class for each of 2**18 hash cells: 0 for cells of usual weight, more for those that frequent shingles weigh down.
 
@@ -97,22 +89,153 @@ def frequency_classes(docs: DataFrame, text_col: str, k: int):
     return np.where(over < 1, 0, np.ceil(np.log2(over + 1))).astype(np.uint8)
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, hub_rounds: int = 3) -> DataFrame:
+def sketch(s) -> bytes:
+    """A bit for each token in a power of two of cells, four to eight a token."""
+    import numpy as np
+
+    m = 1 << max(6, int(4 * len(s) - 1).bit_length())
+    bits = np.zeros(m, np.uint8)
+    bits[((s >> np.uint64(4)) & np.uint64(m - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+class Members:
+    """Rows of candidate groups, in order of their group, and which pairs of them may link.
+
+    Columns: ``own`` (the row's block), ``low`` (of the group's lower size band),
+    ``lists`` (per further order the groups that the row is in) and ``sketch``.
+    """
+
+    def __init__(self, batch: pa.RecordBatch, percent: int):
+        import numpy as np
+
+        self.percent = percent
+        column = lambda name: batch.column(name).to_numpy(zero_copy_only=False)
+        self.row, self.n, self.comp, self.own, self.low = (column(c) for c in ("row", "n", "comp", "own", "low"))
+        self.diagonal = column("bi") == column("bj")
+        keys = [column(c) for c in ("g", "bi", "bj")]
+        new = np.ones(batch.num_rows, bool)
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+        self.first = np.flatnonzero(new)
+        self.size = np.diff(np.append(self.first, batch.num_rows))
+        self.lists = [self._flat(batch.column(f"in_{o}"), np.int64) for o in range(1, ORDERS)]
+        self.words, self.at = self._flat(batch.column("sketch"), np.uint64)
+
+    @staticmethod
+    def _flat(c: pa.Array, kind):
+        import numpy as np
+
+        if pa.types.is_binary(c.type):
+            raw = c.to_pylist()
+            return np.frombuffer(b"".join(raw), kind), np.cumsum([0, *(len(b) // 8 for b in raw)])
+        return c.flatten().to_numpy().astype(kind), c.offsets.to_numpy().astype(np.int64) - c.offsets[0].as_py()
+
+    def pairs(self):
+        """(a, b): places of the pairs of each group that size, band, block and component allow; about a million at a time."""
+        import numpy as np
+
+        cost = np.cumsum(self.size.astype(np.int64) ** 2)
+        cuts = np.searchsorted(cost, np.arange(1 << 20, cost[-1] + (1 << 20), 1 << 20), "left") + 1
+        for lo, hi in zip(np.append(0, cuts[:-1]), cuts, strict=True):
+            first, size = self.first[lo:hi], self.size[lo:hi].astype(np.int64)
+            if not len(size):
+                continue
+            each = np.repeat(size, size)  # partners of each member
+            a = np.repeat(np.repeat(first, size) + np.arange(len(each)) - np.repeat(np.cumsum(size) - size, size), each)
+            b = np.repeat(np.repeat(first, size), each) + np.arange(len(a)) - np.repeat(np.cumsum(each) - each, each)
+            a, b = (x[a < b] for x in (a, b))
+            small, large = np.minimum(self.n[a], self.n[b]), np.maximum(self.n[a], self.n[b])
+            ok = (self.comp[a] != self.comp[b]) & (100 * small >= self.percent * large) & (self.low[a] | self.low[b]) & (self.diagonal[a] | (self.own[a] != self.own[b]))
+            yield a[ok], b[ok]
+
+    def meet(self, flat, at, a, b):
+        """Whether the sorted lists of a and b share an entry."""
+        import numpy as np
+
+        size = (at[a + 1] - at[a]).astype(np.int64)
+        which = np.repeat(np.arange(len(a)), size)
+        mine = flat[np.repeat(at[a] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        # entries numbered, so that a (row, entry) key is one number
+        names, code = np.unique(flat, return_inverse=True)
+        held = np.repeat(np.arange(len(at) - 1), np.diff(at)) * np.int64(len(names)) + code
+        held.sort()
+        want = b[which] * np.int64(len(names)) + np.searchsorted(names, mine)
+        found = held[np.minimum(np.searchsorted(held, want), len(held) - 1)] == want if len(held) else np.zeros(len(want), bool)
+        out = np.zeros(len(a), bool)
+        out[which[found]] = True
+        return out
+
+    def bound(self, a, b):
+        """Most tokens that a and b can share: a token whose cell the other has not set is not in it."""
+        import numpy as np
+
+        out = np.empty(len(a), np.int64)
+        width = np.diff(self.at)
+        for w in np.unique(np.minimum(width[a], width[b])).tolist():
+            of = np.flatnonzero(np.minimum(width[a], width[b]) == w)
+            step = max(1, (1 << 20) // w)
+            for at in range(0, len(of), step):
+                p = of[at : at + step]
+                x, y = (self._cells(r[p], w, width) for r in (a, b))
+                only_a, only_b = (np.bitwise_count(c).sum(1, dtype=np.int64) for c in (x & ~y, y & ~x))
+                out[p] = np.minimum(self.n[a[p]] - only_a, self.n[b[p]] - only_b)
+        return out
+
+    def _cells(self, r, w: int, width):
+        """Sketches of rows r, wider ones folded to w words."""
+        import numpy as np
+
+        out = self.words[self.at[r][:, None] + np.arange(w)]
+        for k in range(1, int(width[r].max()) // w):
+            wide = np.flatnonzero(width[r] > k * w)
+            out[wide] |= self.words[self.at[r[wide]][:, None] + k * w + np.arange(w)]
+        return out
+
+    def candidates(self, forest: bool):
+        """Rows (a, b) of pairs that pass; with ``forest`` only each member's best with an earlier one, and its best of all."""
+        import numpy as np
+
+        for a, b in self.pairs():
+            for flat, at in self.lists:
+                ok = self.meet(flat, at, a, b)
+                a, b = a[ok], b[ok]
+            common = self.bound(a, b)
+            total = self.n[a] + self.n[b] - common
+            ok = 100 * common >= self.percent * total
+            a, b, share = a[ok], b[ok], common[ok] / total[ok]
+            if forest and len(a):
+                one, two = np.concatenate([b, a]), np.concatenate([a, b])
+                pick = []
+                for own, other, s in ((b, a, share), (one, two, np.concatenate([share, share]))):
+                    order = np.lexsort((self.row[other], -s, own))
+                    pick.append((own[order], other[order], np.append(True, np.diff(own[order]) != 0)))
+                a, b = (np.concatenate([p[i][p[2]] for p in pick]) for i in (1, 0))
+            x, y = self.row[a], self.row[b]
+            if len(x):
+                both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+                yield both[0], both[1]
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, block: int = 256) -> DataFrame:
     """(id, n_shingles, component_id) of every row: components of the links with 100 * intersection >= percent * union.
 
     Words: runs without ASCII white space, A-Z folded; a set: the distinct runs of
     ``k`` words, or the whole text of fewer words.  Null and empty texts have the
     empty set and link with nothing.  ``component_id`` is the least id reachable.
     Ids name documents: rows with one id are one node with the links of each.  A null
-    id has its count but no component.
-
-    Exact.  Equal sets are one class from the start.  Under each global token order
-    (frequent shingles last, then by hash) linked sets must share a token of the
-    smaller's index prefix and the larger's probe prefix.  The first order makes
-    candidates by a shuffle of prefix tokens, the others prune them, the sets decide.
-    To keep large groups linear, candidates are first each token's sets against one
-    hub; then only pairs of different components, so all members of a group found
-    equal are never paired.  Every candidate pair left is checked: none is capped.
+    id has its count but no component.  Other columns are left out.
+
+    Exact.  Equal sets are one from the start.  Under each of three global token
+    orders (frequent shingles last, then by the order's own hash) linked sets must
+    share a token of the smaller's index prefix and the larger's probe prefix.  Rows
+    that share one, and of a similar size, are a group; groups of the same members
+    are one.  Only rows that are in groups of every order stay, and a pair is a
+    candidate only if it meets in all three and the sketches of both sets, four to
+    eight bits a token, allow the similarity.  No text moves before that.
+
+    Groups of more than ``block`` rows are split.  First each row's best partners
+    in its block are verified; then all pairs of different components, the largest
+    component of a group against the others only.  None is capped.
     """
     import numpy as np
 
@@ -121,129 +244,155 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = spark.sparkContext.broadcast(frequency_classes(source, "text", k))
     kind = source.schema["id"].dataType.simpleString()
 
-    @F.arrow_udf("n long, h binary, cells binary, probe array<long>")
+    @F.arrow_udf("n long, h binary, sketch binary, " + ", ".join(f"tokens_{o} array<long>" for o in range(ORDERS)))
     def signature(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import hashlib
 
         hasher, cls = Hasher(), classes.value
+        none = np.empty(0, np.int64)
         for batch in batches:
-            n, h, cells, probe = [], [], [], []
+            n, h, bits, tokens = [], [], [], [[] for _ in range(ORDERS)]
             for _, part in slices(batch.to_pylist()):
                 for s in shingle_sets(part, hasher, k):
                     n.append(len(s))
                     h.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    cells.append(cell_counts(s))
-                    probe.append(ordered(s, cls, 0, prefixes(len(s), percent)[0]).view(np.int64) if len(s) else np.empty(0, np.int64))
-            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(p) for p in probe])]).astype(np.int32), pa.array(np.concatenate([np.empty(0, np.int64), *probe])))
-            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(h, pa.binary()), pa.array(cells, pa.binary()), lists], names=["n", "h", "cells", "probe"])
+                    bits.append(sketch(s))
+                    for o in range(ORDERS):
+                        tokens[o].append(ordered(s, cls, o, prefixes(len(s), percent)[0]).view(np.int64) if len(s) else none)
+            lists = [pa.ListArray.from_arrays(np.cumsum([0, *map(len, t)]).astype(np.int32), pa.array(np.concatenate([none, *t]))) for t in tokens]
+            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(h, pa.binary()), pa.array(bits, pa.binary()), *lists], names=["n", "h", "sketch", *[f"tokens_{o}" for o in range(ORDERS)]])
 
     @F.arrow_udf("binary")
-    def shrunk(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        import zstandard
+    def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import hashlib
 
-        zip_ = zstandard.ZstdCompressor(level=3).compress
+        hasher = Hasher()
         for batch in batches:
-            yield pa.array([zip_(t.as_py().encode()) for t in batch], pa.binary())
+            yield pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for _, part in slices(batch.to_pylist()) for s in shingle_sets(part, hasher, k)], pa.binary())
 
     @F.arrow_udf("boolean")
     def linked(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        import zstandard
-
-        hasher, cls, unzip = Hasher(), classes.value, zstandard.ZstdDecompressor().decompress
+        hasher = Hasher()
 
-        def passes(x, y) -> bool:
-            """x the smaller set: the other orders' prefixes must meet before the sets are compared."""
-            index, probe = prefixes(len(x), percent)[1], prefixes(len(y), percent)[0]
-            if not all(np.isin(ordered(x, cls, o, index), ordered(y, cls, o, probe)).any() for o in range(1, ORDERS)):
-                return False
+        def similar(x, y) -> bool:
             common = len(x) + len(y) - len(np.union1d(x, y))
             return 100 * common >= percent * (len(x) + len(y) - common)
 
         for a, b in batches:
-            for at in range(0, max(len(a), 1), 500):
-                left, right = a[at : at + 500].to_pylist(), b[at : at + 500].to_pylist()
-                texts = list(dict.fromkeys([*left, *right]))
-                sets = {}
-                for first, part in slices([unzip(t).decode() for t in texts]):
+            out = []
+            for at in range(0, len(a), 200):
+                left, right = a[at : at + 200].to_pylist(), b[at : at + 200].to_pylist()
+                texts, sets = list(dict.fromkeys([*left, *right])), {}
+                for first, part in slices(texts):
                     sets.update(zip(texts[first : first + len(part)], shingle_sets(part, hasher, k), strict=True))
-                got = [passes(sets[x], sets[y]) for x, y in zip(left, right, strict=True)]
-                out = got if at == 0 else out + got
+                out += [similar(sets[x], sets[y]) for x, y in zip(left, right, strict=True)]
             yield pa.array(out, pa.bool_())
 
-    @F.arrow_udf("boolean")
-    def may_link(a: pa.Array, b: pa.Array) -> pa.Array:
-        """False where the sets can't share enough: they share at most the lesser count of each cell."""
-        out = np.ones(len(a), bool)
-        known = [i for i, (x, y) in enumerate(zip(a.to_pylist(), b.to_pylist(), strict=True)) if x and y]
-        if known:
-            x, y = (np.frombuffer(b"".join(c.take(pa.array(known)).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int32) for c in (a, b))
-            common = np.minimum(x, y).sum(1)
-            out[known] = 100 * common >= percent * (x.sum(1) + y.sum(1) - common)
-        return pa.array(out)
-
-    sig = written(source.withColumn("s", signature("text")).select("id", "s.n", "s.h", "s.cells", "s.probe"), "signatures")
+    sig = written(source.withColumn("s", signature("text")).select(F.monotonically_increasing_id().alias("row"), "id", "s.*"), "signatures")
     known = sig.filter("id is not null and n > 0")
-    equal = known.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("m")).filter("m > 1")
-    equal = written(known.select("id", "h").join(equal, "h").filter("id != rep").select("id", "rep").distinct(), "equal")  # of equal sets all but the least
-    n_index = F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + 1
-    tokens = known.select("id", "n", n_index.alias("k"), F.posexplode("probe").alias("pos", "t"))
-    probe, index = tokens.select("t", "id", "n", (F.col("pos") < F.col("k")).alias("is_index")), tokens.filter("pos < k").select("t", "id", "n")
-    # only tokens that meet: in an index prefix and in a larger set's probe prefix
-    met = index.groupBy("t").agg(F.min(F.struct("n", "id")).alias("hub"))
-    larger = F.struct("n", "id") > F.struct(F.col("hub.n").alias("n"), F.col("hub.id").alias("id"))
-    shared = written(probe.join(met, "t").filter(larger).select("t", "id", "n", "is_index", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "shared")
-    close = F.col("n_a") * 100 >= percent * F.col("n_b")
-    involved = shared.select("id").union(shared.select("hub")).distinct()
-    bodies = written(source.join(involved, "id", "left_semi").select("id", shrunk("text").alias("body")), "bodies")
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        """The links among pairs (a, b), a the smaller set; of equal sets one speaks for all."""
-        pairs = pairs.select("a", "b").distinct()
-        for c in "ab":
-            pairs = pairs.join(equal.select(F.col("id").alias(c), F.col("rep").alias(f"r_{c}")), c, "left").withColumn(c, F.coalesce(f"r_{c}", c)).drop(f"r_{c}")
-        pairs = pairs.filter("a != b").distinct()
+    # rows of one set, and rows of one id: all but the first hang on it
+    again = known.groupBy("h").agg(F.min("row").alias("rep"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    equal = written(known.select("row", "h").join(written(again, "sets"), "h").filter("row != rep").select("row", "rep"), "equal")
+    named = known.groupBy("id").agg(F.min("row").alias("rep"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    same_id = written(known.select("row", "id").join(named, "id").filter("row != rep").select("row", "rep"), "ids")
+    fixed = equal.union(same_id).select(F.col("rep").alias("a"), F.col("row").alias("b"))
+    reps = known.join(equal.select("row"), "row", "left_anti")
+
+    def groups(order: int, of: DataFrame) -> DataFrame:
+        """(g, row, low): rows of ``of`` that share a prefix token of the order, by size band."""
+        n_index = F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + 1
+        tokens = of.select("row", "n", n_index.alias("k"), F.posexplode(f"tokens_{order}").alias("pos", "t")).select("t", "row", "n", (F.col("pos") < F.col("k")).alias("is_index"))
+        met = written(tokens.groupBy("t").agg(F.count("*").alias("c"), F.max("is_index").alias("i")).filter("c > 1 and i").select("t"), "met")
+        # linked sets are of one band or of two that touch; a group: one band, and the next above it
+        band = F.floor(F.log("n") / (np.log(100 / percent) * 1.001))
+        shared = written(tokens.join(met, "t").withColumn("band", band), "shared")
+        rows = shared.withColumn("low", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("band", F.when(F.col("low"), F.col("band")).otherwise(F.col("band") - 1))
+        members = [F.bit_xor(F.xxhash64(F.lit(x), "row", "low")).alias(f"x{x}") for x in (0, 1)]
+        whole = rows.groupBy("t", "band").agg(F.count("*").alias("c"), F.max(F.col("low") & F.col("is_index")).alias("i"), *members).filter("c > 1 and i")
+        one = written(whole.groupBy("x0", "x1", "c").agg(F.min(F.struct("t", "band")).alias("t")).select("t.*"), "one-of-each")
+        out = written(rows.join(one, ["t", "band"]).select(F.xxhash64("t", "band").alias("g"), "row", "low"), "groups")
+        discard(met, shared, one)
+        return out
+
+    grouped, left, found = [], reps, []
+    for order in range(ORDERS):
+        grouped.append(groups(order, left))
+        left = left.join(written(grouped[-1].select("row").distinct(), "left"), "row", "left_semi")
+    staying = written(left.select("row"), "staying")
+    lists = staying
+    for order in range(1, ORDERS):
+        own = grouped[order].join(staying, "row", "left_semi").groupBy("row").agg(F.sort_array(F.collect_list("g")).alias(f"in_{order}"))
+        lists = lists.join(own, "row")
+    bodies = written(lists.join(known.select("row", "n", "sketch"), "row"), "bodies")
+    member_of = written(grouped[0].join(staying, "row", "left_semi"), "members")
+    discard(*grouped, staying)
+
+    def candidates(members: DataFrame, forest: bool) -> DataFrame:
+        """Pairs (a, b) of rows: ``members`` has g, row, low, comp and its blocks own, bi and bj."""
+        full = members.join(bodies, "row").repartition("g", "bi", "bj").sortWithinPartitions("g", "bi", "bj")
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = None
+
+            def passed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+                for a, b in Members(batch, percent).candidates(forest):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+            for batch in batches:
+                if batch.num_rows == 0:
+                    continue
+                if held is not None:
+                    batch = pa.concat_batches([held, batch])
+                key = [batch.column(c).to_numpy() for c in ("g", "bi", "bj")]
+                last = np.flatnonzero(np.logical_or.reduce([x != x[-1] for x in key]))  # the last group may go on
+                cut = int(last[-1]) + 1 if len(last) else 0
+                held = batch.slice(cut)
+                if cut:
+                    yield from passed(batch.slice(0, cut))
+            if held is not None:
+                yield from passed(held)
+
+        return written(full.mapInArrow(compare, "a long, b long").distinct(), "candidates")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The links among pairs of rows; only now their texts are fetched."""
+        wanted = written(known.join(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), "row", "left_semi").select("row", "id", "h"), "wanted")
+        texts = source.join(wanted, "id").filter(digest("text") == F.col("h")).groupBy("row").agg(F.first("text").alias("text"))
+        texts = written(texts, "texts")
+        both = pairs
         for c in "ab":
-            pairs = pairs.join(known.select(F.col("id").alias(c), F.col("cells").alias(f"cells_{c}")), c)
-        pairs = pairs.filter(may_link("cells_a", "cells_b")).select("a", "b").distinct()
-        for c in "ab":
-            pairs = pairs.join(bodies.select(F.col("id").alias(c), F.col("body").alias(f"body_{c}")), c)
-        return pairs.filter(linked("body_a", "body_b")).select("a", "b")
-
-    first = shared.select(F.col("hub").alias("a"), F.col("id").alias("b"), F.col("hub_n").alias("n_a"), F.col("n").alias("n_b")).filter(close)
-    links = written(checked(first).union(equal.select(F.col("rep").alias("a"), F.col("id").alias("b"))), "links")
+            both = both.join(texts.select(F.col("row").alias(c), F.col("text").alias(f"text_{c}")), c)
+        out = written(both.filter(linked("text_a", "text_b")).select("a", "b"), "links")
+        discard(wanted, texts)
+        return out
+
+    salted = lambda parts: F.pmod(F.xxhash64(F.lit(7), "row"), parts)
+    zero = F.lit(0).cast("long")
+    size = member_of.groupBy("g").agg(F.count("*").alias("c"))
+    parts = F.greatest(F.ceil(F.col("c") / block), F.lit(1)).cast("long")
+    first = member_of.join(written(size.filter("c > 1"), "sizes"), "g").withColumn("own", salted(parts))
+    pairs = candidates(first.select("g", "row", "low", F.col("row").alias("comp"), "own", F.col("own").alias("bi"), F.col("own").alias("bj")), True)
+    links = fixed.union(verified(pairs))
     found = components(links)
 
-    def named(rows: DataFrame, c: str) -> DataFrame:
-        return rows.join(found.select(F.col("id").alias(c), F.col("component").alias("_c")), c, "left").withColumn(f"c_{c}", F.coalesce("_c", c)).drop("_c")
-
-    open_ = shared
-    for round_no in range(1, hub_rounds + 1):
-        # tokens at which different components meet: every set at a token is there next to its hub
-        apart = named(named(open_.select("hub", "id").distinct(), "hub"), "id").filter("c_hub != c_id").select("hub", "id")
-        at = open_.join(apart, ["hub", "id"], "left_semi").select("t").distinct()
-        open_ = written(open_.join(at, "t", "left_semi"), "open")
-        p = named(open_.select("t", "id", "n", "is_index"), "id")
-        i = p.filter("is_index").select("t", "id", "n", "c_id").union(named(open_.select("t", "hub", F.col("hub_n").alias("n")).distinct(), "hub").select("t", "hub", "n", "c_hub"))
-        # pairs that are left, counted from above
-        size = i.groupBy("t").count().join(p.groupBy("t").agg(F.count("*").alias("m")), "t").agg(F.sum(F.col("count") * F.col("m")), F.sum(F.col("count") + F.col("m"))).first()
-        if not size[0]:
-            break
-        last = size[0] <= 16 * size[1] or round_no == hub_rounds
-        across = p.select("t", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("c_id").alias("c_b"))
-        smaller = i.select("t", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("c_id").alias("c_a"))
-        if not last:
-            rank = F.struct(F.xxhash64(F.lit(round_no), "a").alias("r"), "a", "n_a", "c_a")
-            smaller = smaller.groupBy("t").agg(F.min(rank).alias("x")).select("t", "x.a", "x.n_a", "x.c_a")
-        before = F.struct(F.col("n_a").alias("n"), F.col("a").alias("id")) < F.struct(F.col("n_b").alias("n"), F.col("b").alias("id"))
-        pairs = across.join(smaller, "t").filter((F.col("c_a") != F.col("c_b")) & close & before)
-        more = written(checked(pairs), "links")
-        if more.limit(1).count():
-            links = links.union(more)
-            found = components(links)
-        if last:
-            break
-    least = found.join(found.groupBy("component").agg(F.min("id").alias("component_id")), "component").select("id", "component_id")
-    return sig.select("id", "n").join(least, "id", "left").select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    # what is left: pairs of different components
+    named_rows = written(member_of.join(found.withColumnRenamed("id", "row"), "row", "left").withColumn("comp", F.coalesce("component", "row")).drop("component"), "members")
+    by_comp = named_rows.groupBy("g", "comp").agg(F.count("*").alias("m"))
+    top = written(by_comp.groupBy("g").agg(F.sum("m").alias("c"), F.max(F.struct("m", "comp")).alias("top")).filter("c > top.m").select("g", "c", F.col("top.m").alias("m"), F.col("top.comp").alias("most")), "top")
+    rest, large = F.ceil((F.col("c") - F.col("m")) / block).cast("long"), F.ceil(F.col("m") / block).cast("long")
+    split, is_top = F.col("c") > block, F.col("comp") == F.col("most")
+    own = F.when(~split, zero).when(is_top, rest + salted(large)).otherwise(salted(rest))
+    others = F.when(~split, F.array(zero)).when(is_top, F.sequence(zero, rest - 1)).otherwise(F.sequence(zero, rest + large - 1))
+    second = named_rows.join(top, "g").withColumn("own", own).withColumn("other", F.explode(others))
+    second = second.select("g", "row", "low", "comp", "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"))
+    more = candidates(second, False).join(pairs, ["a", "b"], "left_anti")
+    more = verified(written(more, "candidates"))
+    if more.limit(1).count():
+        found = components(links.union(more))
+    nodes = known.select("row", "id").join(found.withColumnRenamed("id", "row"), "row")
+    least = nodes.join(nodes.groupBy("component").agg(F.min("id").alias("component_id")), "component").select("row", "component_id")
+    discard(bodies, member_of, named_rows, top)
+    return sig.select("row", "id", "n").join(least, "row", "left").select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
