@@ -13,7 +13,8 @@ from sessionloom.llm.common import table, written
 from sessionloom.llm.textvec import Hasher, Texts, mixed, slices
 from sessionloom.operators.graph import components
 
-SKETCH_BITS = 18
+CELL_BITS = 22  # of a shingle's hash: its counter
+SLICES = 64  # of the counters, each summed apart
 ORDERS = 3
 
 
@@ -53,39 +54,50 @@ def ordered(s, classes, order: int, n: int):
     import numpy as np
 
     seed = np.uint64((order + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-    return s[np.lexsort((mixed(s ^ seed), classes[s >> np.uint64(64 - SKETCH_BITS)]))[:n]]
+    return s[np.lexsort((mixed(s ^ seed), classes[s >> np.uint64(64 - CELL_BITS)]))[:n]]
 
 
 def frequency_classes(docs: DataFrame, text_col: str, k: int):
-    """A class for each of 2**18 hash cells: 0 for cells of usual weight, more for those that frequent shingles weigh down.
+    """A class for each of 2**22 hash cells: 0 for cells of usual weight, more for those that frequent shingles weigh down.
 
     Counts every document's distinct shingles; the counters have a fixed size, are
-    summed by Spark in 64 slices and reach the driver as 1 MB.
+    summed by Spark in slices and reach the driver as 16 MB; 4 MB are broadcast.
     """
     import numpy as np
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, total = Hasher(), np.zeros(1 << SKETCH_BITS, np.int64)
+        import zstandard
+
+        hasher, total = Hasher(), np.zeros(1 << CELL_BITS, np.uint32)
         for batch in batches:
             for _, part in slices(batch.column(0).to_pylist()):
-                total += np.bincount((np.concatenate(shingle_sets(part, hasher, k)) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+                np.add.at(total, (np.concatenate(shingle_sets(part, hasher, k)) >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
         if total.any():
-            cut = np.split(total, 64)
-            yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([c.astype("<i8").tobytes() for c in cut], pa.binary())], names=["cell", "counts"])
+            shrink = zstandard.ZstdCompressor(level=1).compress
+            for i, c in enumerate(np.split(total, SLICES)):
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([shrink(c.astype("<u4").tobytes())], pa.binary())], names=["cell", "counts"])
 
     def add(t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(b, "<i8") for b in t.column("counts").to_pylist())
-        return pa.table({"cell": pa.array([t.column("cell")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+        import zstandard
+
+        open_, total = zstandard.ZstdDecompressor().decompress, np.zeros((1 << CELL_BITS) // SLICES, np.uint64)
+        for b in t.column("counts"):
+            total += np.frombuffer(open_(b.as_py()), "<u4")
+        most = np.minimum(total, (1 << 32) - 1).astype("<u4").tobytes()
+        return pa.table({"cell": pa.array([t.column("cell")[0].as_py()], pa.int32()), "counts": pa.array([zstandard.ZstdCompressor(level=1).compress(most)], pa.binary())})
+
+    import zstandard
 
     schema = "cell int, counts binary"
     sliced = docs.select(text_col).mapInArrow(count, schema)
     # in two steps, so that no group has more than a few slices
     part = sliced.withColumn("g", F.spark_partition_id() % 32).groupBy("cell", "g").applyInArrow(add, schema)
-    total = np.zeros(1 << SKETCH_BITS, np.int64)
+    total = np.zeros((SLICES, (1 << CELL_BITS) // SLICES), np.uint32)
     for cell, counts in part.groupBy("cell").applyInArrow(add, schema).collect():
-        total[cell * (len(total) // 64) : (cell + 1) * (len(total) // 64)] = np.frombuffer(counts, "<i8")
-    mean = np.median(total) + 1
-    over = np.maximum(total - mean, 0) / (6 * np.sqrt(mean))
+        total[cell] = np.frombuffer(zstandard.ZstdDecompressor().decompress(counts), "<u4")
+    total = total.ravel()
+    mean = float(np.median(total)) + 1
+    over = np.maximum(total - mean, 0) / (3 * np.sqrt(mean))
     return np.where(over < 1, 0, np.ceil(np.log2(over + 1))).astype(np.uint8)
 
 
@@ -118,7 +130,12 @@ class Members:
         new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
         self.first = np.flatnonzero(new)
         self.size = np.diff(np.append(self.first, batch.num_rows))
-        self.lists = [self._flat(batch.column(f"in_{o}"), np.int64) for o in range(1, ORDERS)]
+        self.lists = []
+        for o in range(1, ORDERS):
+            flat, at = self._flat(batch.column(f"in_{o}"), np.int64)
+            flat = np.unique(flat, return_inverse=True)[1]
+            keys = np.repeat(np.arange(batch.num_rows), np.diff(at)) * (int(flat.max(initial=0)) + 1) + flat
+            self.lists.append((np.sort(keys), flat, at))
         self.words, self.at = self._flat(batch.column("sketch"), np.uint64)
 
     @staticmethod
@@ -131,11 +148,11 @@ class Members:
         return c.flatten().to_numpy().astype(kind), c.offsets.to_numpy().astype(np.int64) - c.offsets[0].as_py()
 
     def pairs(self):
-        """(a, b): places of the pairs of each group that size, band, block and component allow; about a million at a time."""
+        """(a, b): places of the pairs of each group that size, band, block and component allow; about 2**18 at a time."""
         import numpy as np
 
         cost = np.cumsum(self.size.astype(np.int64) ** 2)
-        cuts = np.searchsorted(cost, np.arange(1 << 20, cost[-1] + (1 << 20), 1 << 20), "left") + 1
+        cuts = np.searchsorted(cost, np.arange(1 << 18, cost[-1] + (1 << 18), 1 << 18), "left") + 1
         for lo, hi in zip(np.append(0, cuts[:-1]), cuts, strict=True):
             first, size = self.first[lo:hi], self.size[lo:hi].astype(np.int64)
             if not len(size):
@@ -148,21 +165,19 @@ class Members:
             ok = (self.comp[a] != self.comp[b]) & (100 * small >= self.percent * large) & (self.low[a] | self.low[b]) & (self.diagonal[a] | (self.own[a] != self.own[b]))
             yield a[ok], b[ok]
 
-    def meet(self, flat, at, a, b):
-        """Whether the sorted lists of a and b share an entry."""
+    def meet(self, keys, flat, at, a, b):
+        """Whether the lists of a and b share an entry; ``keys``: (row, entry) of all, sorted, as one number each."""
         import numpy as np
 
-        size = (at[a + 1] - at[a]).astype(np.int64)
-        which = np.repeat(np.arange(len(a)), size)
-        mine = flat[np.repeat(at[a] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-        # entries numbered, so that a (row, entry) key is one number
-        names, code = np.unique(flat, return_inverse=True)
-        held = np.repeat(np.arange(len(at) - 1), np.diff(at)) * np.int64(len(names)) + code
-        held.sort()
-        want = b[which] * np.int64(len(names)) + np.searchsorted(names, mine)
-        found = held[np.minimum(np.searchsorted(held, want), len(held) - 1)] == want if len(held) else np.zeros(len(want), bool)
-        out = np.zeros(len(a), bool)
-        out[which[found]] = True
+        size, out = at[a + 1] - at[a], np.zeros(len(a), bool)
+        ends = np.cumsum(size)
+        cuts = np.unique(np.append(np.searchsorted(ends, np.arange(1 << 19, int(ends[-1]) if len(a) else 0, 1 << 19)), len(a)))
+        for lo, hi in zip(np.append(0, cuts[:-1]), cuts, strict=True):
+            n = size[lo:hi]
+            which = np.repeat(np.arange(lo, hi), n)
+            mine = flat[np.repeat(at[a[lo:hi]] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            want = b[which] * (int(flat.max()) + 1) + mine
+            out[which[keys[np.minimum(np.searchsorted(keys, want), len(keys) - 1)] == want]] = True
         return out
 
     def bound(self, a, b):
@@ -173,7 +188,7 @@ class Members:
         width = np.diff(self.at)
         for w in np.unique(np.minimum(width[a], width[b])).tolist():
             of = np.flatnonzero(np.minimum(width[a], width[b]) == w)
-            step = max(1, (1 << 20) // w)
+            step = max(1, (1 << 18) // w)
             for at in range(0, len(of), step):
                 p = of[at : at + step]
                 x, y = (self._cells(r[p], w, width) for r in (a, b))
@@ -196,8 +211,8 @@ class Members:
         import numpy as np
 
         for a, b in self.pairs():
-            for flat, at in self.lists:
-                ok = self.meet(flat, at, a, b)
+            for each in self.lists:
+                ok = self.meet(*each, a, b)
                 a, b = a[ok], b[ok]
             common = self.bound(a, b)
             total = self.n[a] + self.n[b] - common
