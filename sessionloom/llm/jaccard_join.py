@@ -101,6 +101,29 @@ def frequency_classes(docs: DataFrame, text_col: str, k: int):
     return np.where(over < 1, 0, np.ceil(np.log2(over + 1))).astype(np.uint8)
 
 
+def maybe_in(column: str, of: DataFrame):
+    """A filter on ``column``: false only for values that are not in ``of``'s column of that name.
+
+    A bit for each of 2**23 hash cells, whatever the size of ``of``: at most 131 072
+    numbers reach the driver and are broadcast.  What passes is joined afterwards;
+    the filter only spares rows the shuffle.
+    """
+    import numpy as np
+
+    cell = F.pmod(F.xxhash64(column), F.lit(1 << 23))
+    words = of.select(cell.alias("c")).groupBy(F.shiftright("c", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(c & 63 as int)))").alias("bits")).toArrow()
+    bits = np.zeros(1 << 17, np.uint64)
+    bits[words.column("w").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    shared = of.sparkSession.sparkContext.broadcast(bits)
+
+    @F.arrow_udf("boolean")
+    def maybe(c: pa.Array) -> pa.Array:
+        at = c.to_numpy(zero_copy_only=False)
+        return pa.array((shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+
+    return maybe(cell)
+
+
 def sketch(s) -> bytes:
     """A bit for each token in a power of two of cells, four to eight a token."""
     import numpy as np
@@ -311,7 +334,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     named = known.groupBy("id").agg(F.min("row").alias("rep"), F.count("*").alias("m")).filter("m > 1").drop("m")
     same_id = written(known.select("row", "id").join(named, "id").filter("row != rep").select("row", "rep"), "ids")
     fixed = equal.union(same_id).select(F.col("rep").alias("a"), F.col("row").alias("b"))
-    reps = known.join(equal.select("row"), "row", "left_anti")
+    maybe = maybe_in("row", equal)
+    reps = known.filter(~maybe).union(known.filter(maybe).join(equal.select("row"), "row", "left_anti").select(known.columns))
 
     def groups(order: int, of: DataFrame) -> DataFrame:
         """(g, row, low): rows of ``of`` that share a prefix token of the order, by size band."""
@@ -332,13 +356,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     grouped, left, found = [], reps, []
     for order in range(ORDERS):
         grouped.append(groups(order, left))
-        left = left.join(written(grouped[-1].select("row").distinct(), "left"), "row", "left_semi")
-    staying = written(left.select("row"), "staying")
+        staying = written(grouped[-1].select("row").distinct(), "left")
+        left = known.filter(maybe_in("row", staying)).join(staying, "row", "left_semi")
     lists = staying
     for order in range(1, ORDERS):
         own = grouped[order].join(staying, "row", "left_semi").groupBy("row").agg(F.sort_array(F.collect_list("g")).alias(f"in_{order}"))
         lists = lists.join(own, "row")
-    bodies = written(lists.join(known.select("row", "n", "sketch"), "row"), "bodies")
+    bodies = written(lists.join(known.filter(maybe_in("row", staying)).select("row", "n", "sketch"), "row"), "bodies")
     member_of = written(grouped[0].join(staying, "row", "left_semi"), "members")
     discard(*grouped, staying)
 
@@ -372,7 +396,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def verified(pairs: DataFrame) -> DataFrame:
         """The links among pairs of rows; only now their texts are fetched."""
         wanted = written(known.join(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), "row", "left_semi").select("row", "id", "h"), "wanted")
-        texts = source.join(wanted, "id").filter(digest("text") == F.col("h")).groupBy("row").agg(F.first("text").alias("text"))
+        texts = source.filter(maybe_in("id", wanted)).join(wanted, "id").filter(digest("text") == F.col("h")).groupBy("row").agg(F.first("text").alias("text"))
         texts = written(texts, "texts")
         both = pairs
         for c in "ab":
