@@ -7,21 +7,26 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions.scalars import epoch_ms
 
-#: Order of events at one instant.
-RANKS = {"session-start": 0, "speech-start": 1, "transcript": 2, "audio-tag": 3, "event": 4, "sound-span": 5, "location": 6, "speech-end": 8, "session-end": 9}
+#: Order of events at one instant.  A span that ends comes before one that starts.
+RANKS = {"session-start": 0, "speech-end": 1, "speech-start": 2, "transcript": 3, "audio-tag": 4, "sound-span": 5, "location-point": 6, "session-end": 100}
+UNKNOWN_RANK = 50
+
+
+def rank_of(kind: str) -> int:
+    return RANKS.get(kind, UNKNOWN_RANK)
 
 
 def session_frame(sessions: DataFrame) -> DataFrame:
     """Start of every session, and end of those that have ended."""
-    start = sessions.select("session_id", F.lit(0).cast("long").alias("at_ms"), F.lit("session-start").alias("type"), F.lit(0).alias("rank"), F.col("session_id").cast("string").alias("source"))
+    start = sessions.select("session_id", F.lit(0).cast("long").alias("at_ms"), F.lit("session-start").alias("type"), F.lit(rank_of("session-start")).alias("rank"), F.col("session_id").cast("string").alias("source"))
     elapsed = F.greatest(epoch_ms(F.col("ended_at")) - epoch_ms(F.col("started_at")), F.lit(0))
-    end = sessions.filter(F.col("ended_at").isNotNull()).select("session_id", elapsed.alias("at_ms"), F.lit("session-end").alias("type"), F.lit(9).alias("rank"), F.col("session_id").cast("string").alias("source"))
+    end = sessions.filter(F.col("ended_at").isNotNull()).select("session_id", elapsed.alias("at_ms"), F.lit("session-end").alias("type"), F.lit(rank_of("session-end")).alias("rank"), F.col("session_id").cast("string").alias("source"))
     return start.unionByName(end)
 
 
 def speech_events(spans: DataFrame) -> DataFrame:
     """A start and an end event of each speech span (session_id, start_ms, end_ms, source)."""
-    both = F.array(F.struct(F.col("start_ms").alias("at_ms"), F.lit("speech-start").alias("type"), F.lit(1).alias("rank")), F.struct(F.col("end_ms").alias("at_ms"), F.lit("speech-end").alias("type"), F.lit(8).alias("rank")))
+    both = F.array(F.struct(F.col("start_ms").alias("at_ms"), F.lit("speech-start").alias("type"), F.lit(rank_of("speech-start")).alias("rank")), F.struct(F.col("end_ms").alias("at_ms"), F.lit("speech-end").alias("type"), F.lit(rank_of("speech-end")).alias("rank")))
     return spans.select("session_id", "source", F.explode(both).alias("e")).select("session_id", "e.*", "source")
 
 

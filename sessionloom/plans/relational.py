@@ -165,7 +165,7 @@ def tenant_scope(spark, sf_dir):
     return T(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", "l_linenumber")
 
 
-@query("layered_parameters", "SELECT c_custkey, coalesce(CASE WHEN c_custkey % 10 = 0 THEN 0.5 END, CASE WHEN c_custkey % 3 = 0 THEN 0.0 END, 0.65) AS distance FROM customer")
+@query("layered_parameters", "SELECT c_custkey, CAST(coalesce(CASE WHEN c_custkey % 10 = 0 THEN 0.5 END, CASE WHEN c_custkey % 3 = 0 THEN 0.0 END, 0.65) AS DOUBLE) AS distance FROM customer")
 def layered_parameters(spark, sf_dir):
     c = T(spark, sf_dir, "customer").select("c_custkey")
     own = c.filter("c_custkey % 3 = 0").select("c_custkey", F.lit(0.0).alias("own"))
@@ -179,12 +179,24 @@ def talk_gate(spark, sf_dir):
     return d.turns(spark, sf_dir).filter((F.col("k") % 10 == 0) | talk.isNull() | (talk >= 3000)).select("session_id", "turn_id")
 
 
-@query("frame_sequence_check", "WITH o AS (SELECT event_id, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS seq, max(CAST(json_extract_string(props, '$.k') AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM events) SELECT event_id, CASE WHEN best IS NULL OR seq > best THEN 'ok' WHEN seq = best THEN 'duplicate' ELSE 'late' END AS verdict FROM o")
+FRAME_CHECK_SQL = """
+WITH e AS (SELECT event_id, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS seq FROM events),
+a AS (SELECT x.event_id, x.user_id, x.seq, coalesce(max(y.seq), -1) AS highest FROM e x LEFT JOIN e y ON y.user_id = x.user_id AND y.event_id < x.event_id GROUP BY ALL),
+stored AS (SELECT *, (SELECT count(*) FROM a b WHERE b.user_id = a.user_id AND b.event_id < a.event_id AND b.seq > b.highest) AS before FROM a WHERE seq > highest),
+through AS (SELECT user_id, event_id, seq FROM stored WHERE seq = before)
+SELECT event_id, CASE WHEN seq > highest THEN 'ok' WHEN seq <= coalesce((SELECT max(t.seq) FROM through t WHERE t.user_id = a.user_id AND t.event_id < a.event_id), -1) THEN 'duplicate' ELSE 'bad_sequence' END AS verdict FROM a
+"""
+
+
+@query("frame_sequence_check", FRAME_CHECK_SQL)
 def frame_sequence_check(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
-    seq = F.get_json_object("props", "$.k").cast("long")
-    e = T(spark, sf_dir, "events").withColumn("seq", seq).withColumn("best", F.max("seq").over(w))
-    return e.select("event_id", F.when(F.col("best").isNull() | (F.col("seq") > F.col("best")), "ok").when(F.col("seq") == F.col("best"), "duplicate").otherwise("late").alias("verdict"))
+    """A frame over the highest so far is stored; one at or below the gap-free part is a duplicate, any other is refused."""
+    before = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
+    e = T(spark, sf_dir, "events").select("event_id", "user_id", F.get_json_object("props", "$.k").cast("long").alias("seq"))
+    e = e.withColumn("stored", F.col("seq") > F.coalesce(F.max("seq").over(before), F.lit(-1)))
+    e = e.withColumn("place", F.when(F.col("stored"), F.coalesce(F.sum(F.col("stored").cast("long")).over(before), F.lit(0))))
+    through = F.coalesce(F.max(F.when(F.col("seq") == F.col("place"), F.col("seq"))).over(before), F.lit(-1))
+    return e.select("event_id", F.when(F.col("stored"), "ok").when(F.col("seq") <= through, "duplicate").otherwise("bad_sequence").alias("verdict"))
 
 
 @query("acked_through", "WITH s AS (SELECT DISTINCT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS seq FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq) - 1 AS i FROM s) SELECT user_id, max(seq) AS through, count(*) AS stored FROM r WHERE seq = i GROUP BY user_id")
@@ -305,17 +317,23 @@ def location_batch_check(spark, sf_dir):
 
 
 EVENTS_SQL = d.SESSION_EVENTS + """,
+spoken AS (SELECT session_id, at_ms AS start_ms, at_ms + 1 + CAST(floor(value * 40) AS BIGINT) AS end_ms, CAST(event_id AS VARCHAR) AS source FROM session_events),
 tl AS (SELECT session_id, 0 AS at_ms, 'session-start' AS type, 0 AS rank, CAST(session_id AS VARCHAR) AS source FROM sessions
- UNION ALL SELECT session_id, epoch_ms(ended_at) - epoch_ms(started_at), 'session-end', 9, CAST(session_id AS VARCHAR) FROM sessions WHERE ended_at IS NOT NULL
- UNION ALL SELECT session_id, at_ms, event_type, 4, CAST(event_id AS VARCHAR) FROM session_events)"""
+ UNION ALL SELECT session_id, epoch_ms(ended_at) - epoch_ms(started_at), 'session-end', 100, CAST(session_id AS VARCHAR) FROM sessions WHERE ended_at IS NOT NULL
+ UNION ALL SELECT session_id, end_ms, 'speech-end', 1, source FROM spoken
+ UNION ALL SELECT session_id, start_ms, 'speech-start', 2, source FROM spoken
+ UNION ALL SELECT session_id, at_ms, event_type, 50, CAST(event_id AS VARCHAR) FROM session_events)"""
 
 
 @query("session_timeline", f"WITH {EVENTS_SQL} SELECT session_id, at_ms, type, source, row_number() OVER (PARTITION BY session_id ORDER BY at_ms, rank, source, type) AS place FROM tl WHERE at_ms >= 0 AND at_ms < 90000000")
 def session_timeline(spark, sf_dir):
-    from sessionloom.operators.timeline import assembled
+    from sessionloom.operators.timeline import UNKNOWN_RANK, assembled, speech_events
 
     s, e = d.sessions(spark, sf_dir), d.session_events(spark, sf_dir)
-    out = assembled(s, {"event": e.select("session_id", "at_ms", F.col("event_type").alias("type"), F.lit(4).alias("rank"), F.col("event_id").cast("string").alias("source"))}, 0, 90_000_000)
+    source = F.col("event_id").cast("string").alias("source")
+    spoken = e.select("session_id", F.col("at_ms").alias("start_ms"), (F.col("at_ms") + 1 + F.floor(F.col("value") * 40)).alias("end_ms"), source)
+    other = e.select("session_id", "at_ms", F.col("event_type").alias("type"), F.lit(UNKNOWN_RANK).alias("rank"), source)
+    out = assembled(s, {"speech": speech_events(spoken), "event": other}, 0, 90_000_000)
     w = Window.partitionBy("session_id").orderBy("at_ms", "rank", "source", "type")
     return out.select("session_id", "at_ms", "type", "source", F.row_number().over(w).cast("long").alias("place"))
 

@@ -66,20 +66,23 @@ def idle_sessions(spark, sf_dir):
     return s.select("user_id", epoch_ms(F.col("started_at")).alias("started_ms"), epoch_ms(F.col("ended_at")).alias("ended_ms"), "events")
 
 
-@query("heartbeats", "SELECT user_id, epoch_ms(max(ts)) AS last_ms FROM events GROUP BY user_id, time_bucket(INTERVAL 1 MINUTE, ts)")
+@query("heartbeats", "WITH RECURSIVE b AS (SELECT user_id, min(ts) AS ts FROM events GROUP BY user_id UNION ALL SELECT b.user_id, min(e.ts) FROM b JOIN events e ON e.user_id = b.user_id AND e.ts > b.ts + INTERVAL 1 MINUTE GROUP BY b.user_id, b.ts) SELECT user_id, epoch_ms(ts) AS last_ms FROM b")
 def heartbeats(spark, sf_dir):
     h = st.heartbeats(d.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
     return h.select("user_id", epoch_ms(F.col("last_at")).alias("last_ms"))
 
 
-@query("live_location_events", "SELECT user_id, count(*) AS events, min(event_id) AS first_id, max(event_id) AS last_id FROM events GROUP BY user_id")
+@query("live_location_events", "SELECT user_id, epoch_ms(ts) + t AS at_ms, event_id * 10 + t // 20000 AS point, value + t / 20000.0 AS lat FROM events, (SELECT unnest([0, 20000]) AS t) WHERE value IS NOT NULL AND t < 30000")
 def live_location_events(spark, sf_dir):
-    live = event_stream(spark, sf_dir).select("user_id", "event_id", F.explode(F.array("value")).alias("v"))
-    return st.drained(live, f"live_{uuid.uuid4().hex}").groupBy("user_id").agg(F.count("*").alias("events"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
+    """Each streamed location batch as location-point events; a batch has two points within its half-open window and one at its end."""
+    point = lambda t: F.struct((F.col("value") + t / 20000.0).alias("lat"), F.lit(float(t)).alias("lon"), F.lit(t).cast("long").alias("t"))
+    batches = event_stream(spark, sf_dir).filter("value is not null").select("user_id", "event_id", epoch_ms(F.col("ts")).alias("captured_ms"), F.lit(30_000).alias("duration_ms"), F.array(point(0), point(20_000), point(30_000)).alias("points"))
+    live = st.location_events(batches)
+    return st.drained(live, f"live_{uuid.uuid4().hex}").select("user_id", "at_ms", (F.col("event_id") * 10 + F.col("t") / 20000).cast("long").alias("point"), "lat")
 
 
-@query("energy_frames", "WITH d AS (SELECT doc_id % 20 AS session_id, doc_id AS sequence, strlen(coalesce(text, '')) // 2 * 2 AS n FROM documents WHERE strlen(text) % 2 = 0), t AS (SELECT session_id, sum(n) AS n FROM d GROUP BY ALL) SELECT session_id, CAST(n // 1024 AS BIGINT) AS frames FROM t WHERE n >= 1024")
+@query("energy_frames", "WITH d AS (SELECT doc_id % 20 AS session_id, strlen(coalesce(text, '')) // 2 * 2 AS n FROM documents), t AS (SELECT session_id, sum(n) AS n FROM d GROUP BY ALL) SELECT session_id, CAST(n // 1024 AS BIGINT) AS frames FROM t WHERE n >= 1024")
 def energy_frames(spark, sf_dir):
-    docs = d.table(spark, sf_dir, "documents").filter(F.octet_length("text") % 2 == 0)
-    seg = docs.select((F.col("doc_id") % 20).alias("session_id"), F.col("doc_id").alias("sequence"), F.concat(F.encode(F.repeat(F.lit("."), F.lit(44)), "UTF-8"), F.encode("text", "UTF-8")).alias("content"))
+    docs = d.table(spark, sf_dir, "documents")
+    seg = docs.select((F.col("doc_id") % 20).alias("session_id"), F.col("doc_id").alias("sequence"), F.concat(F.encode(F.repeat(F.lit("."), F.lit(44)), "UTF-8"), F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("content"))
     return pcm.energy_frames(seg).groupBy("session_id").agg(F.count("*").alias("frames"))

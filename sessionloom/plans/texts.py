@@ -63,12 +63,12 @@ def search_transcripts(spark, sf_dir):
     return tx.search(corpus(spark, sf_dir), asked(spark, sf_dir), "id", "text")
 
 
-@query("headlines", "SELECT doc_id, count(*) AS segments, count(CASE WHEN m THEN 1 END) AS matches FROM (SELECT doc_id, unnest(regexp_extract_all(replace(replace(text, '[[', ''), ']]', ''), '[^ \\n]+')) LIKE '%the%' AS m FROM documents WHERE lang = 'en') GROUP BY doc_id")
+@query("headlines", "SELECT doc_id, count(*) AS segments, count(CASE WHEN m THEN 1 END) AS matches FROM (SELECT doc_id, unnest(regexp_extract_all(replace(replace(text, '[[', ''), ']]', ''), '[^ \\n]+')) LIKE '%the%' AS m FROM documents) GROUP BY doc_id")
 def headlines(spark, sf_dir):
-    en = d.table(spark, sf_dir, "documents").filter("lang = 'en'").withColumn("t", F.regexp_replace("text", r"\[\[|\]\]", ""))
+    docs = d.table(spark, sf_dir, "documents").withColumn("t", F.regexp_replace("text", r"\[\[|\]\]", ""))
     words = F.regexp_extract_all("t", F.lit(r"[^ \n]+"), F.lit(0))
     marked = F.array_join(F.transform(words, lambda w: F.when(w.contains("the"), F.concat(F.lit("[["), w, F.lit("]]"))).otherwise(w)), "][".replace("][", " "))
-    seg = en.select("doc_id", F.size(words).alias("n"), tx.snippet_segments(marked).alias("s"))
+    seg = docs.select("doc_id", F.size(words).alias("n"), tx.snippet_segments(marked).alias("s"))
     return seg.filter("n > 0").select("doc_id", F.col("n").cast("long").alias("segments"), F.size(F.filter("s", lambda x: x["match"])).cast("long").alias("matches"))
 
 

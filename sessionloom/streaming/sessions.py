@@ -175,11 +175,30 @@ def idle_sessions(activity: DataFrame, *, idle: str = "300 seconds", watermark:
     return g.select("user_id", F.col("w.start").alias("started_at"), F.col("w.end").alias("ended_at"), "events")
 
 
-def heartbeats(activity: DataFrame, *, every: str = "1 minute", watermark: str = "10 minutes") -> DataFrame:
-    """At most one activity time per session and ``every``."""
-    a = activity.withWatermark("ts", watermark) if activity.isStreaming else activity
-    g = a.groupBy("user_id", F.window("ts", every).alias("w")).agg(F.max("ts").alias("last_at"))
-    return g.select("user_id", "last_at")
+def heartbeats(activity: DataFrame, *, every_ms: int = 60_000) -> DataFrame:
+    """(user_id, last_at): the activity times that are written when one is only once the last written is older than ``every_ms`` (batch).
+
+    After a rest longer than that the next one is written whatever came before, so
+    rests cut the data into islands; each is folded on its own.
+    """
+    w = Window.partitionBy("user_id").orderBy("ts")
+    t = F.unix_micros("ts")
+    a = activity.filter("ts is not null").select("user_id", "ts", t.alias("t"), F.coalesce((t - F.lag(t).over(w) > every_ms * 1000).cast("int"), F.lit(1)).alias("new"))
+    a = a.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    times = a.groupBy("user_id", "island").agg(F.array_sort(F.collect_list("t")).alias("times"))
+    last = lambda out: F.element_at(out, -1)
+    kept = F.aggregate(F.slice("times", 2, F.size("times")), F.slice("times", 1, 1), lambda out, x: F.when(x - last(out) > every_ms * 1000, F.concat(out, F.array(x))).otherwise(out))
+    return times.select("user_id", F.explode(kept).alias("t")).select("user_id", F.timestamp_micros("t").alias("last_at"))
+
+
+def location_events(batches: DataFrame) -> DataFrame:
+    """Location-point events of location batches (captured_ms, duration_ms, points), batch or stream.
+
+    A point counts in its batch's half-open window only, so that batches side by side
+    part the points.  Adds at_ms, lat, lon and the point's own t.
+    """
+    points = batches.select(*[c for c in batches.columns if c != "points"], F.explode("points").alias("point")).filter((F.col("point.t") >= 0) & (F.col("point.t") < F.col("duration_ms")))
+    return points.select("*", (F.col("captured_ms") + F.col("point.t")).alias("at_ms"), "point.lat", "point.lon", "point.t").drop("point")
 
 
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:

@@ -1,5 +1,7 @@
 """Compare a Spark result with DuckDB's, rows in any order."""
 
+from decimal import Decimal
+
 import duckdb
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -16,7 +18,7 @@ def connection(sf):
 def plain(v):
     if v is None or v != v:
         return "null"
-    if isinstance(v, float):
+    if isinstance(v, (float, Decimal)):
         return f"{v:.6f}".rstrip("0").rstrip(".")
     return str(v)
 
