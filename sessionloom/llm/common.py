@@ -15,7 +15,15 @@ def dropped(df: DataFrame, names: list[str]) -> DataFrame:
     return df.drop(*clash) if clash else df
 
 
-__all__ = ["dropped", "fit_logistic", "held_out", "labelled_sample", "table", "written"]
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` is called so: for an operator's inner columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+__all__ = ["dropped", "free_name", "fit_logistic", "held_out", "labelled_sample", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

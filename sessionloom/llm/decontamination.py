@@ -9,7 +9,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import dropped, table
+from sessionloom.llm.common import dropped, free_name, table, written
 
 OUTPUTS = ["n_words", "n_hit", "item_ids", "spans"]
 RESULT = "n_words long, n_hit long, item_ids array<string>, spans array<struct<word_start: long, word_end: long, byte_start: long, byte_end: long>>"
@@ -147,28 +147,23 @@ def merged(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def automata(benchmark: DataFrame, *, item_id_col: str, item_text_col: str, window: int, block_words: int, max_benchmark_bytes: int) -> list[Automaton]:
-    """The benchmark as automata of about ``block_words`` words each; its size is checked before it is fetched."""
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length(item_text_col)), F.lit(0))).first()[0]
-    if size > max_benchmark_bytes:
-        raise ValueError(f"the benchmark has {size} bytes of text; max_benchmark_bytes is {max_benchmark_bytes}: pass it in parts")
-    bytemap, blocks, n = word_table(), [[]], 0
-    for name, text in benchmark.select(F.coalesce(F.col(item_id_col).cast("string"), F.lit("null")), item_text_col).distinct().collect():
-        words = (text or "").encode().translate(bytemap).split()
-        if n and n + len(words) > block_words:
-            blocks, n = [*blocks, []], 0
-        blocks[-1].append((name, words))
-        n += len(words)
-    return [Automaton(b, window) for b in blocks]
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_words: int = 2_000_000, max_benchmark_bytes: int = 256 << 20) -> DataFrame:
+def block_of(benchmark: DataFrame, i: int, n_blocks: int, *, item_id_col: str, item_text_col: str, window: int) -> Automaton:
+    """The automaton of the benchmark's block ``i``: the items whose hash falls there; only they are fetched."""
+    bytemap = word_table()
+    items = benchmark.select(F.coalesce(F.col(item_id_col).cast("string"), F.lit("null")).alias("name"), F.col(item_text_col).alias("words")).distinct()
+    mine = items.filter(F.pmod(F.xxhash64("name", "words"), F.lit(n_blocks)) == i).collect()
+    return Automaton([(name, (text or "").encode().translate(bytemap).split()) for name, text in mine], window)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
     """Where each document repeats a test item.
 
     Words: runs of ASCII letters (case folded), digits and non-ASCII characters.
     An item's windows: its runs of ``window`` words; a shorter item, if it has a
     word, is one window.  The documents' words run through the automaton, which
-    tracks the longest match ending at each word; no row moves.
+    tracks the longest match ending at each word; no row moves.  A benchmark of over
+    ``block_bytes`` bytes of text goes in blocks, one broadcast and one pass each, the
+    passes' spans merged; a single longer item is one block.
 
     Adds n_words, n_hit (words inside an occurrence of a window), item_ids (sorted,
     distinct; items any of whose windows occur) and spans (maximal ranges of hit
@@ -178,60 +173,71 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     nothing.  Input columns named like these outputs are replaced.
     """
     spark = docs.sparkSession
-    autos = automata(benchmark, item_id_col=item_id_col, item_text_col=item_text_col, window=window, block_words=block_words, max_benchmark_bytes=max_benchmark_bytes)
-    shared = spark.sparkContext.broadcast(cloudpickle.dumps(autos))  # with its class, which executors need not have
+    size = benchmark.agg(F.coalesce(F.sum(F.octet_length(item_text_col)), F.lit(0))).first()[0]
+    n_blocks = max(1, -(-size // block_bytes))
     kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([(k, pa.int64()) for k in ("word_start", "word_end", "byte_start", "byte_end")])))])
 
-    @F.arrow_udf(RESULT)
-    def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        import pickle
-        import re
-
-        autos, bytemap, word = pickle.loads(shared.value), word_table(), re.compile(rb"[^ ]+")
-        for batch in batches:
-            out = []
-            for value in batch:
-                text = value.as_py()
-                if not text:
-                    out.append({"n_words": 0, "n_hit": 0, "item_ids": [], "spans": []})
-                    continue
-                plain = text.encode().translate(bytemap)
-                words = plain.split()
-                found, items = autos[0].hits(words)
-                for a in autos[1:]:
-                    more, names = a.hits(words)
-                    found, items = found + more, items | names
-                found = merged(found) if found else found
-                spans = []
-                if found:
-                    at = [m.span() for m in word.finditer(plain)]
-                    spans = [{"word_start": s, "word_end": e, "byte_start": at[s][0], "byte_end": at[e - 1][1]} for s, e in found]
-                out.append({"n_words": len(words), "n_hit": sum(e - s for s, e in found), "item_ids": sorted(items), "spans": spans})
-            yield pa.array(out, kind)
+    def scanner(auto: Automaton):
+        shared = spark.sparkContext.broadcast(cloudpickle.dumps(auto))  # with its class, which executors need not have
+
+        @F.arrow_udf(RESULT)
+        def scan(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            import pickle
+            import re
+
+            auto, bytemap, word = pickle.loads(shared.value), word_table(), re.compile(rb"[^ ]+")
+            for texts, before in batches:
+                out = []
+                for value, last in zip(texts, before, strict=True):
+                    text = value.as_py()
+                    if not text:
+                        out.append({"n_words": 0, "n_hit": 0, "item_ids": [], "spans": []})
+                        continue
+                    plain = text.encode().translate(bytemap)
+                    words = plain.split()
+                    found, items = auto.hits(words)
+                    if last.is_valid:
+                        known = last.as_py()
+                        found = merged(found + [[s["word_start"], s["word_end"]] for s in known["spans"]])
+                        items = items | set(known["item_ids"])
+                    spans = []
+                    if found:
+                        at = [m.span() for m in word.finditer(plain)]
+                        spans = [{"word_start": s, "word_end": e, "byte_start": at[s][0], "byte_end": at[e - 1][1]} for s, e in found]
+                    out.append({"n_words": len(words), "n_hit": sum(e - s for s, e in found), "item_ids": sorted(items), "spans": spans})
+                yield pa.array(out, kind)
+
+        return scan
 
     docs = dropped(docs, OUTPUTS)
-    return docs.withColumn("_found", scan(F.col(text_col))).select("*", "_found.*").drop("_found")
+    name = free_name(docs, "_found")
+    out = docs.withColumn(name, F.lit(None).cast("struct<" + RESULT + ">"))
+    for i in range(n_blocks):
+        auto = block_of(benchmark, i, n_blocks, item_id_col=item_id_col, item_text_col=item_text_col, window=window)
+        out = out.withColumn(name, scanner(auto)(F.col(text_col), F.col(name)))
+        if i + 1 < n_blocks:
+            out = written(out, "contamination")
+    return out.select(*docs.columns, f"{name}.*")
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", max_span_words: int = 10, max_coverage: float = 0.5, **how) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", max_span_words: int = 0, max_coverage: float = 0.5, **how) -> DataFrame:
     """Documents without what they share with the benchmark.
 
-    A span of ``max_span_words`` hit words or more is cut from the text (a shorter
-    one only if it is a whole short item); a document more than ``max_coverage`` of
+    A span of more than ``max_span_words`` hit words is cut from the text (with 0
+    every span; shorter ones stay); a document more than ``max_coverage`` of
     whose words are hit goes as a whole.  Columns stay those of ``docs``;
     ``n_chars``, if there is one, follows the text.  Untouched texts stay byte for
     byte, null ones null.
     """
     found = contamination(docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text")), benchmark, text_col="_text", **how)
+    found = found.withColumn("spans", F.filter("spans", lambda s: s["word_end"] - s["word_start"] > max_span_words))
     pieces = F.expr(
         "concat_ws('', transform(sequence(0, size(spans)), i -> "
         "decode(substring(encode(_text, 'UTF-8'), int(if(i = 0, 0, spans[i - 1].byte_end)) + 1, "
         "int(if(i = size(spans), octet_length(_text), spans[i].byte_start) - if(i = 0, 0, spans[i - 1].byte_end))), 'UTF-8')))"
     )
     kept = found.filter(F.col("n_hit") <= max_coverage * F.col("n_words"))
-    least = min(max_span_words, how.get("window", 10))
     text = F.when(F.size("spans") == 0, F.col("_text")).otherwise(pieces)
-    assert least >= 1
     out = kept.select("_row.*", text.alias("_clean"))
     columns = [F.col("_clean").alias(c) if c == text_col else F.when(F.col("_clean").isNull() | (F.col("_clean") == F.col(text_col)), F.col(c)).otherwise(F.length("_clean")).cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
     return out.select(*columns)

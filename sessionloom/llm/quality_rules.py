@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import dropped, fit_logistic, labelled_sample, table
+from sessionloom.llm.common import dropped, fit_logistic, free_name, labelled_sample, table
 from sessionloom.llm.textvec import Hasher, Texts, mixed, slices
 
 OUTPUTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "quality_score"]
@@ -149,7 +149,9 @@ def quality_rules(docs: DataFrame, model: tuple, *, text_col: str = "text") -> D
             columns = [np.concatenate(c) for c in zip(*got, strict=True)] if got else [np.empty(0)] * len(OUTPUTS)
             yield pa.StructArray.from_arrays([pa.array(c.astype(np.float64 if k == OUTPUTS[-1] else np.int64)) for c, k in zip(columns, OUTPUTS, strict=True)], fields=list(kind))
 
-    return dropped(docs, OUTPUTS).withColumn("_q", score(F.col(text_col))).select("*", "_q.*").drop("_q")
+    docs = dropped(docs, OUTPUTS)
+    name = free_name(docs, "_q")
+    return docs.withColumn(name, score(F.col(text_col))).select(*docs.columns, f"{name}.*")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str, *, max_train_rows: int = 3000, threshold: float = 0.3) -> DataFrame:

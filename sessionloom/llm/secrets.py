@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.functions.english import STOP_WORDS
-from sessionloom.llm.common import dropped, table, written
+from sessionloom.llm.common import dropped, free_name, table, written
 
 #: (kind, pattern, its group whose length counts, least length)
 BASE = [
@@ -262,13 +262,15 @@ def secret_spans(docs: DataFrame, *, text_col: str = "text", fdr: float = 0.1) -
     bins = thresholds(docs, model, text_col=text_col, fdr=fdr)
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = F.concat(*[found(text, kind, i, pattern, group, least) for i, (kind, pattern, group, least) in enumerate(BASE)])
-    out = dropped(docs, OUTPUTS).withColumn("_base", base)
+    docs = dropped(docs, OUTPUTS)
+    name = free_name(docs, "_base")
+    out = docs.withColumn(name, base)
     if bins:
         limit = F.create_map(*[F.lit(x) for (name, n), b in sorted(bins.items()) for x in (f"{name}{n}", b)])
-        free = F.filter(found(text, "random", len(BASE), CANDIDATE, 0, LEAST), lambda s: ~F.exists(F.col("_base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+        free = F.filter(found(text, "random", len(BASE), CANDIDATE, 0, LEAST), lambda s: ~F.exists(F.col(name), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
         judged = F.filter(F.transform(free, lambda s: F.struct(s.alias("s"), tested(s["word"], model).alias("t"))), lambda x: x["t"]["bin"] >= F.coalesce(limit[F.concat(x["t"]["encoding"], x["t"]["length_class"].cast("string"))], F.lit(BINS)))
-        out = out.withColumn("_base", F.concat("_base", F.transform(judged, lambda x: x["s"])))
-    return out.withColumn("secret_spans", F.transform(F.array_sort("_base"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).drop("_base")
+        out = out.withColumn(name, F.concat(name, F.transform(judged, lambda x: x["s"])))
+    return out.withColumn("secret_spans", F.transform(F.array_sort(name), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).drop(name)
 
 
 def redacted(docs: DataFrame, *, text_col: str = "text", mark: str = "[SECRET]", **how) -> DataFrame:

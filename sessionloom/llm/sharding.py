@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import dropped, table, written
+from sessionloom.llm.common import dropped, free_name, table, written
 
 OUTPUTS = ["shard", "slot"]
 
@@ -52,17 +52,20 @@ def slotted(df: DataFrame, *, by: str, order: list[str], rows_per_chunk: int = 2
     """Adds ``slot``: 0, 1, 2, ... within each value of ``by``.
 
     Rows are numbered within chunks of about ``rows_per_chunk`` rows (a hash of
-    ``order``), and each chunk starts where the chunks before it end, so no task
+    ``order`` and of the row's place, so that equal rows are spread too), and each chunk starts where the chunks before it end, so no task
     holds a whole shard.
     """
     n_chunks = max(8, -(-df.count() // rows_per_chunk))
-    df = df.withColumn("_chunk", F.pmod(F.xxhash64(*order), F.lit(n_chunks)))
-    sizes = df.groupBy(by, "_chunk").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(F.col(by).alias("_by"), F.col("_chunk").alias("_c"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    numbered = df.withColumn("_i", F.row_number().over(Window.partitionBy(by, "_chunk").orderBy(*order)))
-    joined = numbered.join(starts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_chunk") == F.col("_c")))
-    return joined.withColumn("slot", F.col("_start") + F.col("_i") - 1).drop("_by", "_c", "_start", "_i", "_chunk")
+    chunk, place, start = (free_name(df, n) for n in ("_chunk", "_i", "_start"))
+    # the row's own number parts rows that are equal in all of ``order``
+    df = df.withColumn(chunk, F.pmod(F.xxhash64(*order, F.monotonically_increasing_id()), F.lit(n_chunks)))
+    df = written(df, "chunks")
+    sizes = df.groupBy(F.col(by).alias("by"), F.col(chunk).alias("c")).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("by").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("by", "c", F.coalesce(F.sum("n").over(before), F.lit(0)).alias(start)).alias("s")
+    numbered = df.withColumn(place, F.row_number().over(Window.partitionBy(by, chunk).orderBy(*order))).alias("r")
+    joined = numbered.join(starts, F.col(f"r.{by}").eqNullSafe(F.col("s.by")) & (F.col(f"r.{chunk}") == F.col("s.c")))
+    return joined.select("r.*", (F.col(f"s.{start}") + F.col(f"r.{place}") - 1).alias("slot")).drop(place, chunk)
 
 
 def sharded(rows: DataFrame, nodes: Node, *, key_col: str = "doc_id", grown: Node | None = None) -> DataFrame:
@@ -78,11 +81,11 @@ def sharded(rows: DataFrame, nodes: Node, *, key_col: str = "doc_id", grown: Nod
     put = rows.withColumn("shard", descended(nodes, F.col(key_col)).cast("int"))
     if grown:
         put = put.withColumn("grown_shard", descended(grown, F.col(key_col)).cast("int"))
-    return slotted(written(put, "shards"), by="shard", order=[key_col, *[c for c, t in rows.dtypes if c != key_col and t in ("string", "bigint", "int")]])
+    return slotted(put, by="shard", order=[key_col, *[c for c, t in rows.dtypes if c != key_col and t in ("string", "bigint", "int")]])
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in shards 0 to 15 by doc_id; grown_shard has one more."""
+    """All documents in shards 0 to 15 by doc_id; grown_shard has one more, which opens a region and takes rows only into itself."""
     text = F.coalesce("text", F.lit(""))
     rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     out = sharded(rows, tree(16), grown=tree(17))

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import dropped, table
+from sessionloom.llm.common import dropped, free_name, table
 
 OUTPUTS = ["section", "n_chars", "n_tokens", "doc_tokens"]
 RULES = ("first", "largest", "split")
@@ -60,7 +60,8 @@ def token_counts(docs: DataFrame, *, ranks_path: str, pattern: str, text_col: st
 
     ``sections_col``: array<struct<name string, start long, end long>>, code points,
     end exclusive, disjoint; they may leave gaps, are cut to the text and kept in
-    their order.  Each whole text is encoded once; token spans follow from the tokens'
+    their order; a null start is the text's, a null end its end, a null section none.
+    Each whole text is encoded once; token spans follow from the tokens'
     byte lengths, and each token goes to a section by ``rule`` (see ``allocated``).
     Null and empty texts have 0 tokens in each section; null or no sections give no
     row.  Rows are counted each alone.  Input columns named like the outputs are
@@ -82,6 +83,7 @@ def token_counts(docs: DataFrame, *, ranks_path: str, pattern: str, text_col: st
             out = []
             for t, parts in zip(texts, sections.to_pylist(), strict=True):
                 text = t.as_py() or ""
+                parts = [p for p in parts or [] if p is not None]
                 if not parts:
                     out.append([])
                     continue
@@ -89,6 +91,8 @@ def token_counts(docs: DataFrame, *, ranks_path: str, pattern: str, text_col: st
                 start = np.concatenate([[0], end[:-1]]) if len(end) else end
                 lead = np.flatnonzero((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80)
                 at = np.append(lead, len(text.encode()))
+                for p in parts:
+                    p["start"], p["end"] = p["start"] or 0, len(lead) if p["end"] is None else p["end"]
                 order = sorted(range(len(parts)), key=lambda i: (parts[i]["start"], parts[i]["end"]))
                 lo, hi = (at[np.clip([parts[i][k] for i in order], 0, len(lead))] for k in ("start", "end"))
                 n = np.empty(len(parts))
@@ -98,7 +102,8 @@ def token_counts(docs: DataFrame, *, ranks_path: str, pattern: str, text_col: st
             yield pa.array(out, kind)
 
     rest = [c for c in dropped(docs, OUTPUTS).columns if c not in (text_col, sections_col)]
-    return docs.select(*rest, F.explode(count(text_col, sections_col)).alias("_s")).select(*rest, "_s.*")
+    name = free_name(docs, "_s")
+    return docs.select(*rest, F.explode(count(text_col, sections_col)).alias(name)).select(*rest, f"{name}.*")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import dropped, table
+from sessionloom.llm.common import dropped, table, written
 
 OUTPUTS = ["host", "path", "template", "rule", "verdict"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -38,62 +38,81 @@ def shaped(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(bare, r"(?<=/|-|_)[0-9a-f]{8,}(?=/|-|_|$)", "*"), r"[0-9]+", "*")
 
 
-def templates(shapes: DataFrame, *, max_children: int, depth: int) -> DataFrame:
-    """(host, shape) to its template: from the root down, a node with more than ``max_children`` children has the rarer of them made a wildcard.
+def templates(shapes: DataFrame, *, max_children: int) -> DataFrame:
+    """(host, shape, k, good) with its template: from the root down, a node with more than ``max_children`` children has the rarer of them made a wildcard.
 
-    ``shapes``: host, shape, n.  A child holding a tenth of its parent's rows stays
-    as it is.
+    ``shapes``: host, shape, n, k, good.  A child holding a tenth of its parent's rows
+    stays as it is.  Level by level to the deepest path there is.
     """
-    t = shapes.withColumn("_seg", F.split("shape", "/")).withColumn("_prefix", F.lit(""))
+    t = shapes.withColumn("seg", F.split("shape", "/")).withColumn("prefix", F.lit(""))
+    depth = t.agg(F.coalesce(F.max(F.size("seg")), F.lit(1))).first()[0] - 1
     for level in range(1, depth + 1):
-        seg = F.when(F.size("_seg") > level, F.col("_seg")[level])
-        node = t.withColumn("_s", seg).groupBy("host", "_prefix", "_s").agg(F.sum("n").alias("_n"))
-        w = Window.partitionBy("host", "_prefix")
-        wild = (F.count("_s").over(w) > max_children) & (10 * F.col("_n") < F.sum("_n").over(w)) & F.col("_s").isNotNull()
-        node = node.select("host", "_prefix", "_s", F.when(wild, F.lit("*")).otherwise(F.col("_s")).alias("_to"))
-        t = t.withColumn("_s", seg).alias("a").join(node.alias("b"), F.expr("a.host = b.host AND a._prefix = b._prefix AND a._s <=> b._s")).select("a.*", "b._to")
-        t = t.withColumn("_prefix", F.when(F.col("_to").isNull(), F.col("_prefix")).otherwise(F.concat("_prefix", F.lit("/"), "_to"))).drop("_to", "_s")
-    deeper = F.when(F.size("_seg") > depth + 1, F.lit("/**")).otherwise("")
-    return t.select("host", "shape", F.concat("_prefix", deeper).alias("template"))
-
-
-def url_verdicts(urls: DataFrame, labelled: DataFrame, *, url_col: str = "url", label_col: str = "label", rules: list[tuple[str, str, str]] = (), max_children: int = 12, depth: int = 3, merge_z: float = 1.96, prior_weight: float = 10.0, min_purity: float = 0.6) -> DataFrame:
+        t = t.withColumn("s", F.when(F.size("seg") > level, F.col("seg")[level]))
+        child = t.filter("s is not null").groupBy("host", "prefix", "s").agg(F.sum("n").alias("n"))
+        node = child.groupBy("host", "prefix").agg(F.count("*").alias("children"), F.sum("n").alias("all"))
+        rare = child.join(node, ["host", "prefix"]).filter((F.col("children") > max_children) & (10 * F.col("n") < F.col("all"))).select("host", "prefix", "s", F.lit("*").alias("to"))
+        t = t.join(rare, ["host", "prefix", "s"], "left").withColumn("prefix", F.when(F.col("s").isNull(), F.col("prefix")).otherwise(F.concat("prefix", F.lit("/"), F.coalesce("to", "s")))).drop("s", "to")
+        t = written(t, "templates")
+    return t.select("host", "shape", "k", "good", F.col("prefix").alias("template"))
+
+
+def branches(by_template: DataFrame, *, merge_z: float) -> DataFrame:
+    """(host, template, branch): templates merged bottom-up.
+
+    At each node a child whose rate of label 1 differs from that of its siblings
+    together (two-proportion z of ``merge_z`` or more) is a branch of its own; the
+    others merge and stand for the node when that is compared with its own siblings.
+    ``by_template``: host, template, k labels, good of them.
+    """
+    t = by_template.withColumn("branch", F.col("template")).withColumn("apart", F.lit(False))
+    depth = t.agg(F.coalesce(F.max(F.size(F.split("branch", "/"))), F.lit(1))).first()[0] - 1
+    for level in range(depth, 0, -1):
+        here = ~F.col("apart") & (F.size(F.split("branch", "/")) == level + 1)
+        node = t.filter(here).groupBy("host", "branch").agg(F.sum("k").alias("k"), F.sum("good").alias("good")).withColumn("parent", F.regexp_replace("branch", "/[^/]*$", ""))
+        whole = node.groupBy("host", "parent").agg(F.sum("k").alias("k0"), F.sum("good").alias("good0"))
+        n = node.join(whole, ["host", "parent"]).withColumn("k0", F.col("k0") - F.col("k")).withColumn("good0", F.col("good0") - F.col("good"))
+        pooled = F.try_divide(F.col("good") + F.col("good0"), F.col("k") + F.col("k0"))
+        spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), F.col("k")) + F.try_divide(F.lit(1.0), F.col("k0"))))
+        z = F.abs(F.try_divide(F.try_divide("good", "k") - F.try_divide("good0", "k0"), spread))
+        judged = n.select("host", "branch", F.col("parent").alias("to"), (F.coalesce(z, F.lit(0.0)) >= merge_z).alias("differs"))
+        t = t.withColumn("here", here).join(judged, ["host", "branch"], "left")
+        up = F.col("here") & ~F.coalesce("differs", F.lit(False))
+        t = t.select("host", "template", "k", "good", F.when(up, F.col("to")).otherwise(F.col("branch")).alias("branch"), (F.col("apart") | (F.col("here") & F.coalesce("differs", F.lit(False)))).alias("apart"))
+        t = written(t, "branches")
+    return t.select("host", "template", "branch")
+
+
+def url_verdicts(urls: DataFrame, labelled: DataFrame, *, url_col: str = "url", label_col: str = "label", rules: list[tuple[str, str, str]] = (), max_children: int = 12, merge_z: float = 1.96, prior_weight: float = 10.0, min_purity: float = 0.6) -> DataFrame:
     """allow or block for every URL.
 
     The longest fitting rule decides.  Elsewhere the URL's path template does: per
     host, digit and hexadecimal segments and, where a node has many children, the
-    rarer ones become wildcards; a template whose rate of label 1 does not differ
-    from that of the host's others (two-proportion z under ``merge_z``) is merged
-    with them; a template is rejected if its rate, smoothed towards the overall rate
-    by ``prior_weight`` labels, is under ``min_purity``.  ``labelled`` has
-    ``url_col`` and a 0/1 ``label_col`` (null: no label); repeated rows count each.
+    rarer ones become wildcards; similar branches are merged (see ``branches``); a
+    branch is rejected if its rate of label 1, smoothed towards the overall rate by
+    ``prior_weight`` labels, is under ``min_purity``.  ``labelled`` has ``url_col``
+    and a 0/1 ``label_col`` (null: no label); repeated rows count each.
 
     Adds host, path, template, rule and verdict.  Null URLs and such without ``://``:
-    host and path empty, template empty, judged like a host of that name.  With no
-    labels all is allowed that no rule blocks.  Input columns named like these
-    outputs are replaced.
+    host and path empty, template empty, judged like a host of that name.  URLs of any
+    length are taken whole.  With no labels all is allowed that no rule blocks.
+    Input columns named like these outputs are replaced.
     """
     host, path = host_and_path(F.col(url_col))
-    pages = dropped(urls, OUTPUTS).withColumn("host", host).withColumn("path", path).withColumn("_shape", shaped(F.col("path")))
+    urls = dropped(urls, OUTPUTS)
+    pages = urls.select(F.struct("*").alias("row"), host.alias("host"), path.alias("path"), shaped(path).alias("shape"))
     marks = labelled.select(host.alias("host"), shaped(path).alias("shape"), F.col(label_col).cast("double").alias("y")).filter(F.col("y").isNotNull())
-    seen = pages.groupBy("host", F.col("_shape").alias("shape")).agg(F.count("*").alias("n"))
     per_shape = marks.groupBy("host", "shape").agg(F.count("*").alias("k"), F.sum("y").alias("good"))
-    shapes = seen.join(per_shape, ["host", "shape"], "left").fillna(0, ["k", "good"])
-    t = shapes.join(templates(shapes, max_children=max_children, depth=depth), ["host", "shape"])
+    shapes = pages.groupBy("host", "shape").agg(F.count("*").alias("n")).join(per_shape, ["host", "shape"], "left").fillna(0, ["k", "good"])
+    t = templates(written(shapes, "shapes"), max_children=max_children)
     by_template = t.groupBy("host", "template").agg(F.sum("k").alias("k"), F.sum("good").alias("good"))
-    at_host = Window.partitionBy("host")
-    b = by_template.withColumn("k0", F.sum("k").over(at_host) - F.col("k")).withColumn("good0", F.sum("good").over(at_host) - F.col("good"))
-    pooled = F.try_divide(F.col("good") + F.col("good0"), F.col("k") + F.col("k0"))
-    z = F.abs(F.try_divide(F.try_divide("good", "k") - F.try_divide("good0", "k0"), F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), F.col("k")) + F.try_divide(F.lit(1.0), F.col("k0"))))))
-    b = b.withColumn("branch", F.when(F.coalesce(z, F.lit(0.0)) >= merge_z, F.col("template")).otherwise(F.lit("*")))
-    at_branch = Window.partitionBy("host", "branch")
+    tree = branches(written(by_template, "by-template"), merge_z=merge_z)
     overall = marks.agg(F.coalesce(F.avg("y"), F.lit(1.0)).alias("p")).first()["p"]
-    purity = (F.sum("good").over(at_branch) + prior_weight * overall) / (F.sum("k").over(at_branch) + prior_weight)
-    judged = t.select("host", "shape", "template").join(b.select("host", "template", F.when(purity < min(min_purity, overall), "block").otherwise("allow").alias("_own")), ["host", "template"])
+    purity = (F.sum("good") + prior_weight * overall) / (F.sum("k") + prior_weight)
+    by_branch = by_template.join(tree, ["host", "template"]).groupBy("host", "branch").agg(F.when((purity < min_purity) & (F.sum("k") > 0), "block").otherwise("allow").alias("own"))
+    judged = t.select("host", "shape", "template").join(tree.join(by_branch, ["host", "branch"]), ["host", "template"]).select("host", "shape", "template", "own")
     rule, verdict = ruled(F.col("host"), F.col("path"), list(rules))
-    out = pages.join(judged.select(F.col("host").alias("_h"), F.col("shape").alias("_sh"), "template", "_own"), (F.col("host") == F.col("_h")) & (F.col("_shape") == F.col("_sh")), "left")
-    out = out.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, F.col("_own"), F.lit("allow")))
-    return out.drop("_h", "_sh", "_shape", "_own")
+    out = pages.join(written(judged, "judged"), ["host", "shape"], "left")
+    return out.select("row.*", "host", "path", "template", rule.alias("rule"), F.coalesce(verdict, F.col("own"), F.lit("allow")).alias("verdict"))
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
