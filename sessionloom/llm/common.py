@@ -23,7 +23,19 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-__all__ = ["dropped", "free_name", "fit_logistic", "held_out", "labelled_sample", "table", "written"]
+def released() -> None:
+    """Give freed memory back to the system: Python workers are used again and would keep the peak of all that ran in them."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+__all__ = ["dropped", "free_name", "fit_logistic", "held_out", "labelled_sample", "released", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import dropped, free_name, table, written
+from sessionloom.llm.common import dropped, free_name, released, table, written
 
 OUTPUTS = ["n_words", "n_hit", "item_ids", "spans"]
 RESULT = "n_words long, n_hit long, item_ids array<string>, spans array<struct<word_start: long, word_end: long, byte_start: long, byte_end: long>>"
@@ -206,6 +206,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
                         spans = [{"word_start": s, "word_end": e, "byte_start": at[s][0], "byte_end": at[e - 1][1]} for s, e in found]
                     out.append({"n_words": len(words), "n_hit": sum(e - s for s, e in found), "item_ids": sorted(items), "spans": spans})
                 yield pa.array(out, kind)
+                del out
+                released()
 
         return scan
 

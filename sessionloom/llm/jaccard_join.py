@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.functions.storage import discard
-from sessionloom.llm.common import table, written
+from sessionloom.llm.common import released, table, written
 from sessionloom.llm.textvec import Hasher, Texts, mixed, slices
 from sessionloom.operators.graph import components
 
@@ -76,6 +76,8 @@ def frequency_classes(docs: DataFrame, text_col: str, k: int):
             shrink = zstandard.ZstdCompressor(level=1).compress
             for i, c in enumerate(np.split(total, SLICES)):
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([shrink(c.astype("<u4").tobytes())], pa.binary())], names=["cell", "counts"])
+        del total
+        released()
 
     def add(t: pa.Table) -> pa.Table:
         import zstandard
@@ -299,6 +301,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                         tokens[o].append(ordered(s, cls, o, prefixes(len(s), percent)[0]).view(np.int64) if len(s) else none)
             lists = [pa.ListArray.from_arrays(np.cumsum([0, *map(len, t)]).astype(np.int32), pa.array(np.concatenate([none, *t]))) for t in tokens]
             yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(h, pa.binary()), pa.array(bits, pa.binary()), *lists], names=["n", "h", "sketch", *[f"tokens_{o}" for o in range(ORDERS)]])
+            del n, h, bits, tokens, lists
+            released()
 
     @F.arrow_udf("binary")
     def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -307,6 +311,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         hasher = Hasher()
         for batch in batches:
             yield pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for _, part in slices(batch.to_pylist()) for s in shingle_sets(part, hasher, k)], pa.binary())
+            released()
 
     @F.arrow_udf("boolean")
     def linked(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -325,6 +330,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                     sets.update(zip(texts[first : first + len(part)], shingle_sets(part, hasher, k), strict=True))
                 out += [similar(sets[x], sets[y]) for x, y in zip(left, right, strict=True)]
             yield pa.array(out, pa.bool_())
+            released()
 
     sig = written(source.withColumn("s", signature("text")).select(F.monotonically_increasing_id().alias("row"), "id", "s.*"), "signatures")
     known = sig.filter("id is not null and n > 0")
@@ -390,6 +396,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                     yield from passed(batch.slice(0, cut))
             if held is not None:
                 yield from passed(held)
+            released()
 
         return written(full.mapInArrow(compare, "a long, b long").distinct(), "candidates")
 

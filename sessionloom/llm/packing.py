@@ -9,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import dropped, table, written
+from sessionloom.llm.common import dropped, released, table, written
 
 PIECES = "start long, length long, token_ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 OUTPUTS = ["start", "length", "token_ids", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_tokens"]
@@ -268,6 +268,7 @@ def packed(docs: DataFrame, *, tokenizer_path: str, end_id: int = 2, text_col: s
                 if rows and size + sum(map(len, own)) > TEXT_BYTES:
                     yield from placed()
                     rows, parts, n_parts, size = [], [], [], 0
+                    released()
                 rows.append(whole)
                 parts += own
                 n_parts.append(len(own))
@@ -277,6 +278,8 @@ def packed(docs: DataFrame, *, tokenizer_path: str, end_id: int = 2, text_col: s
             left = bins.close()
             yield from chunks(windows(bins.done, held, first, False, group), row_type)
             yield from chunks(windows(left, held, first + len(bins.done), True, group), row_type)
+        del encode
+        released()
 
     def merge(batches: Iterator[pa.RecordBatch], round_no: int, last: bool) -> Iterator[pa.RecordBatch]:
         """Groups come one after another, their short windows in order of sequence_id and offset."""
@@ -300,6 +303,7 @@ def packed(docs: DataFrame, *, tokenizer_path: str, end_id: int = 2, text_col: s
                 n_doc += 1
         if group is not None:
             yield from ended()
+        released()
 
     pieces = written(source.mapInArrow(pack, schema), "pack")
     out, left, round_no = pieces.filter(~F.col("_open")), pieces.filter("_open"), 0

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import dropped, fit_logistic, held_out, labelled_sample, table
+from sessionloom.llm.common import dropped, fit_logistic, held_out, labelled_sample, released, table
 
 CHUNK = 4096  # bytes compressed at a time, so that the dictionaries matter all through a long text
 
@@ -88,6 +88,7 @@ def compression_quality(docs: DataFrame, model: tuple[bytes, bytes, list[float]]
                 z = w[-1] + sum(a * b for a, b in zip(w, sizes.features((text.as_py() or "").encode()), strict=False))
                 out.append(1 / (1 + math.exp(-max(-700.0, min(700.0, z)))))
             yield pa.array(out, pa.float64())
+            released()
 
     return dropped(docs, [score_col]).withColumn(score_col, score(F.col(text_col)))
 
