@@ -370,7 +370,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         lists = lists.join(own, "row")
     bodies = written(lists.join(known.filter(maybe_in("row", staying)).select("row", "n", "sketch"), "row"), "bodies")
     member_of = written(grouped[0].join(staying, "row", "left_semi"), "members")
-    discard(*grouped, staying)
+    rows = written(sig.select("row", "id", "n", "h"), "rows")
+    discard(*grouped, staying, sig)
+    known = rows.filter("id is not null and n > 0")
 
     def candidates(members: DataFrame, forest: bool) -> DataFrame:
         """Pairs (a, b) of rows: ``members`` has g, row, low, comp and its blocks own, bi and bj."""
@@ -437,8 +439,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         found = components(links.union(more))
     nodes = known.select("row", "id").join(found.withColumnRenamed("id", "row"), "row")
     least = nodes.join(nodes.groupBy("component").agg(F.min("id").alias("component_id")), "component").select("row", "component_id")
-    discard(bodies, member_of, named_rows, top)
-    return sig.select("row", "id", "n").join(least, "row", "left").select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    out = rows.select("row", "id", "n").join(least, "row", "left").select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    out = written(out, "components")
+    discard(bodies, member_of, named_rows, top, rows)
+    return out
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
