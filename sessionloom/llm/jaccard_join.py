@@ -140,7 +140,8 @@ class Members:
     """Rows of candidate groups, in order of their group, and which pairs of them may link.
 
     Columns: ``own`` (the row's block), ``low`` (of the group's lower size band),
-    ``lists`` (per further order the groups that the row is in) and ``sketch``.
+    ``lists`` (per further order the groups that the row is in, 16 bits of each: they
+    can only let a pair pass that the sketches then judge) and ``sketch``.
     """
 
     def __init__(self, batch: pa.RecordBatch, percent: int):
@@ -366,7 +367,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         left = known.filter(maybe_in("row", staying)).join(staying, "row", "left_semi")
     lists = staying
     for order in range(1, ORDERS):
-        own = grouped[order].join(staying, "row", "left_semi").groupBy("row").agg(F.sort_array(F.collect_list("g")).alias(f"in_{order}"))
+        own = grouped[order].join(staying, "row", "left_semi").groupBy("row").agg(F.collect_set((F.pmod("g", F.lit(1 << 16)) - (1 << 15)).cast("short")).alias(f"in_{order}"))
         lists = lists.join(own, "row")
     bodies = written(lists.join(known.filter(maybe_in("row", staying)).select("row", "n", "sketch"), "row"), "bodies")
     member_of = written(grouped[0].join(staying, "row", "left_semi"), "members")
