@@ -63,3 +63,15 @@ def published(spark, path: str, *, partition: tuple[str, ...] = ("pipeline", "se
 def page(df: DataFrame, order: list[Column | str], limit: int, offset: int = 0) -> DataFrame:
     """One page, with a row more than ``limit`` if there are more."""
     return df.orderBy(*order).offset(offset).limit(limit + 1)
+
+
+def redone(outputs: DataFrame, chosen: DataFrame, tiers: list[str], first: str, *, key: str = "session_id") -> DataFrame:
+    """``outputs`` (key, pipeline) without what ``first`` and the tiers after it made for the chosen keys: discovery then finds them pending."""
+    gone = F.col("pipeline").isin(tiers[tiers.index(first) :])
+    return outputs.filter(~gone).unionByName(outputs.filter(gone).join(chosen.select(key), key, "left_anti"))
+
+
+def newly_ready(upstream: DataFrame, done: DataFrame, key: list[str], version: str) -> DataFrame:
+    """Upstream rows never processed, or changed since: their version is later than the one that was."""
+    last = done.groupBy(*key).agg(F.max(version).alias("_done"))
+    return upstream.join(last, key, "left").filter(F.col("_done").isNull() | (F.col(version) > F.col("_done"))).drop("_done")

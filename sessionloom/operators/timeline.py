@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,3 +49,35 @@ def assembled(sessions: DataFrame, sources: dict[str, DataFrame], from_ms: int |
 def stamped(events: DataFrame, speakers: DataFrame) -> DataFrame:
     """Events with the identity that their session's label resolves to; others keep none."""
     return events.join(speakers.select("session_id", "label", "speaker_id", "speaker_name"), ["session_id", "label"], "left")
+
+
+#: What turns a kind's rows (session_id, start_ms, end_ms, source) into events, by (pipeline, kind); kinds not here give none.
+EXPANDERS: dict[tuple[str, str], Callable[[DataFrame], DataFrame]] = {}
+
+
+def expander(pipeline: str, kind: str):
+    """Register a function from a kind's rows to events (session_id, at_ms, type, rank, source)."""
+
+    def put(f):
+        EXPANDERS[pipeline, kind] = f
+        return f
+
+    return put
+
+
+def at_start(kind: str) -> Callable[[DataFrame], DataFrame]:
+    return lambda rows: rows.select("session_id", F.col("start_ms").alias("at_ms"), F.lit(kind).alias("type"), F.lit(rank_of(kind)).alias("rank"), "source")
+
+
+expander("vad", "speech")(speech_events)
+for _pipeline, _kind, _type in (("transcribe", "utterance", "transcript"), ("audio-tag", "window", "audio-tag"), ("sound-span", "span", "sound-span"), ("segment", "location", "location-point")):
+    expander(_pipeline, _kind)(at_start(_type))
+
+
+def expanded(artifacts: DataFrame) -> DataFrame:
+    """The events of artifacts (session_id, pipeline, kind, start_ms, end_ms, source) by the registered expanders."""
+    out = None
+    for (pipeline, kind), f in EXPANDERS.items():
+        events = f(artifacts.filter((F.col("pipeline") == pipeline) & (F.col("kind") == kind)))
+        out = events if out is None else out.unionByName(events)
+    return out
