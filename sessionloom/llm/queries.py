@@ -17,4 +17,4 @@ QUERIES = {
     "op10_quality_classifier": quality_compression.op10_quality_classifier,
 }
 
-ORACLES = {"op1_decontamination": decontamination.OP1_SQL}
+ORACLES = {"op1_decontamination": decontamination.OP1_SQL, "op5_suffix_dedup": suffix_dedup.OP5_SQL, "op6_ngram_jaccard": jaccard_join.OP6_SQL}

@@ -340,6 +340,21 @@ def repeats_removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.withColumnRenamed("id", id_col)
 
 
+OP5_SQL = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS p FROM t WHERE len(h) >= 100),
+g AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS x FROM s),
+m AS (SELECT x, min(doc_id) AS least FROM g GROUP BY x HAVING min(doc_id) < max(doc_id)),
+q AS (SELECT doc_id, p FROM g JOIN m USING (x) WHERE least < doc_id),
+b AS (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS new FROM q),
+i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM b),
+r AS (SELECT doc_id, run, min(p) AS a, max(p) + 50 AS z FROM i GROUP BY doc_id, run),
+k AS (SELECT *, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS prev FROM r),
+o AS (SELECT k.doc_id, string_agg(substr(h, 2 * prev + 1, 2 * (a - prev)), '' ORDER BY a) AS head, max(z) AS tail, CAST(sum(z - a) AS BIGINT) AS removed, count(*) AS spans FROM k JOIN t ON t.doc_id = k.doc_id GROUP BY k.doc_id)
+SELECT t.doc_id, len(h) // 2 AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256 FROM t LEFT JOIN o ON o.doc_id = t.doc_id
+"""
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the 50-byte strings that documents of smaller id have."""
     out = repeats_removed(table(spark, sf_dir, "documents").select("doc_id", "text"))
