@@ -29,9 +29,12 @@ def sessions(spark, sf_dir):
     return d.sessions(spark, sf_dir).select("session_id", "user_id", epoch_ms(F.col("started_at")).alias("started_ms"), epoch_ms(F.col("ended_at")).alias("ended_ms"), "n_events", F.col("ended_at").isNull().alias("is_open"))
 
 
-@query("segments_of_session", f"WITH {SEG} SELECT session_id, sequence, resource, bytes FROM seg WHERE session_id = 7 AND resource = 'N' ORDER BY sequence")
+@query("segments_of_session", f"WITH {SEG} SELECT session_id, sequence, resource, bytes FROM seg WHERE resource = 'N' AND session_id = (SELECT min(session_id) FROM seg WHERE resource = 'N') ORDER BY sequence")
 def segments_of_session(spark, sf_dir):
-    return segments(spark, sf_dir).filter("session_id = 7 and resource = 'N'").select("session_id", "sequence", "resource", "bytes").orderBy("sequence")
+    """One resource of one session: of the first that has it."""
+    s = segments(spark, sf_dir).filter("resource = 'N'")
+    first = s.agg(F.min("session_id").alias("session_id"))
+    return s.join(F.broadcast(first), "session_id").select("session_id", "sequence", "resource", "bytes").orderBy("sequence")
 
 
 @query("artifact_page", "SELECT event_id, user_id, start_ms FROM (SELECT event_id, user_id, CASE WHEN CAST(json_extract_string(props, '$.k') AS INT) >= 10 THEN event_id * 10 END AS start_ms FROM events WHERE event_type = 'view' OR event_type = 'click') ORDER BY start_ms ASC NULLS FIRST, event_id LIMIT 51 OFFSET 20")
@@ -88,9 +91,9 @@ def format_check(spark, sf_dir):
     return segments(spark, sf_dir).groupBy("session_id").agg(F.countDistinct("resource").alias("r"), F.countDistinct("status").alias("s")).select("session_id", F.when(F.col("r") > 1, "mixed resources").when(F.col("s") > 1, "mixed status").alias("skipped"))
 
 
-@query("sessions_not_processed", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("sessions_not_processed", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def sessions_not_processed(spark, sf_dir):
-    done = T(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    done = T(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
     return tb.pending(T(spark, sf_dir, "customer").select("c_custkey"), done, ["c_custkey"], ["c_custkey"])
 
 
