@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions.storage import discard
@@ -15,6 +15,7 @@ from sessionloom.operators.graph import components
 
 CELL_BITS = 22  # of a shingle's hash: its counter
 SLICES = 64  # of the counters, each summed apart
+HOT = 128  # classes from here on: cells that hold more than so many times the mean cell
 ORDERS = 3
 
 
@@ -60,7 +61,8 @@ def ordered(s, classes, order: int, n: int):
 def frequency_classes(docs: DataFrame, text_col: str, k: int):
     """A class for each of 2**22 hash cells: 0 for cells of usual weight, more for those that frequent shingles weigh down.
 
-    Counts every document's distinct shingles; the counters have a fixed size, are
+    Classes below ``HOT`` hold at most ``HOT`` times the mean cell and one, a 32 768th of
+    all shingles: no token of theirs is a larger group.  Counts every document's distinct shingles; the counters have a fixed size, are
     summed by Spark in slices and reach the driver as 16 MB; 4 MB are broadcast.
     """
     import numpy as np
@@ -100,7 +102,8 @@ def frequency_classes(docs: DataFrame, text_col: str, k: int):
     total = total.ravel()
     mean = float(np.median(total)) + 1
     over = np.maximum(total - mean, 0) / (3 * np.sqrt(mean))
-    return np.where(over < 1, 0, np.ceil(np.log2(over + 1))).astype(np.uint8)
+    weight = np.where(over < 1, 0, np.ceil(np.log2(over + 1))).astype(np.uint8)
+    return weight + np.where(total > HOT * (total.mean() + 1), HOT, 0).astype(np.uint8)
 
 
 def maybe_in(column: str, of: DataFrame):
@@ -285,24 +288,29 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = spark.sparkContext.broadcast(frequency_classes(source, "text", k))
     kind = source.schema["id"].dataType.simpleString()
 
-    @F.arrow_udf("n long, h binary, sketch binary, " + ", ".join(f"tokens_{o} array<long>" for o in range(ORDERS)))
+    @F.arrow_udf("n long, h binary, sketch binary, " + ", ".join(f"tokens_{o} array<long>, cold_{o} int" for o in range(ORDERS)))
     def signature(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import hashlib
 
         hasher, cls = Hasher(), classes.value
         none = np.empty(0, np.int64)
         for batch in batches:
-            n, h, bits, tokens = [], [], [], [[] for _ in range(ORDERS)]
+            n, h, bits, tokens, cold = [], [], [], [[] for _ in range(ORDERS)], [[] for _ in range(ORDERS)]
             for _, part in slices(batch.to_pylist()):
                 for s in shingle_sets(part, hasher, k):
                     n.append(len(s))
                     h.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     bits.append(sketch(s))
                     for o in range(ORDERS):
-                        tokens[o].append(ordered(s, cls, o, prefixes(len(s), percent)[0]).view(np.int64) if len(s) else none)
-            lists = [pa.ListArray.from_arrays(np.cumsum([0, *map(len, t)]).astype(np.int32), pa.array(np.concatenate([none, *t]))) for t in tokens]
-            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(h, pa.binary()), pa.array(bits, pa.binary()), *lists], names=["n", "h", "sketch", *[f"tokens_{o}" for o in range(ORDERS)]])
-            del n, h, bits, tokens, lists
+                        first = ordered(s, cls, o, prefixes(len(s), percent)[0]) if len(s) else s
+                        tokens[o].append(first.view(np.int64))
+                        cold[o].append(int((cls[first >> np.uint64(64 - CELL_BITS)] < HOT).sum()))
+            lists, names = [pa.array(n, pa.int64()), pa.array(h, pa.binary()), pa.array(bits, pa.binary())], ["n", "h", "sketch"]
+            for o, (t, c) in enumerate(zip(tokens, cold, strict=True)):
+                lists += [pa.ListArray.from_arrays(np.cumsum([0, *map(len, t)]).astype(np.int32), pa.array(np.concatenate([none, *t]))), pa.array(c, pa.int32())]
+                names += [f"tokens_{o}", f"cold_{o}"]
+            yield pa.StructArray.from_arrays(lists, names=names)
+            del n, h, bits, tokens, cold, lists
             released()
 
     @F.arrow_udf("binary")
@@ -345,26 +353,42 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     reps = known.filter(~maybe).union(known.filter(maybe).join(equal.select("row"), "row", "left_anti").select(known.columns))
 
     def groups(order: int, of: DataFrame) -> DataFrame:
-        """(g, row, low): rows of ``of`` that share a prefix token of the order, by size band."""
+        """(g, row, low): rows of ``of`` that share a prefix token of the order, by size band; groups of the same members are one.
+
+        Tokens are shuffled once and grouped where they arrive: the cells' counts bound
+        each group.  Those of hot cells are counted map-side and joined with the counts.
+        """
         n_index = F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + 1
-        tokens = of.select("row", "n", n_index.alias("k"), F.posexplode(f"tokens_{order}").alias("pos", "t")).select("t", "row", "n", (F.col("pos") < F.col("k")).alias("is_index"))
-        met = written(tokens.groupBy("t").agg(F.count("*").alias("c"), F.max("is_index").alias("i")).filter("c > 1 and i").select("t"), "met")
         # linked sets are of one band or of two that touch; a group: one band, and the next above it
-        band = F.floor(F.log("n") / (np.log(100 / percent) * 1.001))
-        shared = written(tokens.join(met, "t").withColumn("band", band), "shared")
-        rows = shared.withColumn("low", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("band", F.when(F.col("low"), F.col("band")).otherwise(F.col("band") - 1))
-        members = [F.bit_xor(F.xxhash64(F.lit(x), "row", "low")).alias(f"x{x}") for x in (0, 1)]
-        whole = rows.groupBy("t", "band").agg(F.count("*").alias("c"), F.max(F.col("low") & F.col("is_index")).alias("i"), *members).filter("c > 1 and i")
-        one = written(whole.groupBy("x0", "x1", "c").agg(F.min(F.struct("t", "band")).alias("t")).select("t.*"), "one-of-each")
-        out = written(rows.join(one, ["t", "band"]).select(F.xxhash64("t", "band").alias("g"), "row", "low"), "groups")
-        discard(met, shared, one)
-        return out
-
-    grouped, left, found = [], reps, []
+        band = F.floor(F.log("n") / (np.log(100 / percent) * 1.001)).cast("int")
+        t, cold, low = F.col(f"tokens_{order}"), F.col(f"cold_{order}"), F.explode(F.array(F.lit(True), F.lit(False)))
+
+        def tokens(some, before) -> DataFrame:
+            """A row a token; ``place``: twice its band, and one if it is in the index prefix."""
+            each = of.select("row", band.alias("band"), (n_index - before).alias("k"), F.posexplode(some).alias("pos", "t"))
+            return each.select("t", "row", (2 * F.col("band") + (F.col("pos") < F.col("k")).cast("int")).cast("int").alias("place"))
+
+        def twice(rows: DataFrame) -> DataFrame:
+            both = rows.select("t", "row", F.shiftright("place", 1).alias("band"), (F.col("place") % 2 == 1).alias("is_index"), low.alias("low"))
+            return both.withColumn("band", F.when(F.col("low"), F.col("band")).otherwise(F.col("band") - 1))
+
+        facts = {"c": F.count("*"), "i": F.max(F.col("low") & F.col("is_index"))} | {f"x{x}": F.bit_xor(F.xxhash64(F.lit(x), "row", "low")) for x in (0, 1)}
+        met, g = F.expr("c > 1 and i"), F.xxhash64("x0", "x1", "c").alias("g")
+        here = Window.partitionBy("t", "band")
+        usual = twice(tokens(F.slice(t, F.lit(1), cold), F.lit(0)).repartition("t")).select("row", "low", *[f.over(here).alias(name) for name, f in facts.items()])
+        frequent = twice(tokens(F.slice(t, cold + 1, F.size(t)), cold))
+        counted = frequent.groupBy("t", "band").agg(*[f.alias(name) for name, f in facts.items()]).filter(met).select("t", "band", g)
+        return written(usual.filter(met).select(g, "row", "low").union(frequent.join(counted, ["t", "band"]).select("g", "row", "low")).distinct(), "groups")
+
+    grouped, left = [], reps
     for order in range(ORDERS):
         grouped.append(groups(order, left))
-        staying = written(grouped[-1].select("row").distinct(), "left")
-        left = known.filter(maybe_in("row", staying)).join(staying, "row", "left_semi")
+        # rows that the bitmap lets pass without need are in no group of another order, or fall out below
+        left = left.filter(maybe_in("row", grouped[-1]))
+    staying = grouped[0].select("row")
+    for other in grouped[1:]:
+        staying = staying.join(other.select("row").distinct(), "row", "left_semi")
+    staying = written(staying.distinct(), "staying")
     lists = staying
     for order in range(1, ORDERS):
         own = grouped[order].join(staying, "row", "left_semi").groupBy("row").agg(F.collect_set((F.pmod("g", F.lit(1 << 16)) - (1 << 15)).cast("short")).alias(f"in_{order}"))
