@@ -130,10 +130,10 @@ def maybe_in(column: str, of: DataFrame):
 
 
 def sketch(s) -> bytes:
-    """A bit for each token in a power of two of cells, four to eight a token."""
+    """A bit for each token in a power of two of cells, two to four a token."""
     import numpy as np
 
-    m = 1 << max(6, int(4 * len(s) - 1).bit_length())
+    m = 1 << max(6, int(2 * len(s) - 1).bit_length())
     bits = np.zeros(m, np.uint8)
     bits[((s >> np.uint64(4)) & np.uint64(m - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -157,10 +157,10 @@ class Members:
         keys = [column(c) for c in ("g", "bi", "bj")]
         new = np.ones(batch.num_rows, bool)
         new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-        self.first = np.flatnonzero(new)
+        self.first, self.g = np.flatnonzero(new), keys[0]
         self.size = np.diff(np.append(self.first, batch.num_rows))
         self.lists = []
-        for o in range(1, ORDERS):
+        for o in range(ORDERS - 1):
             flat, at = self._flat(batch.column(f"in_{o}"), np.int64)
             flat = np.unique(flat, return_inverse=True)[1]
             keys = np.repeat(np.arange(batch.num_rows), np.diff(at)) * (int(flat.max(initial=0)) + 1) + flat
@@ -236,7 +236,10 @@ class Members:
         return out
 
     def candidates(self, forest: bool):
-        """Rows (a, b) of pairs that pass; with ``forest`` only each member's best with an earlier one, and its best of all."""
+        """(a, b, open): rows of pairs that pass; with ``forest`` only each member's best with an earlier one, and its best of all.
+
+        ``open``: groups of which more pairs pass than are given.
+        """
         import numpy as np
 
         for a, b in self.pairs():
@@ -247,17 +250,21 @@ class Members:
             total = self.n[a] + self.n[b] - common
             ok = 100 * common >= self.percent * total
             a, b, share = a[ok], b[ok], common[ok] / total[ok]
+            more = np.empty(0, np.int64)
             if forest and len(a):
                 one, two = np.concatenate([b, a]), np.concatenate([a, b])
                 pick = []
                 for own, other, s in ((b, a, share), (one, two, np.concatenate([share, share]))):
                     order = np.lexsort((self.row[other], -s, own))
                     pick.append((own[order], other[order], np.append(True, np.diff(own[order]) != 0)))
+                every = np.minimum(a, b) * len(self.row) + np.maximum(a, b)
+                of = self.g[a]
                 a, b = (np.concatenate([p[i][p[2]] for p in pick]) for i in (1, 0))
+                more = np.unique(of[~np.isin(every, np.minimum(a, b) * len(self.row) + np.maximum(a, b))])
             x, y = self.row[a], self.row[b]
             if len(x):
                 both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-                yield both[0], both[1]
+                yield both[0], both[1], more
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, block: int = 256) -> DataFrame:
@@ -274,12 +281,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     share a token of the smaller's index prefix and the larger's probe prefix.  Rows
     that share one, and of a similar size, are a group; groups of the same members
     are one.  Only rows that are in groups of every order stay, and a pair is a
-    candidate only if it meets in all three and the sketches of both sets, four to
-    eight bits a token, allow the similarity.  No text moves before that.
+    candidate only if it meets in all three and the sketches of both sets, two to
+    four bits a token, allow the similarity.  No text moves before that.
 
     Groups of more than ``block`` rows are split.  First each row's best partners
-    in its block are verified; then all pairs of different components, the largest
-    component of a group against the others only.  None is capped.
+    in its block are verified; then, in split groups and those where more pairs passed,
+    all pairs of different components, the largest component of a group against the
+    others only.  None is capped.
     """
     import numpy as np
 
@@ -389,26 +397,33 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     for other in grouped[1:]:
         staying = staying.join(other.select("row").distinct(), "row", "left_semi")
     staying = written(staying.distinct(), "staying")
-    lists = staying
-    for order in range(1, ORDERS):
-        own = grouped[order].join(staying, "row", "left_semi").groupBy("row").agg(F.collect_set((F.pmod("g", F.lit(1 << 16)) - (1 << 15)).cast("short")).alias(f"in_{order}"))
+    # of the last order's groups what stays, again one of those of the same members
+    facts = [F.bit_xor(F.xxhash64(F.lit(x), "row", "low")).alias(f"x{x}") for x in (0, 1)]
+    stays = written(grouped[-1].join(staying, "row", "left_semi"), "stays")
+    alike = stays.groupBy("g").agg(F.count("*").alias("c"), F.max("low").alias("i"), *facts).filter("c > 1 and i").select("g", F.xxhash64("x0", "x1", "c").alias("of"))
+    member_of = written(stays.join(alike, "g").select(F.col("of").alias("g"), "row", "low").distinct(), "members")
+    lists = written(member_of.select("row").distinct(), "compared")
+    discard(stays)
+    needed = maybe_in("row", lists)
+    for order in range(ORDERS - 1):
+        own = grouped[order].filter(needed).groupBy("row").agg(F.collect_set((F.pmod("g", F.lit(1 << 16)) - (1 << 15)).cast("short")).alias(f"in_{order}"))
         lists = lists.join(own, "row")
-    bodies = written(lists.join(known.filter(maybe_in("row", staying)).select("row", "n", "sketch"), "row"), "bodies")
-    member_of = written(grouped[0].join(staying, "row", "left_semi"), "members")
+    bodies = written(lists.join(known.filter(needed).select("row", "n", "sketch"), "row"), "bodies")
     rows = written(sig.select("row", "id", "n", "h"), "rows")
     discard(*grouped, staying, sig)
     known = rows.filter("id is not null and n > 0")
 
-    def candidates(members: DataFrame, forest: bool) -> DataFrame:
-        """Pairs (a, b) of rows: ``members`` has g, row, low, comp and its blocks own, bi and bj."""
+    def candidates(members: DataFrame, forest: bool) -> tuple[DataFrame, DataFrame]:
+        """Pairs (a, b) of rows, and the groups (g) of which more pass; ``members`` has g, row, low, comp and its blocks own, bi and bj."""
         full = members.join(bodies, "row").repartition("g", "bi", "bj").sortWithinPartitions("g", "bi", "bj")
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = None
 
             def passed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-                for a, b in Members(batch, percent).candidates(forest):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                for a, b, more in Members(batch, percent).candidates(forest):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], names=["a", "b", "g"])
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(more), pa.int64()), pa.nulls(len(more), pa.int64()), pa.array(more, pa.int64())], names=["a", "b", "g"])
 
             for batch in batches:
                 if batch.num_rows == 0:
@@ -425,7 +440,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 yield from passed(held)
             released()
 
-        return written(full.mapInArrow(compare, "a long, b long").distinct(), "candidates")
+        both = written(full.mapInArrow(compare, "a long, b long, g long").distinct(), "candidates")
+        return both.filter("g is null").select("a", "b"), both.filter("g is not null").select("g")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The links among pairs of rows; only now their texts are fetched."""
@@ -444,21 +460,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     size = member_of.groupBy("g").agg(F.count("*").alias("c"))
     parts = F.greatest(F.ceil(F.col("c") / block), F.lit(1)).cast("long")
     first = member_of.join(written(size.filter("c > 1"), "sizes"), "g").withColumn("own", salted(parts))
-    pairs = candidates(first.select("g", "row", "low", F.col("row").alias("comp"), "own", F.col("own").alias("bi"), F.col("own").alias("bj")), True)
+    pairs, unfinished = candidates(first.select("g", "row", "low", F.col("row").alias("comp"), "own", F.col("own").alias("bi"), F.col("own").alias("bj")), True)
     links = fixed.union(verified(pairs))
     found = components(links)
 
     # what is left: pairs of different components
     named_rows = written(member_of.join(found.withColumnRenamed("id", "row"), "row", "left").withColumn("comp", F.coalesce("component", "row")).drop("component"), "members")
     by_comp = named_rows.groupBy("g", "comp").agg(F.count("*").alias("m"))
-    top = written(by_comp.groupBy("g").agg(F.sum("m").alias("c"), F.max(F.struct("m", "comp")).alias("top")).filter("c > top.m").select("g", "c", F.col("top.m").alias("m"), F.col("top.comp").alias("most")), "top")
+    top = written(by_comp.groupBy("g").agg(F.sum("m").alias("c"), F.max(F.struct("m", "comp")).alias("top")).filter("c > top.m").select("g", "c", F.col("top.m").alias("m"), F.col("top.comp").alias("most")).join(unfinished.withColumn("u", F.lit(True)), "g", "left").filter(F.col("u") | (F.col("c") > block)).drop("u"), "top")
     rest, large = F.ceil((F.col("c") - F.col("m")) / block).cast("long"), F.ceil(F.col("m") / block).cast("long")
     split, is_top = F.col("c") > block, F.col("comp") == F.col("most")
     own = F.when(~split, zero).when(is_top, rest + salted(large)).otherwise(salted(rest))
     others = F.when(~split, F.array(zero)).when(is_top, F.sequence(zero, rest - 1)).otherwise(F.sequence(zero, rest + large - 1))
     second = named_rows.join(top, "g").withColumn("own", own).withColumn("other", F.explode(others))
     second = second.select("g", "row", "low", "comp", "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"))
-    more = candidates(second, False).join(pairs, ["a", "b"], "left_anti")
+    more = candidates(second, False)[0].join(pairs, ["a", "b"], "left_anti")
     more = verified(written(more, "candidates"))
     if more.limit(1).count():
         found = components(links.union(more))
