@@ -214,12 +214,11 @@ def test_suffix_dedup_edges(edge, nothing):
     assert suffix_dedup.repeats_removed(nothing).count() == 0
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_jaccard_join(spark, seed):
-    rows = list(enumerate(texts(seed, 80)))
+def jaccard_brute_force(rows):
+    """Per id the size of its set of shingles and the least id that its links reach."""
     sets = {}
     for i, t in rows:
-        w = t.lower().split()
+        w = (t or "").lower().split()
         sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
     root = {i: i for i in sets}
     for a in sets:
@@ -227,8 +226,33 @@ def test_jaccard_join(spark, seed):
             if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                 x, y = root[a], root[b]
                 root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
+    return {i: (len(sets[i]), root[i]) for i in sets}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_jaccard_join(spark, seed):
+    rows = list(enumerate(texts(seed, 80)))
     got = jaccard_join.near_duplicates(frame(spark, rows).repartition(4)).collect()
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (len(sets[i]), root[i]) for i in sets}
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == jaccard_brute_force(rows)
+
+
+def test_jaccard_join_frequent_shingles(spark):
+    """A passage in every text lies in hot cells, and the group of near copies is split into blocks."""
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(4000)]
+    common, base = r.choices(words, k=12), r.choices(words, k=60)
+    rows = [(300, None), (301, ""), (302, "a b"), (303, "A b")]
+    for i in range(300):
+        own = list(base) if i % 3 == 0 else r.choices(words, k=r.randrange(3, 14))
+        if i % 3 == 0:
+            for _ in range(r.randrange(6)):
+                own[r.randrange(60)] = r.choice(words)
+        rows.append((i, " ".join(common + own)))
+    docs = frame(spark, rows).repartition(4)
+    counted = jaccard_join.frequency_classes(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", 5)
+    assert (counted >= jaccard_join.HOT).any()
+    got = jaccard_join.near_duplicates(docs, block=32).collect()
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == jaccard_brute_force(rows)
 
 
 def test_jaccard_join_edges(edge, nothing):
