@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sessionloom.llm import decontamination, jaccard_join, packing, quality_compression, quality_rules, secrets, sharding, suffix_dedup, token_counts, url_filters
+from sessionloom.llm import conversations, decontamination, jaccard_join, packing, quality_compression, quality_rules, secrets, sharding, suffix_dedup, token_alignment, token_counts, url_filters, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -15,6 +15,15 @@ QUERIES = {
     "op8_url_filters": url_filters.op8_url_filters,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_quality_classifier": quality_compression.op10_quality_classifier,
+    "op11_token_alignment": token_alignment.op11_token_alignment,
+    "op12_warc": warc.op12_warc,
+    "op13_conversation_repair": conversations.op13_conversation_repair,
 }
 
-ORACLES = {"op1_decontamination": decontamination.OP1_SQL, "op5_suffix_dedup": suffix_dedup.OP5_SQL, "op6_ngram_jaccard": jaccard_join.OP6_SQL}
+ORACLES = {
+    "op1_decontamination": decontamination.OP1_SQL,
+    "op5_suffix_dedup": suffix_dedup.OP5_SQL,
+    "op6_ngram_jaccard": jaccard_join.OP6_SQL,
+    "op12_warc": warc.OP12_SQL,
+    "op13_conversation_repair": conversations.OP13_SQL,
+}
