@@ -9,16 +9,21 @@ from sessionloom.functions.scalars import epoch_ms
 
 
 def session_points(batches: DataFrame) -> DataFrame:
-    """One row per fix with its wall clock (ms) and place on the session's timeline; idx counts from 1 in its batch."""
-    p = batches.select("segment_id", "session_id", "user_id", "captured_at", "started_at", F.posexplode("points").alias("pos", "p"))
-    wall = epoch_ms(F.col("captured_at")) + F.col("p.t")
-    return p.select("segment_id", "session_id", "user_id", (F.col("pos") + 1).cast("long").alias("idx"), F.col("p.lat").alias("lat"), F.col("p.lon").alias("lon"), wall.alias("wall_ms"), (wall - epoch_ms(F.col("started_at"))).alias("at_ms"))
+    """One row per fix with its wall clock (ms), place on the session's timeline and, where batches have them, alt_m and accuracy_m.
+
+    A fix's ``t`` is epoch milliseconds, so its place is t less the session's start: before
+    it for a fix older than the session.  idx counts from 1 in its batch.
+    """
+    p = batches.select("segment_id", "session_id", "user_id", "started_at", F.posexplode("points").alias("pos", "p"))
+    more = [F.col(f"p.{c}").alias(c) for c in ("alt_m", "accuracy_m") if c in batches.schema["points"].dataType.elementType.fieldNames()]
+    wall = F.col("p.t")
+    return p.select("segment_id", "session_id", "user_id", (F.col("pos") + 1).cast("long").alias("idx"), F.col("p.lat").alias("lat"), F.col("p.lon").alias("lon"), wall.alias("wall_ms"), (wall - epoch_ms(F.col("started_at"))).alias("at_ms"), *more)
 
 
 def points_between(batches: DataFrame, from_ms: int, to_ms: int) -> DataFrame:
     """Fixes by wall clock in [from_ms, to_ms): whole batches are ruled out by their span before they are unnested."""
     first = epoch_ms(F.col("captured_at"))
-    near = batches.filter((first < to_ms) & (first + F.col("duration_ms") >= from_ms))
+    near = batches.filter((first < to_ms) & (first + F.coalesce("duration_ms", F.lit(0)) >= from_ms))
     return session_points(near).filter((F.col("wall_ms") >= from_ms) & (F.col("wall_ms") < to_ms))
 
 
@@ -72,16 +77,28 @@ def position_at(points: DataFrame, probes: DataFrame, *, gap_ms: int = 300_000)
     return s.select("session_id", "probe_id", "at_ms", coordinate("lat").alias("lat"), coordinate("lon").alias("lon"), exact.alias("exact"))
 
 
-def batch_errors(batches: DataFrame) -> DataFrame:
-    """Adds ``error``: why a batch is refused, or null.  captured_at and duration_ms of a good one follow from its first and last t."""
+def batch_errors(batches: DataFrame, content_type: str = "application/json") -> DataFrame:
+    """Adds ``error``: why a batch is refused, or null.  captured_at and duration_ms of a good one follow from its first and last t.
+
+    Points are 1 to 10 000, each with a place on the globe, a time of at least 0 and
+    an accuracy of at least 0 or none, in order of time; columns content_type and
+    attrs (a map; location declares none) are checked where batches have them.
+    """
     bad = lambda cond, why: F.when(cond, F.lit(why))
     p = F.col("points")
-    error = F.coalesce(
+    fields = batches.schema["points"].dataType.elementType.fieldNames()
+    checks = [
         bad(p.isNull() | (F.size(p) < 1), "no points"),
         bad(F.size(p) > 10_000, "too many points"),
         bad(F.exists(p, lambda x: F.coalesce(~x["lat"].between(-90, 90), F.lit(True))), "latitude"),
         bad(F.exists(p, lambda x: F.coalesce(~x["lon"].between(-180, 180), F.lit(True))), "longitude"),
         bad(F.exists(p, lambda x: F.coalesce(x["t"] < 0, F.lit(True))), "time"),
         bad(F.transform(p, lambda x: x["t"]) != F.array_sort(F.transform(p, lambda x: x["t"])), "order"),
-    )
-    return batches.withColumn("error", error)
+    ]
+    if "accuracy_m" in fields:
+        checks.insert(5, bad(F.exists(p, lambda x: F.coalesce((x["accuracy_m"] < 0) | F.isnan(x["accuracy_m"]), F.lit(False))), "accuracy"))
+    if "content_type" in batches.columns:
+        checks.insert(0, bad(F.col("content_type").isNotNull() & (F.col("content_type") != content_type), "content type"))
+    if "attrs" in batches.columns:
+        checks.insert(0, bad(F.coalesce(F.size("attrs") > 0, F.lit(False)), "attributes"))
+    return batches.withColumn("error", F.coalesce(*checks))

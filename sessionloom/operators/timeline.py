@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.functions.scalars import epoch_ms
@@ -51,12 +51,17 @@ def stamped(events: DataFrame, speakers: DataFrame) -> DataFrame:
     return events.join(speakers.select("session_id", "label", "speaker_id", "speaker_name"), ["session_id", "label"], "left")
 
 
-#: What turns a kind's rows (session_id, start_ms, end_ms, source) into events, by (pipeline, kind); kinds not here give none.
-EXPANDERS: dict[tuple[str, str], Callable[[DataFrame], DataFrame]] = {}
+#: Fields of an expanded event; each kind of event fills its own.
+EVENT = "at_ms long, type string, rank int, start_ms long, end_ms long, confidence double, text string, chars long, speaker string, model string, labels string, label string, peak double, mean double, windows long, lat double, lon double, alt_m double, accuracy_m double, captured_ms long"
+FIELDS = {x.split()[0]: x.split()[1] for x in EVENT.split(", ")}
+POINT = {"lat": "double", "lon": "double", "t": "long", "alt_m": "double", "accuracy_m": "double"}
+#: What makes the events of an artifact, by (pipeline, kind), and of a raw segment, by resource: functions without arguments to an array of events.
+EXPANDERS: dict[tuple[str, str], Callable[[], Column]] = {}
+SEGMENT_EXPANDERS: dict[str, Callable[[], Column]] = {}
 
 
 def expander(pipeline: str, kind: str):
-    """Register a function from a kind's rows to events (session_id, at_ms, type, rank, source)."""
+    """Register a column of an artifact's events; it sees start_ms, end_ms and metadata (JSON)."""
 
     def put(f):
         EXPANDERS[pipeline, kind] = f
@@ -65,19 +70,78 @@ def expander(pipeline: str, kind: str):
     return put
 
 
-def at_start(kind: str) -> Callable[[DataFrame], DataFrame]:
-    return lambda rows: rows.select("session_id", F.col("start_ms").alias("at_ms"), F.lit(kind).alias("type"), F.lit(rank_of(kind)).alias("rank"), "source")
+def segment_expander(resource: str):
+    """Register a column of a segment's events; it sees started_at and points."""
 
+    def put(f):
+        SEGMENT_EXPANDERS[resource] = f
+        return f
+
+    return put
+
+
+def event(kind: str, at_ms: Column, **fields: Column) -> Column:
+    """An event of ``kind`` with the given fields and nulls for the others."""
+    own = {"at_ms": at_ms, "type": F.lit(kind), "rank": F.lit(rank_of(kind)), **fields}
+    return F.struct(*[own.get(n, F.lit(None)).cast(t).alias(n) for n, t in FIELDS.items()])
+
+
+def noted(name: str) -> Column:
+    return F.get_json_object("metadata", f"$.{name}")
+
+
+def spanned(kind: str, **fields: Column) -> Column:
+    return event(kind, F.col("start_ms"), start_ms=F.col("start_ms"), end_ms=F.col("end_ms"), **fields)
+
+
+@expander("speech-detect", "speech-span")
+def speech_span_events() -> Column:
+    return F.array(event("speech-start", F.col("start_ms"), confidence=noted("confidence")), event("speech-end", F.col("end_ms"), confidence=noted("confidence")))
 
-expander("vad", "speech")(speech_events)
-for _pipeline, _kind, _type in (("transcribe", "utterance", "transcript"), ("audio-tag", "window", "audio-tag"), ("sound-span", "span", "sound-span"), ("segment", "location", "location-point")):
-    expander(_pipeline, _kind)(at_start(_type))
+
+@expander("transcribe", "transcript")
+def transcript_events() -> Column:
+    text = F.coalesce(noted("text"), F.lit(""))
+    return F.array(spanned("transcript", text=text, chars=F.coalesce(noted("chars").cast("long"), F.length(text).cast("long")), speaker=noted("speaker"), model=noted("model")))
+
+
+@expander("audio-tag", "audio-tag")
+def audio_tag_events() -> Column:
+    return F.array(spanned("audio-tag", labels=F.coalesce(noted("labels"), F.lit("[]")), model=noted("model")))
+
+
+@expander("sound-span", "sound-span")
+def sound_span_events() -> Column:
+    """A span without a label gives none."""
+    one = F.array(spanned("sound-span", label=noted("label"), peak=noted("peak"), mean=noted("mean"), windows=noted("windows"), model=noted("model")))
+    return F.when(F.coalesce(noted("label"), F.lit("")) != "", one)
+
+
+@segment_expander("location")
+def location_point_events() -> Column:
+    """Every fix where it lies on the session's timeline, with its coordinates."""
+    return F.transform("points", lambda p: event("location-point", p["t"] - epoch_ms(F.col("started_at")), captured_ms=p["t"], **{n: p[n] for n in ("lat", "lon", "alt_m", "accuracy_m")}))
+
+
+def by_case(cases: list[tuple[Column, Column]]) -> Column:
+    """The events of the first case that holds, none if none does."""
+    return F.coalesce(*[F.when(when, events) for when, events in cases], F.array().cast(f"array<struct<{EVENT}>>"))
 
 
 def expanded(artifacts: DataFrame) -> DataFrame:
-    """The events of artifacts (session_id, pipeline, kind, start_ms, end_ms, source) by the registered expanders."""
-    out = None
-    for (pipeline, kind), f in EXPANDERS.items():
-        events = f(artifacts.filter((F.col("pipeline") == pipeline) & (F.col("kind") == kind)))
-        out = events if out is None else out.unionByName(events)
-    return out
+    """The events of artifacts (session_id, pipeline, kind, start_ms, end_ms, source, metadata) by the registered expanders.
+
+    One pass over the artifacts.  Kinds without an expander and rows without a span give none.
+    """
+    rows = artifacts if "metadata" in artifacts.columns else artifacts.withColumn("metadata", F.lit(None).cast("string"))
+    rows = rows.filter("start_ms is not null and end_ms is not null")
+    cases = [((F.col("pipeline") == p) & (F.col("kind") == k), f()) for (p, k), f in EXPANDERS.items()]
+    return rows.select("session_id", "source", F.explode(by_case(cases)).alias("e")).select("session_id", "e.*", "source")
+
+
+def expanded_segments(segments: DataFrame) -> DataFrame:
+    """The events of raw segments (session_id, resource, started_at, points, source); resources without an expander give none."""
+    cases = [(F.col("resource") == r, f()) for r, f in SEGMENT_EXPANDERS.items()]
+    there = segments.schema["points"].dataType.elementType.fieldNames()
+    whole = F.transform("points", lambda p: F.struct(*[(p[n] if n in there else F.lit(None)).cast(t).alias(n) for n, t in POINT.items()]))
+    return segments.withColumn("points", whole).select("session_id", "source", F.explode(by_case(cases)).alias("e")).select("session_id", "e.*", "source")

@@ -59,12 +59,12 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Location batches: a session's events as fixes, times relative to the batch's first."""
+    """Location batches: a session's events as fixes, their times in epoch milliseconds."""
     e = session_events(spark, sf_dir)
     fix = F.struct(F.col("ts"), F.col("event_id"), ((F.col("event_id") % 180) - 90 + F.col("value") / 1000).alias("lat"), ((F.col("event_id") * 7 % 360) - 180 + F.col("value") / 1000).alias("lon"))
     b = e.groupBy("session_id", "user_id", "started_at", F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_list(fix)).alias("p"))
     first = epoch_ms(F.col("p")[0]["ts"])
-    rel = F.transform("p", lambda x: F.struct(x["lat"].alias("lat"), x["lon"].alias("lon"), (epoch_ms(x["ts"]) - first).alias("t")))
+    rel = F.transform("p", lambda x: F.struct(x["lat"].alias("lat"), x["lon"].alias("lon"), epoch_ms(x["ts"]).alias("t")))
     return b.select(F.concat_ws(":", "session_id", "day").alias("segment_id"), "session_id", "user_id", "started_at", F.col("p")[0]["ts"].alias("captured_at"), (epoch_ms(F.element_at("p", -1)["ts"]) - first).alias("duration_ms"), rel.alias("points"))
 
 

@@ -72,13 +72,14 @@ def heartbeats(spark, sf_dir):
     return h.select("user_id", epoch_ms(F.col("last_at")).alias("last_ms"))
 
 
-@query("live_location_events", "SELECT user_id, epoch_ms(ts) + t AS at_ms, event_id * 10 + t // 20000 AS point, value + t / 20000.0 AS lat FROM events, (SELECT unnest([0, 20000]) AS t) WHERE value IS NOT NULL AND t < 30000")
+@query("live_location_events", "SELECT user_id, epoch_ms(ts) + t - epoch_ms(CAST(CAST(ts AS DATE) AS TIMESTAMP)) AS at_ms, event_id * 10 + t // 20000 AS point, value + t / 20000.0 AS lat FROM events, (SELECT unnest([0, 20000, 40000]) AS t) WHERE value IS NOT NULL AND epoch_ms(ts) + t - epoch_ms(CAST(CAST(ts AS DATE) AS TIMESTAMP)) BETWEEN 3600000 AND 79999999")
 def live_location_events(spark, sf_dir):
-    """Each streamed location batch as location-point events; a batch has two points within its half-open window and one at its end."""
-    point = lambda t: F.struct((F.col("value") + t / 20000.0).alias("lat"), F.lit(float(t)).alias("lon"), F.lit(t).cast("long").alias("t"))
-    batches = event_stream(spark, sf_dir).filter("value is not null").select("user_id", "event_id", epoch_ms(F.col("ts")).alias("captured_ms"), F.lit(30_000).alias("duration_ms"), F.array(point(0), point(20_000), point(30_000)).alias("points"))
-    live = st.location_events(batches)
-    return st.drained(live, f"live_{uuid.uuid4().hex}").select("user_id", "at_ms", (F.col("event_id") * 10 + F.col("t") / 20000).cast("long").alias("point"), "lat")
+    """Each streamed location batch, three fixes in epoch milliseconds, as location-point events of a session of that day, within a window."""
+    at = epoch_ms(F.col("ts"))
+    point = lambda t: F.struct((F.col("value") + t / 20000.0).alias("lat"), F.lit(float(t)).alias("lon"), (at + t).alias("t"))
+    batches = event_stream(spark, sf_dir).filter("value is not null").select("user_id", "event_id", at.alias("first_ms"), F.date_trunc("day", "ts").alias("started_at"), F.array(point(0), point(20_000), point(40_000)).alias("points"))
+    live = st.location_events(batches, 3_600_000, 80_000_000)
+    return st.drained(live, f"live_{uuid.uuid4().hex}").select("user_id", "at_ms", (F.col("event_id") * 10 + (F.col("t") - F.col("first_ms")) / 20000).cast("long").alias("point"), "lat")
 
 
 @query("energy_frames", "WITH d AS (SELECT doc_id % 20 AS session_id, strlen(coalesce(text, '')) // 2 * 2 AS n FROM documents), t AS (SELECT session_id, sum(n) AS n FROM d GROUP BY ALL) SELECT session_id, CAST(n // 1024 AS BIGINT) AS frames FROM t WHERE n >= 1024")

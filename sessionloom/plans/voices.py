@@ -239,15 +239,29 @@ def frame_messages(spark, sf_dir):
     return ar.frame_messages(raw).select("session_id", "sequence", F.length("pcm").cast("long").alias("bytes"), ar.frame_errors(max_bytes=80).alias("error"))
 
 
-KINDS = [("vad", "speech"), ("transcribe", "utterance"), ("audio-tag", "window"), ("sound-span", "span"), ("other", "thing")]
+KINDS = [("speech-detect", "speech-span"), ("transcribe", "transcript"), ("audio-tag", "audio-tag"), ("sound-span", "sound-span"), ("other", "thing")]
 
 
-@query("expanded_timeline", f"WITH {d.TURNS} SELECT session_id, turn_id, start_ms AS at_ms, ['speech-start', 'transcript', 'audio-tag', 'sound-span'][k % 5 + 1] AS type FROM turns WHERE k % 5 < 4 UNION ALL SELECT session_id, turn_id, end_ms, 'speech-end' FROM turns WHERE k % 5 = 0")
+@query("expanded_timeline", f"""WITH {d.TURNS}, m AS (SELECT *, k / 99.0 AS x FROM turns)
+SELECT session_id, turn_id, start_ms AS at_ms, 'speech-start' AS type, x AS confidence, NULL AS text, NULL AS chars, NULL AS speaker, NULL AS label FROM m WHERE k % 5 = 0
+UNION ALL SELECT session_id, turn_id, end_ms, 'speech-end', x, NULL, NULL, NULL, NULL FROM m WHERE k % 5 = 0
+UNION ALL SELECT session_id, turn_id, start_ms, 'transcript', NULL, 'said ' || k, length('said ' || k), speaker, NULL FROM m WHERE k % 5 = 1
+UNION ALL SELECT session_id, turn_id, start_ms, 'audio-tag', NULL, NULL, NULL, NULL, NULL FROM m WHERE k % 5 = 2
+UNION ALL SELECT session_id, turn_id, start_ms, 'sound-span', NULL, NULL, NULL, NULL, speaker FROM m WHERE k % 5 = 3 AND k % 7 <> 0""")
 def expanded_timeline(spark, sf_dir):
-    """Artifacts of four kinds as events by the registered expanders; those of an unknown kind give none."""
+    """Artifacts of four kinds as typed events by the registered expanders; an unknown kind and a span without a label give none."""
     kind = F.array(*[F.struct(F.lit(p).alias("pipeline"), F.lit(k).alias("kind")) for p, k in KINDS])[(F.col("k") % 5).cast("int")]
-    a = d.turns(spark, sf_dir).withColumn("of", kind).select("session_id", "of.*", "start_ms", "end_ms", F.col("turn_id").alias("source"))
-    return tl.expanded(a).select("session_id", F.col("source").alias("turn_id"), "at_ms", "type")
+    said = F.to_json(F.struct((F.col("k") / 99.0).alias("confidence"), F.concat(F.lit("said "), F.col("k")).alias("text"), "speaker", F.when(F.col("k") % 7 != 0, F.col("speaker")).alias("label")))
+    a = d.turns(spark, sf_dir).withColumn("of", kind).select("session_id", "of.*", "start_ms", "end_ms", F.col("turn_id").alias("source"), said.alias("metadata"))
+    return tl.expanded(a).select("session_id", F.col("source").alias("turn_id"), "at_ms", "type", "confidence", "text", "chars", "speaker", "label")
+
+
+@query("segment_timeline", f"WITH {d.POINTS} SELECT session_id, CAST(day AS VARCHAR) AS day, at_ms, 'location-point' AS type, round(lat, 6) AS lat, round(lon, 6) AS lon, epoch_ms(ts) AS captured_ms FROM fixes WHERE day <> DATE '2024-01-15'")
+def segment_timeline(spark, sf_dir):
+    """Raw segments as typed events by their resource; those of a resource without an expander give none."""
+    day = F.to_date("captured_at")
+    s = d.points(spark, sf_dir).select("session_id", "started_at", "points", day.cast("string").alias("source"), F.when(day == F.lit("2024-01-15").cast("date"), "audio").otherwise("location").alias("resource"))
+    return tl.expanded_segments(s).select("session_id", F.col("source").alias("day"), "at_ms", "type", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "captured_ms")
 
 
 @query("artifacts_of_session", f"WITH {d.TURNS} SELECT turn_id AS artifact_id FROM turns WHERE session_id = 1 AND (k % 11 = 0 OR (end_ms > 10000 AND start_ms < 60000))")

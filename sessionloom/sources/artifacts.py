@@ -49,12 +49,16 @@ def session_summaries(stats: DataFrame, path: str) -> None:
 
 
 def location_batches(raw: DataFrame, column: str = "payload") -> tuple[DataFrame, DataFrame]:
-    """(good batches with captured_at and duration_ms, refused ones with their error) of JSON payloads."""
+    """(good batches with points, captured_at and duration_ms, refused ones with their error) of JSON payloads ``{"points": [...]}``.
+
+    A capture time or duration that ``raw`` declares stays; else they follow from the first and last point.
+    """
     from sessionloom.operators.location import batch_errors
 
-    b = batch_errors(raw.withColumn("points", F.from_json(column, LOCATION, {"mode": "PERMISSIVE"})))
+    b = batch_errors(raw.withColumn("points", F.from_json(column, f"points {LOCATION}", {"mode": "PERMISSIVE"})["points"]))
     t = F.transform("points", lambda p: p["t"])
-    good = b.filter("error is null").drop("error").withColumn("captured_at", F.timestamp_millis(t[0])).withColumn("duration_ms", F.element_at(t, -1) - t[0])
+    given = lambda name, kind: F.col(name) if name in raw.columns else F.lit(None).cast(kind)
+    good = b.filter("error is null").drop("error").withColumn("captured_at", F.coalesce(given("captured_at", "timestamp"), F.timestamp_millis(t[0]))).withColumn("duration_ms", F.coalesce(given("duration_ms", "long"), F.element_at(t, -1) - t[0]))
     return good, b.filter("error is not null")
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sessionloom.functions.scalars import epoch_ms
+
 #: A frame: its session, its number there, when it was taken, its bytes.
 FRAME = "session_id long, sequence long, captured_at timestamp, pcm binary"
 CHUNK = "session_id long, sequence long, captured_at timestamp, first_frame long, last_frame long, frames long, pcm binary"
@@ -191,14 +193,17 @@ def heartbeats(activity: DataFrame, *, every_ms: int = 60_000) -> DataFrame:
     return times.select("user_id", F.explode(kept).alias("t")).select("user_id", F.timestamp_micros("t").alias("last_at"))
 
 
-def location_events(batches: DataFrame) -> DataFrame:
-    """Location-point events of location batches (captured_ms, duration_ms, points), batch or stream.
+def location_events(batches: DataFrame, from_ms: int | None = None, to_ms: int | None = None) -> DataFrame:
+    """Location-point events of location batches (started_at, points), batch or stream, before the session has ended.
 
-    A point counts in its batch's half-open window only, so that batches side by side
-    part the points.  Adds at_ms, lat, lon and the point's own t.
+    Adds at_ms (the point's epoch ``t`` less the session's start), lat, lon and t.  A
+    window keeps events with from_ms <= at_ms < to_ms, whatever batch brought them, so
+    that windows side by side part the points.
     """
-    points = batches.select(*[c for c in batches.columns if c != "points"], F.explode("points").alias("point")).filter((F.col("point.t") >= 0) & (F.col("point.t") < F.col("duration_ms")))
-    return points.select("*", (F.col("captured_ms") + F.col("point.t")).alias("at_ms"), "point.lat", "point.lon", "point.t").drop("point")
+    points = batches.select(*[c for c in batches.columns if c != "points"], F.explode("points").alias("point"))
+    out = points.select("*", (F.col("point.t") - epoch_ms(F.col("started_at"))).alias("at_ms"), "point.lat", "point.lon", "point.t").drop("point")
+    out = out if from_ms is None else out.filter(F.col("at_ms") >= from_ms)
+    return out if to_ms is None else out.filter(F.col("at_ms") < to_ms)
 
 
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
