@@ -17,6 +17,7 @@ CELL_BITS = 22  # of a shingle's hash: its counter
 SLICES = 64  # of the counters, each summed apart
 HOT = 128  # classes from here on: cells that hold more than so many times the mean cell
 ORDERS = 3
+FOREST_GROUPS = 4  # of a row, compared first
 
 
 def shingle_sets(texts: list[bytes], hasher: Hasher, k: int) -> list:
@@ -285,8 +286,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     four bits a token, allow the similarity.  No text moves before that.
 
     Groups of more than ``block`` rows are split.  First each row's best partners
-    in its block are verified; then, in split groups and those where more pairs passed,
-    all pairs of different components, the largest component of a group against the
+    in its block are verified, in its FOREST_GROUPS largest groups; then, in split groups,
+    those where more pairs passed and those that a row was left out of, all pairs of different components, the largest component of a group against the
     others only.  None is capped.
     """
     import numpy as np
@@ -459,8 +460,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     zero = F.lit(0).cast("long")
     size = member_of.groupBy("g").agg(F.count("*").alias("c"))
     parts = F.greatest(F.ceil(F.col("c") / block), F.lit(1)).cast("long")
-    first = member_of.join(written(size.filter("c > 1"), "sizes"), "g").withColumn("own", salted(parts))
+    # at first each row in its largest groups alone: copies of one text share most of theirs, and would find the same pairs in each
+    placed = member_of.join(written(size.filter("c > 1"), "sizes"), "g").withColumn("nth", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("c"), "g", "low")))
+    placed = written(placed, "placed")
+    first = placed.filter(F.col("nth") <= FOREST_GROUPS).withColumn("own", salted(parts))
     pairs, unfinished = candidates(first.select("g", "row", "low", F.col("row").alias("comp"), "own", F.col("own").alias("bi"), F.col("own").alias("bj")), True)
+    unfinished = unfinished.union(placed.filter(F.col("nth") > FOREST_GROUPS).select("g")).distinct()
     links = fixed.union(verified(pairs))
     found = components(links)
 
@@ -482,7 +487,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     least = nodes.join(nodes.groupBy("component").agg(F.min("id").alias("component_id")), "component").select("row", "component_id")
     out = rows.select("row", "id", "n").join(least, "row", "left").select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
     out = written(out, "components")
-    discard(bodies, member_of, named_rows, top, rows)
+    discard(bodies, member_of, placed, named_rows, top, rows)
     return out
 
 
