@@ -8,146 +8,216 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionloom.functions.scalars import is_finite_vector
+from sessionloom.functions.scalars import cosine_distance, is_finite_vector, unit
 from sessionloom.functions.storage import written
-from sessionloom.operators.graph import components
 from sessionloom.operators.vectors import matrix
 
+SLACK = 1e-12
 
-def average_linkage(unit: np.ndarray, pins: list, threshold: float) -> list[int]:
-    """A group number per row: agglomerative average linkage by cosine distance, cut at ``threshold`` inclusive.
 
-    Rows of one pin start together; groups of different pins never merge.  Each group
-    is the sum of its unit vectors, so the mean distance of two groups is 1 minus the
-    dot of their sums over the product of their sizes.  Chains of nearest neighbours
-    find reciprocal pairs; merges over the threshold are not taken, which for average
-    linkage under these rules leaves the same partition as always merging the closest.
+def linked(sums: np.ndarray, sizes: np.ndarray, pins: np.ndarray, threshold: float) -> np.ndarray:
+    """For each starting group (sum and number of its unit vectors, pin or -1) the first of those it ends up with.
+
+    Average linkage by cosine distance, cut at ``threshold`` inclusive; groups of
+    different pins never merge.  All reciprocal nearest pairs merge at once: under
+    average linkage no merge brings a third group closer than the nearer of its two
+    parts was, so such a pair stays nearest until it merges, whatever merges before;
+    for the same reason a group's nearest stays so until that is merged itself.  Of
+    equal distances the first group counts, so the closest pair is always reciprocal.
     """
-    n = len(unit)
-    group, by_pin = list(range(n)), {}
-    for i, p in enumerate(pins):
-        if p is not None:
-            group[i] = by_pin.setdefault(p, i)
-    roots = sorted(set(group))
-    sums = {r: unit[[i for i in range(n) if group[i] == r]].sum(0) for r in roots}
-    size = {r: sum(g == r for g in group) for r in roots}
-    pin = {r: pins[r] for r in roots}
-    parent = {r: r for r in roots}
-    chain, closed = [], set()
-    s, m = np.array([sums[r] for r in roots]), np.array([float(size[r]) for r in roots])
-    pinned = np.array([-1 if pin[r] is None else sorted(by_pin).index(pin[r]) for r in roots])
-    alive = np.ones(len(roots), bool)
+    n = len(sums)
+    at = np.arange(n)
+    parent = at.copy()
+    if n < 2:
+        return parent
+    mean = sums / sizes[:, None]
+    d = 1 - mean @ mean.T
+    d = (d + d.T) / 2
+    np.fill_diagonal(d, np.inf)
+    bound = np.flatnonzero(pins >= 0)
+    d[np.ix_(bound, bound)] = np.inf
+    w = sizes.astype(float)
+    near = d.argmin(1)
+    alive = d[at, near] <= threshold + SLACK  # a group without a partner this near never gets one
     while True:
-        if not chain:
-            start = [k for k in range(len(roots)) if alive[k] and k not in closed]
-            if not start:
-                break
-            chain = [start[0]]
-        k = chain[-1]
-        d = 1 - (s @ s[k]) / (m * m[k])
-        d[~alive] = np.inf
-        d[k] = np.inf
-        if pinned[k] >= 0:
-            d[(pinned >= 0)] = np.inf
-        best = int(np.argmin(d)) if len(d) else k
-        if not np.isfinite(d[best]) or d[best] > threshold + 1e-12:
-            closed.add(k)
-            chain.pop()
-            continue
-        if len(chain) > 1 and (best == chain[-2] or d[chain[-2]] <= d[best]):
-            j = chain[-2]
-            chain = chain[:-2]
-            a, b = min(j, k), max(j, k)
-            s[a], m[a] = s[a] + s[b], m[a] + m[b]
-            pinned[a] = max(pinned[a], pinned[b])
-            alive[b] = False
-            parent[roots[b]] = roots[a]
-            closed.clear()
-            continue
-        if best in chain:  # a tie led back: start over from here
-            chain = [k, best] if best != k else [k]
-            continue
-        chain.append(best)
-
-    def root(r: int) -> int:
-        while parent[r] != r:
-            r = parent[r]
-        return r
-
-    return [root(g) for g in group]
-
-
-def close_pairs(corpus: DataFrame, keys: list[str], id_col: str, vector_col: str, threshold: float, *, block_rows: int = 2_000) -> DataFrame:
-    """(keys, a, b): pairs of a key within ``threshold``, by blocks of rows multiplied against blocks.
-
-    Every block meets every later block of its key once, in a group of two blocks.
+        a = np.flatnonzero(alive & (near[near] == at) & (at < near) & alive[near])
+        if not len(a):
+            break
+        b = near[a]
+        part_a, part_b = (w[a] / (w[a] + w[b]))[:, None], (w[b] / (w[a] + w[b]))[:, None]
+        rows = part_a * d[a] + part_b * d[b]
+        rows[:, a] = part_a.T * rows[:, a] + part_b.T * rows[:, b]
+        rows[:, b] = np.inf
+        both = np.minimum(rows[:, a], rows[:, a].T)
+        np.fill_diagonal(both, np.inf)
+        rows[:, a] = both
+        d[a], d[:, a] = rows, rows.T
+        d[b], d[:, b] = np.inf, np.inf
+        w[a] += w[b]
+        parent[b], alive[b] = a, False
+        gone = np.zeros(n, bool)
+        gone[a], gone[b] = True, True
+        stale = np.flatnonzero(alive & (gone | gone[near]))
+        near[stale] = d[stale].argmin(1)
+        alive[stale] = d[stale, near[stale]] <= threshold + SLACK
+    while (parent != parent[parent]).any():
+        parent = parent[parent]
+    return parent
+
+
+def average_linkage(rows: np.ndarray, pins: list, threshold: float) -> list[int]:
+    """A group number per row of unit vectors, see ``linked``; rows of one pin start together."""
+    starts: dict = {}
+    of = np.array([starts.setdefault(("row", i) if p is None else ("pin", p), len(starts)) for i, p in enumerate(pins)], int)
+    sums, sizes = np.zeros((len(starts), rows.shape[1])), np.bincount(of, minlength=len(starts))
+    np.add.at(sums, of, rows)
+    pin = np.array([k if kind == "pin" else -1 for k, (kind, _) in enumerate(starts)], int)
+    return linked(sums, sizes, pin, threshold)[of].tolist()
+
+
+def starting_groups(corpus: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows with the group they start in, groups (keys, group, s, n, pin)) of rows (keys, id, v, pin).
+
+    A pin's rows are a group, and so are equal vectors without a pin: each at no
+    distance from the others.  A group is called by its least id.  Sums are added up
+    in the tasks first.
+    """
+    usable = is_finite_vector(F.col("v"))
+    c = corpus.withColumn("_u", F.when(usable, unit(F.col("v").cast("array<double>")))).withColumn("_h", F.when(F.col("pin").isNull() & usable, F.sha2(F.to_json(F.struct("_u")), 256)))
+    own = F.when(F.col("pin").isNull() & ~F.coalesce(usable, F.lit(False)), F.col("id"))
+    of = [F.col("pin").alias("_p"), F.col("_h").alias("_h"), own.alias("_o")]
+    named = c.groupBy(*keys, *of).agg(F.min("id").alias("group"), F.count("_u").alias("n"), F.count(F.lit(1)).alias("rows"), F.first("_u", True).alias("one"))
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    left = c.select(*keys, "id", "_u", *of)
+    right = named.select(*[F.col(k).alias(f"_{k}") for k in keys], *[F.col(x).alias(f"{x}2") for x in ("_p", "_h", "_o")], "group")
+    on = same("_p", "_p2") & same("_h", "_h2") & same("_o", "_o2")
+    for k in keys:
+        on = on & same(k, f"_{k}")
+    rows = left.join(right, on).select(*keys, "id", "_u", F.col("_p").alias("pin"), "group")
+    pinned = rows.filter("pin is not null and _u is not null").select(*keys, "group", F.posexplode("_u").alias("i", "x")).groupBy(*keys, "group", "i").agg(F.sum("x").alias("x"))
+    pinned = pinned.groupBy(*keys, "group").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("s"))
+    groups = named.filter("n > 0").select(*keys, "group", "n", F.col("_p").alias("pin"), "one")
+    alone = groups.filter("pin is null").select(*keys, "group", F.transform("one", lambda x: x * F.col("n")).alias("s"), F.col("n").cast("double").alias("n"), "pin")
+    both = groups.filter("pin is not null").drop("one").join(pinned, [*keys, "group"]).select(*keys, "group", "s", F.col("n").cast("double").alias("n"), "pin")
+    return rows.select(*keys, "id", "group"), alone.unionByName(both)
+
+
+def nearest_groups(groups: DataFrame, keys: list[str], threshold: float, block_rows: int) -> DataFrame:
+    """(keys, group, near, d): for each group in ``groups`` whose ``near`` is null, the nearest other one it may merge with, if within ``threshold``.
+
+    Blocks of rows are multiplied against blocks; a pair of blocks returns a row for
+    each group of the first at most, and the least of those counts (ties: the pair of
+    lesser ids).
     """
-    c = corpus.filter(is_finite_vector(F.col(vector_col))).select(*keys, F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
-    n_blocks = c.groupBy(*keys).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("nb"))
-    c = c.join(n_blocks, keys).withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    # block i goes to every pair (i, j) and (j, i) with the larger one second
-    both = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(F.least("blk", j).alias("lo"), F.greatest("blk", j).alias("hi")))
-    sent = c.withColumn("p", F.explode(both)).select(*keys, "id", "v", "blk", "p.lo", "p.hi")
-    kind = corpus.schema[id_col].dataType.simpleString()
-    types = {f.name: f.dataType.simpleString() for f in corpus.schema}
-    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), f"a {kind}, b {kind}"])
+    n_blocks = groups.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("nb"))
+    c = groups.join(n_blocks, keys).withColumn("blk", F.pmod(F.xxhash64("group"), F.col("nb")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("nb") - 1)
+    asks = c.filter("near is null").select(*keys, "group", "s", "n", "pin", F.lit(True).alias("asks"), F.col("blk").alias("q"), F.explode(every).alias("r"))
+    there = c.select(*keys, "group", "s", "n", "pin", F.lit(False).alias("asks"), F.explode(every).alias("q"), F.col("blk").alias("r"))
+    types = {f.name: f.dataType.simpleString() for f in groups.schema}
+    kind = types["group"]
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), f"group {kind}, near {kind}, d double"])
 
     def multiply(t: pa.Table) -> pa.Table:
-        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
-        blk, ids, x = np.asarray(t.column("blk")), t.column("id").to_pylist(), matrix(t.column("v").combine_chunks())
-        one, two = np.flatnonzero(blk == lo), np.flatnonzero(blk == hi)
-        i, j = np.nonzero(1 - x[one] @ x[two].T <= threshold + 1e-12)
-        i, j = one[i], two[j]
-        ok = i < j if lo == hi else np.ones(len(i), bool)
-        i, j = i[ok].tolist(), j[ok].tolist()
-        head = {k: pa.array([t.column(k)[0].as_py()] * len(i), t.schema.field(k).type) for k in keys}
-        return pa.table({**head, "a": pa.array([ids[p] for p in i], t.schema.field("id").type), "b": pa.array([ids[q] for q in j], t.schema.field("id").type)})
-
-    return sent.groupBy(*keys, "lo", "hi").applyInArrow(multiply, schema)
-
-
-def clustered(corpus: DataFrame, keys: list[str], *, id_col: str = "id", vector_col: str = "embedding", pin_col: str | None = None, threshold: float = 0.65) -> DataFrame:
-    """(keys, id, cluster): constrained average-linkage clusters per key; ``cluster`` is the least id in it.
-
-    Groups at a mean distance of at most ``threshold`` have a pair that close, so
-    clusters never cross components of the close pairs and pins: those are found at
-    scale, and each is clustered on its own.  Rows without a finite vector stay alone
-    or with their pin.  One component is one task's work.
+        t = t.sort_by("group")  # the first of equal distances has the lesser id
+        asks = np.asarray(t.column("asks"))
+        one, two = np.flatnonzero(asks), np.flatnonzero(~asks)
+        ids = t.column("group")
+        found = []
+        if len(one) and len(two):
+            m = matrix(t.column("s").combine_chunks(), normed=False) / np.asarray(t.column("n"))[:, None]
+            names = ids.to_pylist()
+            pins = t.column("pin").to_pylist()
+            code: dict = {None: -1}
+            pin = np.array([code.setdefault(p, len(code)) for p in pins])
+            at_of = {names[j]: k for k, j in enumerate(two.tolist())}
+            for at in range(0, len(one), 512):
+                part = one[at : at + 512]
+                d = np.round(1 - m[part] @ m[two].T, 12)  # the same from either side
+                d[(pin[part][:, None] >= 0) & (pin[two][None, :] >= 0)] = np.inf
+                for i, p in enumerate(part.tolist()):
+                    if names[p] in at_of:
+                        d[i, at_of[names[p]]] = np.inf
+                best = d.argmin(1)
+                for i, k in enumerate(best.tolist()):
+                    if d[i, k] <= threshold + SLACK:
+                        found.append((part[i], two[k], d[i, k]))
+        head = {k: pa.array([t.column(k)[0].as_py()] * len(found), t.schema.field(k).type) for k in keys}
+        return pa.table({**head, "group": ids.take([f[0] for f in found]) if found else ids.slice(0, 0), "near": ids.take([f[1] for f in found]) if found else ids.slice(0, 0), "d": pa.array([float(f[2]) for f in found], pa.float64())})
+
+    pairs = asks.unionByName(there).groupBy(*keys, "q", "r").applyInArrow(multiply, schema)
+    return pairs.groupBy(*keys, "group").agg(F.min(F.struct("d", F.least("group", "near").alias("a"), F.greatest("group", "near").alias("b"), "near")).alias("_m")).select(*keys, "group", "_m.near", "_m.d")
+
+
+def clustered(corpus: DataFrame, keys: list[str], *, id_col: str = "id", vector_col: str = "embedding", pin_col: str | None = None, threshold: float = 0.65, task_groups: int = 3_000, block_rows: int = 2_000) -> DataFrame:
+    """(keys, id, cluster): average-linkage clusters per key under pins, cut at ``threshold``; ``cluster`` is the least id in it.
+
+    Rows of one pin are together, rows of different pins apart (see ``linked``); rows
+    without a finite vector stay alone or with their pin; equal vectors count as one
+    group of their number.  A key of at most ``task_groups`` groups is one task's
+    work.  A larger one is merged in rounds, each written out: block products give
+    every group whose nearest was merged its new nearest, reciprocal pairs merge, and
+    groups without a partner within ``threshold`` are done, until what is left fits
+    one task.  Ids are unique within a key; null keys are a key.
     """
-    base = corpus.select(*keys, F.col(id_col).alias("id"), F.col(vector_col).alias("v"), (F.col(pin_col) if pin_col else F.lit(None).cast("string")).cast("string").alias("pin"))
-    pairs = close_pairs(base, keys, "id", "v", threshold).select("a", "b")
-    w = Window.partitionBy(*keys, "pin")
-    pinned = base.filter(F.col("pin").isNotNull()).select(F.min("id").over(w).alias("a"), F.col("id").alias("b"))
-    found = components(pairs.union(pinned))
-    c = written(base.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), "corpus")
-    alone = F.count("*").over(Window.partitionBy(*keys, "component")) == 1
-    c = c.withColumn("alone", alone)
-    types = {f.name: f.dataType.simpleString() for f in c.schema}
-    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), f"id {types['id']}, cluster {types['id']}"])
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        ok = [v is not None and len(v) > 0 and bool(np.isfinite(np.asarray(v, np.float64)).all()) for v in pdf["v"]]
-        good = [i for i, x in enumerate(ok) if x]
-        pins = [None if pd.isna(p) else p for p in pdf["pin"]]
-        label = list(range(len(pdf)))
-        if good:
-            x = np.array([np.asarray(pdf["v"][i], np.float64) for i in good])
-            length = np.linalg.norm(x, axis=1, keepdims=True)
-            for i, g in zip(good, average_linkage(x / np.where(length > 0, length, 1.0), [pins[i] for i in good], threshold), strict=True):
-                label[i] = good[g]
-        by_pin = {}
-        for i in good:
-            if pins[i] is not None:
-                by_pin.setdefault(pins[i], label[i])
-        for i, x in enumerate(ok):
-            if not x and pins[i] is not None:
-                label[i] = by_pin.setdefault(pins[i], i)
-        least = pdf.groupby(label)["id"].transform("min")
-        return pd.DataFrame({**{k: pdf[k] for k in keys}, "id": pdf["id"], "cluster": least})
-
-    single = c.filter("alone").select(*keys, "id", F.col("id").alias("cluster"))
-    return single.unionByName(c.filter("not alone").groupBy(*keys, "component").applyInPandas(merge, schema))
+    base = corpus.select(*keys, F.col(id_col).alias("id"), F.col(vector_col).alias("v"), (F.col(pin_col) if pin_col else F.lit(None)).cast("string").alias("pin"))
+    rows, groups = starting_groups(base, keys)
+    rows, state = written(rows, "cluster-rows"), written(groups.withColumn("near", F.when(F.lit(False), F.col("group"))).withColumn("d", F.lit(None).cast("double")), "cluster-groups")
+    moves = None
+    on = [*keys, "group"]
+    small = None
+    while True:
+        sized = state.join(state.groupBy(*keys).agg(F.count(F.lit(1)).alias("_groups")), keys)
+        fits = sized.filter(F.col("_groups") <= task_groups).drop("_groups")
+        small = fits if small is None else small.unionByName(fits)
+        large = sized.filter(F.col("_groups") > task_groups).drop("_groups")
+        if large.isEmpty():
+            break
+        near = nearest_groups(large, keys, threshold, block_rows)
+        fresh = large.filter("near is null").drop("near", "d").join(near, on)  # those without one are done: they stay as they are
+        known = written(fresh.unionByName(large.filter("near is not null").select(*fresh.columns)), "cluster-near")
+        # of all nearest pairs those that are the least at both their ends; the least of a key always is
+        edges = known.select(*keys, F.struct("d", F.least("group", "near").alias("a"), F.greatest("group", "near").alias("b")).alias("e")).distinct()
+        best = edges.select(*keys, "e", F.explode(F.array("e.a", "e.b")).alias("end")).groupBy(*keys, "end").agg(F.min("e").alias("e"))
+        chosen = best.groupBy(*keys, "e").agg(F.count(F.lit(1)).alias("ends")).filter("ends = 2").select(*keys, F.col("e.a").alias("group"), F.col("e.b").alias("gone"))
+        other = large.select(*keys, F.col("group").alias("gone"), F.col("s").alias("_s"), F.col("n").alias("_n"), F.col("pin").alias("_pin"))
+        pairs = chosen.join(large.select(*keys, "group", "s", "n", "pin"), on).join(other, [*keys, "gone"])
+        pairs = written(pairs.select(*keys, "group", "gone", F.zip_with("s", "_s", lambda x, y: x + y).alias("s"), (F.col("n") + F.col("_n")).alias("n"), F.coalesce("pin", "_pin").alias("pin")), "cluster-merges")
+        if pairs.isEmpty():
+            break
+        touched = pairs.select(*keys, F.col("group").alias("_t")).unionByName(pairs.select(*keys, F.col("gone").alias("_t")))
+        rest = known.join(touched.withColumnRenamed("_t", "group"), on, "left_anti")
+        lost = touched.select(*keys, F.col("_t").alias("near")).withColumn("_lost", F.lit(True))
+        rest = rest.join(lost, [*keys, "near"], "left").withColumn("near", F.when(F.col("_lost").isNull(), F.col("near"))).drop("_lost").withColumn("d", F.when(F.col("near").isNotNull(), F.col("d")))
+        merged = pairs.select(*keys, "group", "s", "n", "pin", F.when(F.lit(False), F.col("group")).alias("near"), F.lit(None).cast("double").alias("d"))
+        new = written(merged.unionByName(rest.select(*merged.columns)), "cluster-groups")
+        step = pairs.select(*keys, F.col("gone").alias("group"), F.col("group").alias("to"))
+        moves = step if moves is None else follow(moves, step, keys).unionByName(step)
+        moves = written(moves, "cluster-moves")
+        state = new
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), f"group {types['group']}, to {types['group']}"])
+
+    def finish(t: pa.Table) -> pa.Table:
+        t = t.sort_by("group")
+        code: dict = {None: -1}
+        pin = np.array([code.setdefault(p, len(code) - 1) for p in t.column("pin").to_pylist()], int)
+        to = linked(matrix(t.column("s").combine_chunks(), normed=False), np.asarray(t.column("n"), np.float64), pin, threshold)
+        moved = np.flatnonzero(to != np.arange(len(to)))
+        t = t.select([*keys, "group"])
+        return t.take(moved).append_column("to", t.column("group").take(to[moved]))
+
+    last = small.select(*keys, "group", "s", "n", "pin").groupBy(*keys).applyInArrow(finish, schema)
+    moves = written(last if moves is None else follow(moves, last, keys).unionByName(last), "cluster-moves")
+    out = rows.join(moves, on, "left").withColumn("to", F.coalesce("to", "group"))
+    first = out.groupBy(*keys, "to").agg(F.min("id").alias("cluster"))
+    return out.join(first, [*keys, "to"]).select(*keys, "id", "cluster")
+
+
+def follow(moves: DataFrame, step: DataFrame, keys: list[str]) -> DataFrame:
+    """Earlier moves (keys, group, to) led on by those of a later round."""
+    later = step.select(*keys, F.col("group").alias("to"), F.col("to").alias("_on"))
+    return moves.join(later, [*keys, "to"], "left").select(*keys, "group", F.coalesce("_on", "to").alias("to"))
 
 
 def reconciled(clusters: DataFrame, keys: list[str], speakers: DataFrame) -> DataFrame:
@@ -190,52 +260,62 @@ def purity_split(turns: DataFrame, keys: list[str], *, distance: float = 0.7, sp
     """Adds ``label``: a speaker's turns split where their vectors form groups.
 
     turns: keys, turn_id, speaker, start_ms, end_ms, clean_ms, embedding.  Turns with a
-    vector and ``turn_min_clean_ms`` of clean speech vote; two or more groups with
-    ``split_min_clean_ms`` each make sub-labels .0, .1, ... by clean speech; smaller
-    groups go to the nearest of those, other turns to the nearest voter in time.
+    vector and ``turn_min_clean_ms`` of clean speech vote; voters are clustered.  Two or
+    more groups with ``split_min_clean_ms`` each make sub-labels .0, .1, ... by clean
+    speech (ties: the earlier voter); smaller groups go to the nearest of those by
+    their mean unit vectors, other turns to the voter nearest in time (ties: the
+    lesser number).  A speaker without two such groups keeps the label.
+    """
+    who = [*keys, "speaker"]
+    t = turns.withColumn("_votes", is_finite_vector(F.col("embedding")) & (F.coalesce("clean_ms", F.lit(0)) >= turn_min_clean_ms))
+    voters = t.filter("_votes").select(*who, "turn_id", "start_ms", "end_ms", F.coalesce("clean_ms", F.lit(0)).alias("clean_ms"), unit(F.col("embedding").cast("array<double>")).alias("v"))
+    grouped = written(voters.join(clustered(voters, who, id_col="turn_id", vector_col="v", threshold=distance).withColumnRenamed("id", "turn_id"), [*who, "turn_id"]), "voters")
+    mean = grouped.select(*who, "cluster", F.posexplode("v").alias("i", "x")).groupBy(*who, "cluster", "i").agg(F.avg("x").alias("x")).groupBy(*who, "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("center"))
+    sums = grouped.groupBy(*who, "cluster").agg(F.sum("clean_ms").alias("total"), F.min(F.struct("start_ms", "end_ms", "turn_id")).alias("first")).join(mean, [*who, "cluster"])
+    by_clean = Window.partitionBy(*who).orderBy(F.desc("total"), "first")
+    large = sums.filter(F.col("total") >= split_min_clean_ms).withColumn("number", F.row_number().over(by_clean) - 1)
+    large = written(large.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*who))).filter("_n > 1").drop("_n"), "voices")
+    few = sums.join(large.select(*who, "cluster"), [*who, "cluster"], "left_anti").join(large.select(*who, "number", F.col("center").alias("_c")), who)
+    few = few.groupBy(*who, "cluster").agg(F.min(F.struct(cosine_distance(F.col("center"), F.col("_c")).alias("d"), "number"))["number"].alias("number"))
+    numbers = large.select(*who, "cluster", "number").unionByName(few)
+    voted = grouped.join(numbers, [*who, "cluster"]).select(*who, "turn_id", "start_ms", "end_ms", "number")
+
+    # a silent turn and the voters of each number in one order by start: the latest end before it and the next start behind it
+    silent = t.filter("not coalesce(_votes, false)").select(*who, "turn_id", "start_ms", "end_ms")
+    asks = silent.join(large.select(*who, "number"), who).withColumn("_votes", F.lit(0))
+    line = Window.partitionBy(*who, "number").orderBy("start_ms", F.desc("_votes"))
+    both = asks.unionByName(voted.withColumn("_votes", F.lit(1)))
+    end, start = F.when(F.col("_votes") == 1, F.col("end_ms")), F.when(F.col("_votes") == 1, F.col("start_ms"))
+    both = both.withColumn("_before", F.max(end).over(line.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_after", F.first(start, True).over(line.rowsBetween(1, Window.unboundedFollowing)))
+    apart = F.greatest(F.least(F.col("start_ms") - F.col("_before"), F.col("_after") - F.col("end_ms")), F.lit(0))
+    heard = both.filter("_votes = 0").groupBy(*who, "turn_id").agg(F.min(F.struct(apart.alias("d"), "number"))["number"].alias("number"))
+    labels = voted.select(*who, "turn_id", "number").unionByName(heard)
+    label = F.when(F.col("number").isNull(), F.col("speaker")).otherwise(F.concat("speaker", F.lit("."), F.col("number")))
+    return turns.join(labels, [*who, "turn_id"], "left").withColumn("label", label).select(*turns.columns, "label")
+
+
+def merged_speakers(edges: DataFrame, members: DataFrame, speakers: DataFrame | None = None, *, same: list[str] | None = None) -> DataFrame:
+    """Members (id, speaker_id) after merges (from_id, to_id): each is with the target that its chain of merges ends at.
+
+    A speaker merged twice goes where its least target is.  With ``speakers``
+    (speaker_id and the columns ``same``, say the model) only merges between speakers
+    that are there and agree in those count.  Merges in a circle, and those leading
+    into one, have no end and don't count.
     """
-    schema = turns.withColumn("label", F.lit("")).schema
-
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start_ms", "end_ms", "turn_id"]).reset_index(drop=True)
-        pdf["label"] = pdf["speaker"]
-        clean = pdf["clean_ms"].fillna(0).astype(int).tolist()
-        voters = [i for i in range(len(pdf)) if pdf["embedding"][i] is not None and clean[i] >= turn_min_clean_ms]
-        if len(voters) < 2:
-            return pdf
-        x = np.array([np.asarray(pdf["embedding"][i], np.float64) for i in voters])
-        n = np.linalg.norm(x, axis=1, keepdims=True)
-        x = x / np.where(n > 0, n, 1.0)
-        groups: dict[int, list[int]] = {}
-        for j, g in enumerate(average_linkage(x, [None] * len(voters), distance)):
-            groups.setdefault(g, []).append(j)
-        total = {g: sum(clean[voters[j]] for j in js) for g, js in groups.items()}
-        large = sorted((g for g in groups if total[g] >= split_min_clean_ms), key=lambda g: (-total[g], groups[g][0]))
-        if len(large) < 2:
-            return pdf
-
-        def center(g: int) -> np.ndarray:
-            c = x[groups[g]].mean(0)
-            return c / (np.linalg.norm(c) or 1.0)
-
-        centers = [center(g) for g in large]
-        number = {}
-        for g, js in groups.items():
-            to = large.index(g) if g in large else int(np.argmin([1 - center(g) @ c for c in centers]))
-            number.update({voters[j]: to for j in js})
-        s, e = pdf["start_ms"].tolist(), pdf["end_ms"].tolist()
-        apart = lambda i, v: max(s[i] - e[v], s[v] - e[i], 0)
-        pdf["label"] = [f"{pdf['speaker'][i]}.{number[i] if i in number else min((apart(i, v), g) for v, g in number.items())[1]}" for i in range(len(pdf))]
-        return pdf
-
-    return turns.groupBy(*keys, "speaker").applyInPandas(split, schema)
-
-
-def merged_speakers(edges: DataFrame, members: DataFrame) -> DataFrame:
-    """Members (id, speaker_id) after merges (from_id, to_id): chains of merges end at one survivor, the least id."""
-    c = components(edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")))
-    least = c.join(c.groupBy("component").agg(F.min("id").alias("survivor")), "component").select(F.col("id").alias("speaker_id"), "survivor")
-    return members.join(least, "speaker_id", "left").select("id", F.coalesce("survivor", "speaker_id").alias("speaker_id"))
+    e = edges.select(F.col("from_id").alias("f"), F.col("to_id").alias("t")).filter("f != t")
+    if speakers is not None:
+        agree = F.struct(*[F.col(c) for c in same or []], F.lit(1).alias("_"))
+        side = speakers.select("speaker_id", agree.alias("_like"))
+        e = e.join(side.withColumnRenamed("speaker_id", "f"), "f").join(side.select(F.col("speaker_id").alias("t"), F.col("_like").alias("_to")), "t").filter(F.col("_like").eqNullSafe(F.col("_to"))).select("f", "t")
+    step = written(e.groupBy("f").agg(F.min("t").alias("t")), "merges")
+    ends = step.select("t").join(step.select(F.col("f").alias("t")), "t", "left_anti").distinct()  # targets that stay
+    left = step.count()
+    jump, reach = step, 1
+    while reach <= left:  # each round doubles the length of the chains followed
+        jump = written(jump.join(jump.select(F.col("f").alias("t"), F.col("t").alias("_on")), "t", "left").select("f", F.coalesce("_on", "t").alias("t")), "merges")
+        reach *= 2
+    done = jump.join(ends, "t").select(F.col("f").alias("speaker_id"), F.col("t").alias("survivor"))
+    return members.join(done, "speaker_id", "left").select("id", F.coalesce("survivor", "speaker_id").alias("speaker_id"))
 
 
 def reassigned(members: DataFrame, feed: DataFrame) -> tuple[DataFrame, DataFrame]:
