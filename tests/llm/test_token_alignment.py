@@ -93,7 +93,12 @@ def test_leaf_groups(seed):
         to = a.index(c) + 1, b.index(c) + 1
         want.append((at[0], to[0], at[1], to[1]))
         at = to
-    got = token_alignment.leaf_groups(a, b)
-    assert got == want
-    for g in got:
-        assert len(list(token_alignment.links_of(a, b, g))) == g[1] - g[0] + g[3] - g[2] - 1
+    assert token_alignment.leaf_groups(a, b) == want
+    # the same for many intervals at once, the shared cuts of every third group known beforehand
+    import numpy as np
+
+    known = [w for k, w in enumerate(want) if k % 3 == 0]
+    at_a, at_b = (np.array([w[i] for w in known] + [len(x)]) for i, x in ((0, a), (2, b)))
+    for most in (64, 2):
+        got = token_alignment.all_leaf_groups(np.array(a), np.array(b), at_a, at_b, most)
+        assert got.tolist() == [[w[0] for w in want], [w[2] for w in want]]
