@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sessionloom.functions.storage import discard, written
 from sessionloom.operators.intervals import with_island
 
 
@@ -22,17 +23,23 @@ def first_windows(windows: DataFrame, keys: list[str]) -> DataFrame:
     return windows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
+def first_of_equal(windows: DataFrame, keys: list[str], arrival: list[str]) -> DataFrame:
+    """Of windows with one start and end, the one that came first by the columns ``arrival``."""
+    w = Window.partitionBy(*keys, "start_ms", "end_ms").orderBy(*arrival)
+    return windows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+
+
 def closure(edges: DataFrame, *, max_depth: int = 64) -> DataFrame:
-    """(label, ancestor) pairs of a parent table (label, parent), with cycles broken; edges grow by doubling."""
-    found = edges.select("label", F.col("parent").alias("ancestor")).filter("label != ancestor").distinct()
-    n, depth = -1, 1
+    """(label, ancestor) pairs of a parent table (label, parent), with cycles broken; edges grow by doubling, each round written out."""
+    found = written(edges.select("label", F.col("parent").alias("ancestor")).filter("label is not null and ancestor is not null and label != ancestor").distinct(), "closure")
+    n, depth = found.count(), 1
     while depth <= max_depth:
-        size = found.count()
-        if size == n:
-            break
-        n = size
         step = found.alias("a").join(found.alias("b"), F.col("a.ancestor") == F.col("b.label")).select("a.label", "b.ancestor").filter("label != ancestor")
-        found = found.union(step).distinct().checkpoint() if found.sparkSession.sparkContext.getCheckpointDir() else found.union(step).distinct()
+        more = written(found.union(step).distinct(), "closure")
+        discard(found)
+        found, before, n = more, n, more.count()
+        if n == before:
+            break
         depth *= 2
     return found
 
@@ -67,6 +74,8 @@ def hysteresis_spans(scored: DataFrame, keys: list[str], *, enter: float = 0.40,
     A span opens at ``enter``, goes on with windows at ``sustain`` or more, bridges up
     to ``bridge_ms`` and needs ``min_windows`` windows.  On a regular grid (``monotone``:
     ends grow with starts) this is window SQL; otherwise a fold per session and label.
+    Of equal windows the one that came first counts: choose it before (``first_of_equal``);
+    of scores still equal in window and label the highest is taken.
     """
     by = [*keys, "label"]
     first = Window.partitionBy(*by, "start_ms", "end_ms").orderBy(F.col("score").desc())

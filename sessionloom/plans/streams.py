@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.functions.scalars import epoch_ms
+from sessionloom.functions.storage import written
 from sessionloom.operators import pcm
 from sessionloom.plans import derived as d
 from sessionloom.plans.catalog import query
@@ -50,14 +51,47 @@ def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").alias("session_id"), F.col("i").alias("sequence"), F.col("ts").cast("timestamp").alias("captured_at"), F.encode(F.repeat(F.lit("ab"), (F.col("k") % 7 + 1).cast("int")), "UTF-8").alias("pcm"), (F.col("k") == 7).alias("trigger"))
 
 
-@query("pooled_chunks")
+AUDIO = f"{d.ORD}, f AS (SELECT user_id AS session_id, i, epoch_us(ts) AS us, 2 * (k % 7 + 1) AS size, k = 7 AS hit FROM ord)"
+POOLED = f"""WITH RECURSIVE {AUDIO},
+p AS (SELECT session_id, i, us AS since, i AS first, size AS held FROM f WHERE i = 0
+ UNION ALL SELECT f.session_id, f.i, CASE WHEN held >= 64 OR us - since >= 90000000000 THEN us ELSE since END, CASE WHEN held >= 64 OR us - since >= 90000000000 THEN f.i ELSE first END, CASE WHEN held >= 64 OR us - since >= 90000000000 THEN size ELSE held + size END FROM p JOIN f ON f.session_id = p.session_id AND f.i = p.i + 1)
+SELECT session_id, max(i) AS sequence, first AS first_frame, max(i) AS last_frame, count(*) AS frames, CAST(max(held) AS BIGINT) AS bytes FROM p GROUP BY session_id, first"""
+#: The frames of a window: those that make 16 bytes up to the trigger, then 240 bytes more.
+GATED = f"""WITH RECURSIVE {AUDIO}, c AS (SELECT *, sum(size) OVER (PARTITION BY session_id ORDER BY i) AS upto FROM f),
+g AS (SELECT session_id, i, CAST(hit AS BIGINT) AS n, CASE WHEN hit THEN 240 ELSE 0 END AS left_, hit AS opened, FALSE AS inside FROM f WHERE i = 0
+ UNION ALL SELECT f.session_id, f.i, n + CASE WHEN left_ <= 0 AND hit THEN 1 ELSE 0 END, CASE WHEN left_ > 0 THEN left_ - size WHEN hit THEN 240 ELSE left_ END, left_ <= 0 AND hit, left_ > 0 FROM g JOIN f ON f.session_id = g.session_id AND f.i = g.i + 1),
+w AS (SELECT session_id, n AS window_no, i, size FROM g JOIN c USING (session_id, i) WHERE inside
+ UNION ALL SELECT g.session_id, g.n, b.i, b.size FROM g JOIN c ON c.session_id = g.session_id AND c.i = g.i JOIN c b ON b.session_id = g.session_id AND b.i <= g.i AND (c.upto - b.upto < 16 OR b.i = g.i) WHERE opened)
+SELECT session_id, window_no, count(*) AS frames, CAST(sum(size) AS BIGINT) AS bytes FROM w GROUP BY ALL"""
+WINDOW = {"before_ms": 2_000, "window_ms": 30_000, "bytes_per_ms": 0.008}
+
+
+@query("pooled_chunks", POOLED)
 def pooled_chunks(spark, sf_dir):
-    return st.pooled(numbered(spark, sf_dir).drop("trigger"), max_bytes=64, max_ms=90_000_000).select("session_id", "sequence", "first_frame", "last_frame", "frames", F.length("pcm").alias("bytes"))
+    return st.pooled(numbered(spark, sf_dir).drop("trigger"), max_bytes=64, max_ms=90_000_000).select("session_id", "sequence", "first_frame", "last_frame", "frames", F.length("pcm").cast("long").alias("bytes"))
 
 
-@query("gated_windows")
+@query("gated_windows", GATED)
 def gated_windows(spark, sf_dir):
-    return st.window_effects(st.gated(numbered(spark, sf_dir)))
+    return st.window_effects(st.gated(numbered(spark, sf_dir), **WINDOW))
+
+
+@query("stream_gated_windows", GATED)
+def stream_gated_windows(spark, sf_dir):
+    """The same from a stream of the frames."""
+    path = written(numbered(spark, sf_dir), "frames").written_path
+    frames = spark.readStream.schema("session_id long, sequence long, captured_at timestamp, pcm binary, trigger boolean").parquet(path)
+    out = st.drained(st.gated(frames, **WINDOW), f"gated_{uuid.uuid4().hex}")
+    return st.window_effects(out.filter("refused is null"))
+
+
+@query("pattern_triggers", f"WITH {d.ORD}, f AS (SELECT user_id AS session_id, i, repeat('ab', CAST(k % 7 + 1 AS INT)) || CASE WHEN k % 3 = 0 THEN 'c' ELSE '' END AS x FROM ord), j AS (SELECT *, coalesce(lag(x, 1) OVER w, '') AS x1, coalesce(lag(x, 2) OVER w, '') AS x2 FROM f WINDOW w AS (PARTITION BY session_id ORDER BY i)) SELECT session_id, i AS sequence, right(x2 || x1, 5) || x LIKE '%bcabca%' AS trigger FROM j")
+def pattern_triggers(spark, sf_dir):
+    """Frames in which a pattern ends that goes over three of them at most here."""
+    k = F.col("k")
+    pcm = F.encode(F.concat(F.repeat(F.lit("ab"), (k % 7 + 1).cast("int")), F.when(k % 3 == 0, "c").otherwise("")), "UTF-8")
+    f = d.ordered_events(spark, sf_dir).select(F.col("user_id").alias("session_id"), F.col("i").alias("sequence"), pcm.alias("pcm"))
+    return st.triggered(f, b"bcabca").select("session_id", "sequence", "trigger")
 
 
 @query("idle_sessions", "WITH o AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 300 MINUTE THEN 0 ELSE 1 END AS new FROM events), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM o) SELECT user_id, epoch_ms(min(ts)) AS started_ms, epoch_ms(max(ts) + INTERVAL 300 MINUTE) AS ended_ms, count(*) AS events FROM g GROUP BY user_id, n")

@@ -5,17 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from sessionloom.functions.scalars import epoch_ms
 
 #: A frame: its session, its number there, when it was taken, its bytes.
 FRAME = "session_id long, sequence long, captured_at timestamp, pcm binary"
-CHUNK = "session_id long, sequence long, captured_at timestamp, first_frame long, last_frame long, frames long, pcm binary"
 PROGRESS = "session_id long, through long, stored long, bytes long, duplicates long"
-GATED = "session_id long, window_no long, sequence long, bytes long"
 
 
 def deduplicated(frames: DataFrame, watermark: str = "10 minutes") -> DataFrame:
@@ -25,71 +25,249 @@ def deduplicated(frames: DataFrame, watermark: str = "10 minutes") -> DataFrame:
     return frames.dropDuplicates(["session_id", "sequence"])
 
 
-def pooled_rows(frames: list[tuple], state: list | None, max_bytes: int, max_ms: int, end: bool) -> tuple[list[tuple], list | None]:
-    """Frames (sequence, captured_at, pcm) added to the open pool; the chunks that are full or old, and the pool left."""
-    out = []
+class Pool:
+    """A fold of a session's frames, in order, into chunks; its state is the open chunk.
 
-    def flush(p: list) -> tuple:
-        return (p[1], p[0], p[2], p[1], p[3], p[4])  # sequence is the last frame's, captured_at the first one's
+    A chunk ends when it has ``max_bytes``, before a frame ``max_ms`` after its first, or
+    when it is closed.
+    """
 
-    for sequence, at, pcm in frames:
-        if state and (at - state[0]).total_seconds() * 1000 >= max_ms:
-            out.append(flush(state))
-            state = None
-        state = [at, sequence, sequence, 1, pcm] if state is None else [state[0], sequence, state[2], state[3] + 1, state[4] + pcm]
-        if len(state[4]) >= max_bytes:
-            out.append(flush(state))
-            state = None
-    if end and state:
-        out.append(flush(state))
-        state = None
-    return out, state
+    columns = "sequence long, captured_at timestamp, first_frame long, last_frame long, frames long, pcm binary"
+    state = "since long, first long, last long, n long, pcm binary"
+    empty = (None, None, None, None, None)
+
+    def __init__(self, max_bytes: int, max_ms: int):
+        self.max_bytes, self.max_ms = max_bytes, max_ms
+
+    def step(self, state: tuple, frame: tuple) -> tuple[list[tuple], tuple]:
+        """frame: (sequence, captured_at in microseconds, pcm, trigger)."""
+        out, (sequence, at, pcm, _) = [], frame
+        if state[0] is not None and at - state[0] >= self.max_ms * 1000:
+            out, state = self.close(state)
+        state = (at, sequence, sequence, 1, pcm) if state[0] is None else (state[0], state[1], sequence, state[3] + 1, state[4] + pcm)
+        if len(state[4]) >= self.max_bytes:
+            more, state = self.close(state)
+            out = out + more
+        return out, state
+
+    def close(self, state: tuple) -> tuple[list[tuple], tuple]:
+        if state[0] is None:
+            return [], state
+        since, first, last, n, pcm = state
+        return [(last, since, first, last, n, bytes(pcm))], self.empty
+
+    def due(self, state: tuple) -> int | None:
+        """When (ms) an open chunk is closed whatever comes."""
+        return None if state[0] is None else -(-state[0] // 1000) + self.max_ms
+
+
+class Gate:
+    """A fold of a session's frames, in order, into windows that a trigger opens.
+
+    Audio is measured in bytes.  A window takes the fewest last frames that make
+    ``before`` bytes, the triggering one included, then frames until ``window`` bytes have
+    come after that; then the gate is armed again.  The trigger is the frame's own or,
+    with ``pattern``, that these bytes end in it, over any number of frames since the
+    gate was armed.  Its state: windows so far, bytes left, the last frames, and the last
+    bytes that a match could go on from.
+    """
 
+    columns = "window_no long, sequence long, bytes long"
+    state = "n long, rest long, seqs array<bigint>, sizes array<bigint>, tail binary"
+    empty = (0, 0, [], [], b"")
 
-def pooled(frames: DataFrame, *, max_bytes: int = 262_144, max_ms: int = 10_000, watermark: str = "10 seconds") -> DataFrame:
-    """Frames of a session joined into chunks: flushed at ``max_bytes``, at a frame ``max_ms`` after the first, or at the end.
+    def __init__(self, before: int, window: int, pattern: bytes | None):
+        self.before, self.window, self.pattern = before, window, pattern
 
-    A stream keeps the open pool as state and flushes it when the watermark has passed
-    its first frame by ``max_ms``.
-    """
+    def step(self, state: tuple, frame: tuple) -> tuple[list[tuple], tuple]:
+        n, left, seqs, sizes, tail = state
+        sequence, size, hit = frame[0], len(frame[2]), frame[3]
+        seqs, sizes = [*seqs, sequence], [*sizes, size]
+        while len(seqs) > 1 and sum(sizes) - sizes[0] >= self.before:
+            seqs, sizes = seqs[1:], sizes[1:]
+        if left > 0:
+            return [(n, sequence, size)], (n, left - size, seqs, sizes, b"")
+        if self.pattern:
+            heard = bytes(tail) + frame[2]
+            hit, tail = self.pattern in heard, heard[max(0, len(heard) - len(self.pattern) + 1) :]
+        if hit:
+            return [(n + 1, *x) for x in zip(seqs, sizes, strict=True)], (n + 1, self.window, seqs, sizes, b"")
+        return [], (n, left, seqs, sizes, tail)
 
-    def rows(session: int, chunks: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(session, *c) for c in chunks], columns=["session_id", "sequence", "captured_at", "first_frame", "last_frame", "frames", "pcm"])
+    def close(self, state: tuple) -> tuple[list[tuple], tuple]:
+        return [], state
 
-    def ordered(pdf: pd.DataFrame) -> list[tuple]:
-        return list(pdf.sort_values("sequence")[["sequence", "captured_at", "pcm"]].itertuples(index=False, name=None))
+    def due(self, state: tuple) -> int | None:
+        return None
 
-    if not frames.isStreaming:
-        def batch(pdf: pd.DataFrame) -> pd.DataFrame:
-            return rows(int(pdf["session_id"].iloc[0]), pooled_rows(ordered(pdf), None, max_bytes, max_ms, True)[0])
 
-        return frames.groupBy("session_id").applyInPandas(batch, CHUNK)
+def framed(frames: DataFrame) -> DataFrame:
+    """The columns that folds read, in their order."""
+    trigger = F.col("trigger") if "trigger" in frames.columns else F.lit(False)
+    return frames.select("session_id", "sequence", "captured_at", "pcm", trigger.cast("boolean").alias("trigger"))
 
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pool = list(state.get) if state.exists else None
-        if state.hasTimedOut:
-            out, pool = pooled_rows([], pool, max_bytes, max_ms, True)
-            state.remove()
-            yield rows(key[0], out)
-            return
-        new = pd.concat(list(pdfs))
-        out, pool = pooled_rows(ordered(new), pool, max_bytes, max_ms, False)
-        if pool:
-            state.update(tuple(pool))
-            due = int(pd.Timestamp(pool[0]).timestamp() * 1000) + max_ms
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        yield rows(key[0], out)
 
-    timed = frames.withWatermark("captured_at", watermark)
-    return timed.groupBy("session_id").applyInPandasWithState(step, CHUNK, "captured_at timestamp, last long, first long, n long, pcm binary", "append", GroupStateTimeout.EventTimeTimeout)
+def folded(frames: DataFrame, fold) -> DataFrame:
+    """A fold over each session's frames in order of sequence (batch); of equal sequences the first captured counts.
 
+    A task reads its sessions' frames from a sort, one after another, and holds the
+    fold's state alone.
+    """
+    kinds = {"long": pa.int64(), "timestamp": pa.timestamp("us", "UTC"), "binary": pa.binary()}
+    names = ["session_id", *(x.split()[0] for x in fold.columns.split(", "))]
+    types = [pa.int64(), *(kinds[x.split()[1]] for x in fold.columns.split(", "))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, last, state, out, size = None, None, None, [], 0
+        batch_of = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+        for batch in batches:
+            columns = [batch.column(k).cast(pa.int64()) if k == 2 else batch.column(k) for k in range(5)]
+            for key, sequence, at, pcm, trigger in zip(*(c.to_pylist() for c in columns), strict=True):
+                if state is None or key != session:
+                    if state is not None:
+                        out += [(session, *r) for r in fold.close(state)[0]]
+                    session, last, state = key, None, fold.empty
+                if sequence == last:
+                    continue
+                last = sequence
+                rows, state = fold.step(state, (sequence, at, pcm or b"", bool(trigger)))
+                out += [(session, *r) for r in rows]
+                size += len(pcm or b"")
+                if out and size > 4 << 20:
+                    yield batch_of()
+                    out, size = [], 0
+        if state is not None:
+            out += [(session, *r) for r in fold.close(state)[0]]
+        if out:
+            yield batch_of()
+
+    ordered = framed(frames).filter("sequence is not null").repartition("session_id").sortWithinPartitions("session_id", "sequence", "captured_at")
+    return ordered.mapInArrow(run, f"session_id long, {fold.columns}")
+
+
+class InOrder(StatefulProcessor):
+    """A fold over each session's frames in order of sequence, whichever micro-batch brings them.
+
+    A frame is folded at once when all before it have been (from sequence 0 on);
+    others wait in a list until the gap fills or event time, ``grace_ms`` ahead of the
+    watermark, has passed their capture.  A frame at or below what has been folded is
+    refused: ``late`` if its gap was given up, else ``duplicate``.  Timers close what is
+    due, and drop all state of a session whose last frame is ``idle_ms`` old.
+    """
 
-def progress(frames: DataFrame) -> DataFrame:
+    def __init__(self, fold, grace_ms: int, idle_ms: int):
+        self.fold, self.grace_ms, self.idle_ms = fold, grace_ms, idle_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "sequence long, at long, pcm binary, trigger boolean")
+        self.gaps = handle.getListState("gaps", "first long, last long")
+        self.at = handle.getValueState("at", f"through long, seen long, {self.fold.state}")
+
+    def load(self) -> tuple[int, int, tuple, list, list]:
+        held = self.at.get() if self.at.exists() else None
+        waiting = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
+        gaps = [tuple(r) for r in self.gaps.get()] if self.gaps.exists() else []
+        return (-1, 0, self.fold.empty, waiting, gaps) if held is None else (held[0], held[1], tuple(held[2:]), waiting, gaps)
+
+    def advance(self, key: tuple, new: list[tuple], now_ms: int) -> Iterator[pd.DataFrame]:
+        """Fold what is in order or given up, close what is due, and keep the rest; ``now_ms``: the watermark."""
+        through, seen, state, waiting, gaps = self.load()
+        out, refused, there = [], [], {w[0] for w in waiting}
+        for frame in sorted(new):
+            seen = max(seen, frame[1] // 1000)
+            if frame[0] <= through:
+                refused.append((frame[0], frame[1], "late" if any(a <= frame[0] <= b for a, b in gaps) else "duplicate"))
+            elif frame[0] in there:
+                refused.append((frame[0], frame[1], "duplicate"))
+            else:
+                there.add(frame[0])
+                waiting.append(frame)
+        waiting.sort()
+        passed = (now_ms + self.grace_ms) * 1000
+        given_up = max((k for k, w in enumerate(waiting) if w[1] <= passed), default=-1)
+        k = 0
+        while k < len(waiting) and (waiting[k][0] == through + 1 or k <= given_up):
+            if waiting[k][0] > through + 1:
+                gaps.append((through + 1, waiting[k][0] - 1))
+            rows, state = self.fold.step(state, waiting[k])
+            out += rows
+            through = waiting[k][0]
+            k += 1
+        waiting = waiting[k:]
+        due = self.fold.due(state)
+        if due is not None and due <= now_ms + self.grace_ms:
+            rows, state = self.fold.close(state)
+            out, due = out + rows, None
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if not waiting and due is None and now_ms >= seen + self.idle_ms:
+            for x in (self.at, self.waiting, self.gaps):
+                x.clear()
+        else:
+            self.at.update((through, seen, *state))
+            self.waiting.put(waiting) if waiting else self.waiting.clear()
+            self.gaps.put(gaps[-1000:]) if gaps else self.gaps.clear()
+            at = [seen + self.idle_ms, *([due - self.grace_ms] if due is not None else []), *(w[1] // 1000 + 1 - self.grace_ms for w in waiting)]
+            self.handle.registerTimer(max(min(at), now_ms + 1))
+        yield self.frame(key, out, refused)
+
+    def frame(self, key: tuple, out: list[tuple], refused: list[tuple]) -> pd.DataFrame:
+        """Rows of the fold, and of refused frames, as the columns of the output."""
+        kinds = {x.split()[0]: x.split()[1] for x in self.fold.columns.split(", ")}
+        rows = [dict(zip(kinds, r, strict=True)) for r in out] + [{"sequence": q, "captured_at": at, "refused": why} for q, at, why in refused]
+        kinds.setdefault("captured_at", "timestamp")
+        pdf = pd.DataFrame({"session_id": pd.Series([key[0]] * len(rows), dtype="int64")})
+        for name, kind in (kinds | {"refused": "string"}).items():
+            values = [r.get(name) for r in rows]
+            if kind == "timestamp":
+                pdf[name] = pd.to_datetime(pd.Series(values, dtype="Int64"), unit="us")
+            else:
+                pdf[name] = pd.Series(values, dtype="Int64" if kind == "long" else object)
+        return pdf
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = []
+        for pdf in rows:
+            at = pdf["captured_at"].astype("datetime64[us]").astype("int64")
+            new += [(int(q), int(t), bytes(p) if p is not None else b"", bool(g)) for q, t, p, g in zip(pdf["sequence"], at, pdf["pcm"], pdf["trigger"], strict=True)]
+        yield from self.advance(key, new, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield from self.advance(key, [], timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+
+def in_order(frames: DataFrame, fold, *, watermark_ms: int, grace_ms: int, idle_ms: int) -> DataFrame:
+    """The fold's rows of a stream of frames, and a row with ``refused`` for each frame that came too late or twice.
+
+    Frames captured up to ``watermark_ms`` before the latest are waited for; those up to
+    ``grace_ms`` older still come out as refused, Spark drops what is older.  The state
+    store must be RocksDB's; it is set for the session.
+    """
+    frames.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    more = "" if "captured_at" in fold.columns else "captured_at timestamp, "
+    timed = framed(frames).filter("sequence is not null and captured_at is not null").withWatermark("captured_at", f"{watermark_ms + grace_ms} milliseconds")
+    return timed.groupBy("session_id").transformWithStateInPandas(InOrder(fold, grace_ms, idle_ms), f"session_id long, {fold.columns}, {more}refused string", "append", "eventTime")
+
+
+def pooled(frames: DataFrame, *, max_bytes: int = 262_144, max_ms: int = 10_000, watermark_ms: int = 10_000, grace_ms: int = 60_000, idle_ms: int = 600_000) -> DataFrame:
+    """Frames of a session joined in order into chunks: flushed at ``max_bytes``, before a frame ``max_ms`` after the first, or at the end.
+
+    A stream gives the same chunks however its frames lie in micro-batches, the open one
+    once event time is ``max_ms`` past its first frame, and refused frames (see ``in_order``).
+    """
+    fold = Pool(max_bytes, max_ms)
+    return in_order(frames, fold, watermark_ms=watermark_ms, grace_ms=grace_ms, idle_ms=idle_ms) if frames.isStreaming else folded(frames, fold)
+
+
+def progress(frames: DataFrame, *, watermark_ms: int = 86_400_000, idle_ms: int = 86_400_000) -> DataFrame:
     """Per session: the last sequence with no gap before it (from 0; -1 if 0 is missing), frames stored, bytes, duplicates.
 
-    A stream holds the sequences beyond the gap and gives a row per session and batch.
+    A stream holds the sequences beyond the gap and gives a row per session and batch;
+    ``idle_ms`` of event time after a session's last frame its state goes.
     """
     if not frames.isStreaming:
         n = frames.groupBy("session_id", "sequence").agg(F.count("*").alias("k"), F.first(F.length("pcm")).alias("b"))
@@ -97,9 +275,13 @@ def progress(frames: DataFrame) -> DataFrame:
         return n.groupBy("session_id").agg(F.coalesce(F.max(F.when(F.col("sequence") == F.col("i"), F.col("sequence"))), F.lit(-1)).cast("long").alias("through"), F.count("*").alias("stored"), F.sum("b").cast("long").alias("bytes"), (F.sum("k") - F.count("*")).alias("duplicates"))
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        through, stored, size, duplicates, beyond = state.get if state.exists else (-1, 0, 0, 0, [])
+        if state.hasTimedOut:
+            state.remove()
+            return
+        through, stored, size, duplicates, beyond, seen = state.get if state.exists else (-1, 0, 0, 0, [], 0)
         beyond = set(beyond)
         for pdf in pdfs:
+            seen = max(seen, int(pd.Timestamp(pdf["captured_at"].max()).timestamp() * 1000))
             for sequence, pcm in pdf.sort_values("sequence")[["sequence", "pcm"]].itertuples(index=False, name=None):
                 if sequence <= through or sequence in beyond:
                     duplicates += 1
@@ -109,50 +291,23 @@ def progress(frames: DataFrame) -> DataFrame:
                 while through + 1 in beyond:
                     through += 1
                     beyond.discard(through)
-        state.update((through, stored, size, duplicates, sorted(beyond)))
+        state.update((through, stored, size, duplicates, sorted(beyond), seen))
+        state.setTimeoutTimestamp(max(seen + idle_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame([(key[0], through, stored, size, duplicates)], columns=["session_id", "through", "stored", "bytes", "duplicates"])
 
-    return frames.groupBy("session_id").applyInPandasWithState(step, PROGRESS, "through long, stored long, bytes long, duplicates long, beyond array<long>", "update", GroupStateTimeout.NoTimeout)
+    timed = frames.withWatermark("captured_at", f"{watermark_ms} milliseconds")
+    return timed.groupBy("session_id").applyInPandasWithState(step, PROGRESS, "through long, stored long, bytes long, duplicates long, beyond array<long>, seen long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def gate_rows(frames: list[tuple], state: tuple, before_ms: int, window_ms: int, frame_ms: int) -> tuple[list[tuple], tuple]:
-    """(window number, sequence, bytes) of frames in windows; state: windows so far, ms left in the open one, the last frames."""
-    n, left, ring = state[0], state[1], list(state[2])
-    out = []
-    for sequence, size, trigger in frames:
-        ring = [*ring, (sequence, size)][-max(1, before_ms // frame_ms) :]
-        if left > 0:
-            out.append((n, sequence, size))
-            left -= frame_ms
-        elif trigger:
-            n += 1
-            out += [(n, *f) for f in ring]  # the moments before, with the triggering frame
-            left = window_ms - frame_ms * len(ring)
-    return out, (n, left, ring)
-
+def gated(frames: DataFrame, *, before_ms: int = 2_000, window_ms: int = 30_000, bytes_per_ms: float = 32, pattern: bytes | None = None, watermark_ms: int = 10_000, grace_ms: int = 60_000, idle_ms: int = 600_000) -> DataFrame:
+    """Frames in windows that a trigger opens: the ``before_ms`` up to it, then on until ``window_ms`` more of audio; then armed again (see ``Gate``).
 
-def gated(frames: DataFrame, *, before_ms: int = 2_000, window_ms: int = 30_000, frame_ms: int = 1_000) -> DataFrame:
-    """Frames in windows that a trigger opens: the ``before_ms`` up to it, then on until ``window_ms`` of audio; then armed again.
-
-    frames: session_id, sequence, pcm, trigger (boolean: what a detector says of the frame).
+    frames: session_id, sequence, captured_at, pcm, trigger (boolean: what a detector says
+    of the frame; not needed with ``pattern``).  A stream gives the same windows however
+    its frames lie in micro-batches, and refused frames (see ``in_order``).
     """
-
-    def named(session: int, out: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(session, *r) for r in out], columns=["session_id", "window_no", "sequence", "bytes"])
-
-    def read(pdf: pd.DataFrame) -> list[tuple]:
-        return [(int(s), len(p), bool(t)) for s, p, t in pdf.sort_values("sequence")[["sequence", "pcm", "trigger"]].itertuples(index=False, name=None)]
-
-    if not frames.isStreaming:
-        return frames.groupBy("session_id").applyInPandas(lambda pdf: named(int(pdf["session_id"].iloc[0]), gate_rows(read(pdf), (0, 0, []), before_ms, window_ms, frame_ms)[0]), GATED)
-
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, left, seqs, sizes = state.get if state.exists else (0, 0, [], [])
-        out, (n, left, ring) = gate_rows(read(pd.concat(list(pdfs))), (n, left, list(zip(seqs, sizes, strict=True))), before_ms, window_ms, frame_ms)
-        state.update((n, left, [r[0] for r in ring], [r[1] for r in ring]))
-        yield named(key[0], out)
-
-    return frames.groupBy("session_id").applyInPandasWithState(step, GATED, "n long, rest long, seqs array<long>, sizes array<long>", "append", GroupStateTimeout.NoTimeout)
+    fold = Gate(round(before_ms * bytes_per_ms), round(window_ms * bytes_per_ms), pattern)
+    return in_order(frames, fold, watermark_ms=watermark_ms, grace_ms=grace_ms, idle_ms=idle_ms) if frames.isStreaming else folded(frames, fold)
 
 
 def window_effects(gated_frames: DataFrame) -> DataFrame:
@@ -161,13 +316,22 @@ def window_effects(gated_frames: DataFrame) -> DataFrame:
 
 
 def triggered(frames: DataFrame, pattern: bytes) -> DataFrame:
-    """Adds ``trigger``: the pattern ends in this frame, begun here or in the frame before (batch)."""
-    w = Window.partitionBy("session_id").orderBy("sequence")
-    tail = F.coalesce(F.lag("pcm").over(w), F.lit(b""))
-    keep = max(len(pattern) - 1, 0)
-    carried = F.expr(f"substring(_tail, greatest(length(_tail) - {keep} + 1, 1), {keep})") if keep else F.lit(b"")
-    joined = frames.withColumn("_tail", tail).withColumn("_all", F.concat(carried, "pcm"))
-    return joined.withColumn("trigger", F.col("_all").contains(F.lit(pattern))).drop("_tail", "_all")
+    """Adds ``trigger``: the pattern ends in this frame, begun in it or in any frame before (batch).
+
+    A match can go back over as many frames that aren't empty as the pattern has bytes,
+    of each no more bytes than that: a window of so many short tails.
+    """
+    keep = len(pattern) - 1
+    if keep < 0:
+        raise ValueError("the pattern is empty")
+    some = F.length(F.coalesce("pcm", F.lit(b""))) > 0
+    w = Window.partitionBy("session_id", "_some").orderBy("sequence").rowsBetween(-keep, -1)
+    t = frames.withColumn("_some", some).withColumn("_end", F.expr(f"substring(pcm, greatest(length(pcm) - {keep} + 1, 1), {keep})"))
+    # binary pieces joined as hexadecimal text, two digits a byte
+    before = F.array_join(F.transform(F.collect_list("_end").over(w), lambda x: F.hex(x)), "") if keep else F.lit("")
+    t = t.withColumn("_all", F.concat(F.substring(before, -2 * keep, 2 * keep) if keep else F.lit(""), F.hex("pcm")))
+    found = F.unhex("_all").contains(F.lit(pattern))
+    return t.withColumn("trigger", F.coalesce(F.col("_some") & found, F.lit(False))).drop("_some", "_end", "_all")
 
 
 def idle_sessions(activity: DataFrame, *, idle: str = "300 seconds", watermark: str = "10 minutes") -> DataFrame:
