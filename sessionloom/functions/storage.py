@@ -42,3 +42,14 @@ def discard(*tables: DataFrame) -> None:
         jvm = t.sparkSession.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(t.written_path)
         path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def committed(spark: SparkSession, root: str, key: str) -> list[int]:
+    """The numbers of the folders ``key=number`` in ``root`` that Spark has written whole, in order."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    there = [p.getPath() for p in fs.listStatus(at) if p.getPath().getName().startswith(f"{key}=")]
+    return sorted(int(p.getName().split("=")[1]) for p in there if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))

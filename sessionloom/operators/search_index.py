@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.functions.english import ANALYSERS, STOP_WORDS, words
+from sessionloom.functions.storage import committed
 
 
 def document_postings(docs: DataFrame, id_col: str, text_col: str, analyser: str) -> DataFrame:
@@ -32,16 +33,9 @@ def bucket_of(stem, buckets: int):
     return F.pmod(F.xxhash64(stem), F.lit(buckets)).cast("int")
 
 
-def generations(spark: SparkSession, path: str) -> int:
-    """The last generation written whole, -1 if there is no index: a generation's documents are written after its postings."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(f"{path}/documents")
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return -1
-    there = [p.getPath() for p in fs.listStatus(root) if p.getPath().getName().startswith("generation=")]
-    done = [int(p.getName().split("=")[1]) for p in there if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return max(done, default=-1)
+def generations(spark: SparkSession, path: str) -> list[int]:
+    """The generations written whole: one's documents are written after its postings."""
+    return committed(spark, f"{path}/documents", "generation")
 
 
 def index_documents(docs: DataFrame, path: str, *, id_col: str = "id", text_col: str = "text", analyser: str = "porter2", buckets: int = 64, removed: DataFrame | None = None) -> int:
@@ -54,7 +48,7 @@ def index_documents(docs: DataFrame, path: str, *, id_col: str = "id", text_col:
     texts that are null or without words are documents without postings.
     """
     spark = docs.sparkSession
-    gen = generations(spark, path) + 1
+    gen = max(generations(spark, path), default=-1) + 1
     p = document_postings(docs, id_col, text_col, analyser).withColumn("bucket", bucket_of(F.col("stem"), buckets))
     p.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "stem", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/generation={gen}")
     listed = docs.select(F.col(id_col).alias("id"), F.size(words(F.coalesce(F.col(text_col), F.lit("")))).alias("n_words"))
@@ -66,8 +60,7 @@ def index_documents(docs: DataFrame, path: str, *, id_col: str = "id", text_col:
 
 def indexed_documents(spark: SparkSession, path: str) -> DataFrame:
     """(id, n_words, generation) of the documents that are there, each with its last generation."""
-    last = generations(spark, path)
-    d = spark.read.option("basePath", f"{path}/documents").parquet(*[f"{path}/documents/generation={g}" for g in range(last + 1)])
+    d = spark.read.option("basePath", f"{path}/documents").parquet(*[f"{path}/documents/generation={g}" for g in generations(spark, path)])
     newest = d.groupBy("id").agg(F.max(F.struct("generation", "n_words")).alias("m"))
     return newest.select("id", "m.n_words", "m.generation").filter("n_words is not null")
 
@@ -78,10 +71,9 @@ def looked_up(spark: SparkSession, path: str, terms: DataFrame, *, buckets: int
     The buckets of those stems, ``buckets`` numbers at most, become a filter on
     partitions: no other bucket is opened.
     """
-    last = generations(spark, path)
     wanted = terms.select("stem").distinct()
     own = [r[0] for r in wanted.select(bucket_of(F.col("stem"), buckets).alias("b")).distinct().collect()]
-    p = spark.read.option("basePath", f"{path}/postings").parquet(*[f"{path}/postings/generation={g}" for g in range(last + 1)])
+    p = spark.read.option("basePath", f"{path}/postings").parquet(*[f"{path}/postings/generation={g}" for g in generations(spark, path)])
     p = p.filter(F.col("bucket").isin(own)).join(wanted, "stem", "left_semi")
     live = p.join(indexed_documents(spark, path).select("id", "generation"), ["id", "generation"], "left_semi")
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sessionloom.functions.storage import committed, written
+
 
 def pending(upstream: DataFrame, done: DataFrame, key: list[str], order: list[str], limit: int | None = None) -> DataFrame:
-    """Upstream rows with no row in ``done``, oldest first."""
-    out = upstream.join(done.select(*key).distinct(), key, "left_anti").orderBy(*order)
-    return out if limit is None else out.limit(limit)
+    """Upstream rows with no row in ``done``; with a limit the oldest by ``order``, else all, in no order."""
+    out = upstream.join(done.select(*key), key, "left_anti")
+    return out if limit is None else out.orderBy(*order).limit(limit)
 
 
 def latest(df: DataFrame, key: list[str], order: list[Column | str]) -> DataFrame:
@@ -47,17 +51,61 @@ def patched(df: DataFrame, column: str, patch: dict[str, Column], drop: list[str
     return df.withColumn(column, F.map_concat(keep, F.create_map(*[x for k, v in patch.items() for x in (F.lit(k), v)])))
 
 
-def publish(df: DataFrame, path: str, marker: DataFrame | None = None, *, partition: tuple[str, ...] = ("pipeline", "session_id")) -> None:
-    """Overwrite just the partitions that ``df`` has; the marker rows follow, so readers that join on them see whole output only."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(f"{path}/rows")
-    if marker is not None:
-        marker.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(f"{path}/markers")
+def publish(df: DataFrame, path: str, *, key: tuple[str, ...] = ("pipeline", "session_id"), whole: DataFrame | None = None, downstream: DataFrame | None = None, version: int | None = None) -> int:
+    """Publish all rows of the keys in ``df`` in place of what they had; returns the version.
+
+    The rows go into a folder of this version, then one table of marks: the keys
+    published, those in ``whole`` whose output is now empty, and, as withdrawn, the keys
+    in ``downstream``: what was made from the old rows, which discovery then finds
+    pending.  Readers go by the marks, so they see the old output whole until the marks
+    are there, and old and withdrawn output go in one step.  A write that ends between
+    the two leaves nothing to see.  One writer at a time; a version already whole is
+    left as it is, so that a repeated step does nothing.
+    """
+    spark = df.sparkSession
+    if "publication" in df.columns:
+        raise ValueError("publication is the name of a column of the folders")
+    there = committed(spark, f"{path}/marks", "publication")
+    version = max(there, default=-1) + 1 if version is None else version
+    if version in there:
+        return version
+    df.write.mode("overwrite").partitionBy(key[0]).parquet(f"{path}/rows/publication={version}")
+    rows = spark.read.schema(df.schema).parquet(f"{path}/rows/publication={version}")
+    marks = rows.select(*key) if whole is None else rows.select(*key).unionByName(whole.select(*key))
+    marks = marks.distinct().withColumn("live", F.lit(True))
+    if downstream is not None:
+        gone = downstream.select(*key).distinct().join(marks.select(*key), list(key), "left_anti")
+        marks = marks.unionByName(gone.withColumn("live", F.lit(False)))
+    marks.write.mode("overwrite").parquet(f"{path}/marks/publication={version}")
+    return version
+
+
+def marked(spark: SparkSession, path: str, *, key: tuple[str, ...] = ("pipeline", "session_id")) -> DataFrame:
+    """(key, publication: the version) of what is published: each key's last mark, unless that withdraws it."""
+    marks = spark.read.option("basePath", f"{path}/marks").parquet(*[f"{path}/marks/publication={v}" for v in committed(spark, f"{path}/marks", "publication")])
+    last = marks.groupBy(*key).agg(F.max(F.struct("publication", "live")).alias("m"))
+    return last.filter("m.live").select(*key, "m.publication")
+
+
+def published(spark: SparkSession, path: str, *, key: tuple[str, ...] = ("pipeline", "session_id")) -> DataFrame:
+    """The rows of each published key's last version."""
+    rows = spark.read.option("basePath", f"{path}/rows").parquet(*[f"{path}/rows/publication={v}" for v in committed(spark, f"{path}/marks", "publication")])
+    return rows.join(marked(spark, path, key=key), [*key, "publication"], "left_semi").drop("publication")
+
 
+def tier_stream(source: DataFrame, path: str, checkpoint: str, process: Callable[[DataFrame], DataFrame], *, key: tuple[str, ...], order: str, downstream: Callable[[DataFrame], DataFrame] | None = None):
+    """Run a tier over what is new in a stream of its upstream rows, and stop; returns the query.
 
-def published(spark, path: str, *, partition: tuple[str, ...] = ("pipeline", "session_id")) -> DataFrame:
-    """Rows whose partition has its marker."""
-    marks = spark.read.parquet(f"{path}/markers").select(*partition).distinct()
-    return spark.read.parquet(f"{path}/rows").join(marks, list(partition), "left_semi")
+    Of each batch every key's last row by ``order`` is processed and published under
+    the batch's number.  The checkpoint says what has been read; a batch that failed
+    halfway is done again under its number, one already published is not.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        rows = latest(batch, list(key), [order])
+        publish(process(rows), path, key=key, whole=rows, downstream=None if downstream is None else downstream(rows), version=number)
+
+    return source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def page(df: DataFrame, order: list[Column | str], limit: int, offset: int = 0) -> DataFrame:
@@ -75,3 +123,24 @@ def newly_ready(upstream: DataFrame, done: DataFrame, key: list[str], version: s
     """Upstream rows never processed, or changed since: their version is later than the one that was."""
     last = done.groupBy(*key).agg(F.max(version).alias("_done"))
     return upstream.join(last, key, "left").filter(F.col("_done").isNull() | (F.col(version) > F.col("_done"))).drop("_done")
+
+
+def numbered(df: DataFrame, order: list[Column | str], name: str = "number") -> DataFrame:
+    """``df`` with the place of each row in the whole order, from 0 on.
+
+    Rows are sorted over all partitions, each partition's rows counted, and a row's
+    place is the count of all before its partition and its own place in it: no
+    partition holds more than its share.  Rows equal in ``order`` are in any order.
+    """
+    placed = written(df.sort(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    first = F.min("_at")
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), first.alias("_first"))  # a row a partition
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + F.col("_at") - F.col("_first")).drop("_part", "_at", "_first", "_before")
+
+
+def strided(df: DataFrame, order: list[Column | str], limit: int) -> DataFrame:
+    """Every ceil(n / limit)-th row of the whole order, from the first on: ``limit`` rows at most."""
+    step = max(1, -(-df.count() // limit))
+    return numbered(df, order, "_number").filter(F.col("_number") % step == 0).drop("_number")

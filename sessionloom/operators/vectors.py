@@ -27,49 +27,43 @@ def matrix(column: pa.Array, normed: bool = True) -> np.ndarray:
 def nearest(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str, vector_col: str, group: str | None = None, block_rows: int = 4_096) -> DataFrame:
     """(query_id, id, distance, rank): the ``k`` nearest of the whole corpus by cosine distance, ties by id.
 
-    Exact.  Queries go out in blocks of ``block_rows``; each partition multiplies and
-    keeps its own best ``k`` a query, and a window picks the best of those.  With
-    ``group`` (say, the model) only rows of the query's group count.  Rows without a
-    finite vector take no part.
+    Exact.  Rows and queries are dealt into blocks of about ``block_rows`` by a hash of
+    their id; each block of queries meets each block of rows in one task, which
+    multiplies them and keeps the best ``k`` of each query, and the best of those
+    count.  The corpus is read once, however many queries there are, and nothing
+    passes the driver.  With ``group`` (say, the model) only rows of the query's group
+    count.  Rows without a finite vector take no part.
     """
-    spark = corpus.sparkSession
-    g = F.col(group) if group else F.lit("")
-    rows = corpus.filter(is_finite_vector(F.col(vector_col))).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), g.cast("string").alias("g"))
-    asked = queries.filter(is_finite_vector(F.col(vector_col))).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), g.cast("string").alias("g"))
+    g = (F.col(group) if group else F.lit("")).cast("string").alias("g")
+    side = lambda df: df.filter(is_finite_vector(F.col(vector_col))).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), g)
+    rows, asked = side(corpus), side(queries)
+    blocks = lambda df, name: df.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
+    sizes = blocks(rows, "n_rows").join(blocks(asked, "n_asked"), "g")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    r = rows.join(sizes, "g").select("g", "id", "v", F.lit(False).alias("asks"), own("n_rows").alias("rb"), every("n_asked").alias("qb"))
+    q = asked.join(sizes, "g").select("g", "id", "v", F.lit(True).alias("asks"), every("n_rows").alias("rb"), own("n_asked").alias("qb"))
     kind = corpus.schema[id_col].dataType.simpleString()
-    schema = f"query_id {kind}, id {kind}, distance double"
-    out, block = spark.createDataFrame([], schema), []
-
-    def search(block: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast(([r["id"] for r in block], np.array([r["v"] for r in block], np.float64), np.array([r["g"] for r in block])))
-
-        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q, groups = shared.value
-            q = q / np.where(np.linalg.norm(q, axis=1, keepdims=True) > 0, np.linalg.norm(q, axis=1, keepdims=True), 1.0)
-            held: list[list] = [[] for _ in ids]
-            for batch in batches:
-                own, name = batch.column(0).to_pylist(), np.array(batch.column(2).to_pylist())
-                d = 1 - q @ matrix(batch.column(1)).T
-                for i in range(len(ids)):
-                    there = np.flatnonzero(name == groups[i])
-                    near = there[np.argpartition(d[i, there], k)[: k + 1]] if len(there) > k else there
-                    cut = d[i, near].max() if len(near) else 0
-                    near = there[d[i, there] <= cut]
-                    held[i] = sorted(held[i] + [(d[i, j], own[j]) for j in near.tolist()])[:k]
-            rows = [(ids[i], x, float(v)) for i, h in enumerate(held) for v, x in h]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["query_id", "id", "distance"])
-
-        return rows.mapInArrow(best, schema)
-
-    for r in asked.toLocalIterator():
-        block.append(r)
-        if len(block) == block_rows:
-            out, block = out.union(search(block)), []
-    if block:
-        out = out.union(search(block))
+
+    def best(t: pa.Table) -> pa.Table:
+        asks = np.asarray(t.column("asks"))
+        ids, x = t.column("id"), matrix(t.column("v").combine_chunks())
+        one, two = np.flatnonzero(asks), np.flatnonzero(~asks)
+        names = np.array(ids.to_pylist(), object)
+        out: list[tuple] = []
+        for at in range(0, len(one) if len(two) else 0, 512):
+            part = one[at : at + 512]
+            d = 1 - x[part] @ x[two].T
+            cut = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if len(two) > k else np.full((len(part), 1), np.inf)
+            for i, p in enumerate(part.tolist()):
+                near = np.flatnonzero(d[i] <= cut[i])
+                out += [(p, two[j], dist) for dist, _, j in sorted((float(d[i, j]), names[two[j]], j) for j in near.tolist())[:k]]
+        take = lambda n: ids.take(pa.array([o[n] for o in out], pa.int64()))
+        return pa.table({"query_id": take(0), "id": take(1), "distance": pa.array([o[2] for o in out], pa.float64())})
+
+    found = r.unionByName(q).groupBy("g", "rb", "qb").applyInArrow(best, f"query_id {kind}, id {kind}, distance double")
     w = Window.partitionBy("query_id").orderBy("distance", "id")
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def centroids(members: DataFrame, key: list[str], vector_col: str, *, unit_members: bool = False, weight: str | None = None) -> DataFrame:
@@ -127,15 +121,15 @@ def fit_projection(df: DataFrame, vector_col: str, n: int = 3) -> Basis:
 
     good = df.filter(is_finite_vector(F.col(vector_col))).select(vector_col)
     parts = good.mapInArrow(gram, "n long, total array<double>, outer array<double>")
-    sums = lambda c: parts.select(F.posexplode(c).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()
-    count = parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    if not count:
+    each = parts.select(F.posexplode(F.concat(F.array(F.col("n").cast("double")), "total", "outer")).alias("i", "x"))
+    sums = np.array([r["x"] for r in each.groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()])
+    if not len(sums):
         return Basis(np.zeros(0), np.zeros((n, 0)), np.zeros(n))
-    mean = np.array([r["x"] for r in sums("total")]) / count
-    d = len(mean)
+    count, d = int(sums[0]), int(np.sqrt(len(sums)))  # 1 + d + d * d numbers
+    mean = sums[1 : d + 1] / count
     components, ratio = np.zeros((n, d)), np.zeros(n)
     if count > 1:
-        outer = np.array([r["x"] for r in sums("outer")]).reshape(d, d)
+        outer = sums[d + 1 :].reshape(d, d)
         cov = (outer - count * np.outer(mean, mean)) / (count - 1)
         values, vectors = np.linalg.eigh(cov)
         k = min(n, d, count - 1)

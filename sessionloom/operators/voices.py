@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionloom.operators.clustering import merged_speakers
+from sessionloom.operators.clustering import clustered, merged_speakers
 from sessionloom.operators.vectors import centroids
 
 
@@ -39,20 +39,41 @@ def rebuild_counts(prints: DataFrame, keys: list[str], *, min_talk_ms: int) -> D
     return prints.groupBy(*keys).agg(F.countDistinct(F.when(in_, F.coalesce("pin", "cluster"))).alias("clusters"), n(in_ & F.col("pin").isNull()).alias("assigned"), n(~in_).alias("skipped"), n(F.col("pin").isNotNull()).alias("pinned"))
 
 
-def merged_clusters(edges: DataFrame, members: DataFrame, speakers: DataFrame, vector_col: str) -> tuple[DataFrame, DataFrame]:
+def merged_clusters(edges: DataFrame, members: DataFrame, speakers: DataFrame, vector_col: str, *, same: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(members with their survivor and pinned to it where it changed, survivors with name and new centroid).
 
-    A survivor keeps its own name; without one it takes that of the least merged speaker that has one.
+    The survivor is the target named last along a chain; merges between speakers that
+    differ in ``same`` (say, the model) don't count.  A survivor keeps its own name; without one it takes that of the least merged speaker that has one.
     """
-    moved = merged_speakers(edges, members.select("id", "speaker_id")).withColumnRenamed("speaker_id", "survivor")
+    moved = merged_speakers(edges, members.select("id", "speaker_id"), speakers, same=same).withColumnRenamed("speaker_id", "survivor")
     touched = edges.select(F.col("from_id").alias("speaker_id")).union(edges.select("to_id")).distinct().withColumn("pinned", F.lit(True))
     out = members.join(moved, "id").join(touched, "speaker_id", "left").withColumn("pinned", F.coalesce("pinned", F.lit(False)))
-    root = merged_speakers(edges, speakers.select(F.col("speaker_id").alias("id"), "speaker_id")).withColumnRenamed("speaker_id", "survivor")
+    root = merged_speakers(edges, speakers.select(F.col("speaker_id").alias("id"), "speaker_id"), speakers, same=same).withColumnRenamed("speaker_id", "survivor")
     named = speakers.join(root, speakers["speaker_id"] == root["id"]).filter("name is not null").groupBy("survivor").agg(F.min_by("name", F.struct((F.col("speaker_id") != F.col("survivor")).alias("other"), "speaker_id")).alias("name"))
     survivors = root.select("survivor").distinct().join(named, "survivor", "left").join(centroids(out, ["survivor"], vector_col), "survivor", "left")
     return out, survivors
 
 
+def rebuilt(prints: DataFrame, keys: list[str], parameters: DataFrame, *, id_col: str = "id", vector_col: str = "embedding", pin_col: str = "pin") -> tuple[DataFrame, DataFrame]:
+    """(keys, id, cluster of every print used; keys, clusters, assigned, skipped, pinned): speakers made anew.
+
+    prints: keys, id, talk_ms, pin, vector.  ``parameters`` has a row for each key: its
+    min_talk_ms and threshold, after all layers; a print with less talk is skipped
+    unless it is pinned or its talk isn't known.  Keys with one threshold are clustered
+    together, so there is a pass for each value of it.
+    """
+    p = prints.join(parameters.select(*keys, "min_talk_ms", "threshold"), keys).withColumnRenamed(id_col, "id").withColumnRenamed(pin_col, "pin")
+    used = F.col("pin").isNotNull() | F.col("talk_ms").isNull() | (F.col("talk_ms") >= F.col("min_talk_ms"))
+    found = None
+    for (threshold,) in parameters.select("threshold").distinct().orderBy("threshold").collect():
+        part = clustered(p.filter(used & (F.col("threshold") == threshold)), keys, vector_col=vector_col, pin_col="pin", threshold=threshold)
+        found = part if found is None else found.unionByName(part)
+    n = lambda c: F.count(F.when(c, 1))
+    is_in, pinned = F.col("cluster").isNotNull(), F.col("pin").isNotNull()
+    counts = p.join(found, [*keys, "id"], "left").groupBy(*keys).agg(F.countDistinct("cluster").alias("clusters"), n(is_in & ~pinned).alias("assigned"), n(~is_in).alias("skipped"), n(pinned).alias("pinned"))
+    return found, counts
+
+
 def projection_view(coordinates: DataFrame, shown: Column, key: list[str]) -> tuple[DataFrame, DataFrame]:
     """(points, markers) of a projection fitted on all prints: filtered only afterwards; a marker is the mean of its points."""
     points = coordinates.filter(shown)

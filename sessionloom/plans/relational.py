@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions.scalars import epoch_ms, md5_order
+from sessionloom.functions.storage import shared_dir
 from sessionloom.operators import location as loc
 from sessionloom.operators import tables as tb
 from sessionloom.plans import derived as d
@@ -142,6 +145,39 @@ def republished_sessions(spark, sf_dir):
     return tb.republished(s.drop("status"), new, ["session_id"])
 
 
+@query("published_sessions", f"WITH {SEG}, new AS (SELECT session_id, sequence, resource, bytes * 2 AS bytes FROM seg WHERE status = 'O' AND sequence <= 2) SELECT session_id, sequence, resource, bytes FROM seg WHERE session_id NOT IN (SELECT session_id FROM new) AND session_id % 5 <> 0 UNION ALL SELECT session_id, sequence, resource, bytes FROM new")
+def published_sessions(spark, sf_dir):
+    """What readers see after two publications, the second in place of some sessions' rows and withdrawing others."""
+    path = f"{shared_dir(spark)}/published-{uuid.uuid4().hex}"
+    s = segments(spark, sf_dir).select(F.lit("segments").alias("pipeline"), "session_id", "sequence", "resource", "bytes", "status")
+    new = s.filter("status = 'O' and sequence <= 2").withColumn("bytes", F.col("bytes") * 2).drop("status")
+    tb.publish(s.drop("status"), path)
+    tb.publish(new, path, downstream=s.filter("session_id % 5 = 0"))
+    return tb.published(spark, path).drop("pipeline")
+
+
+@query("streamed_tier", "SELECT o_orderkey AS session_id, o_custkey AS user_id, o_totalprice > 100000 AS large FROM orders")
+def streamed_tier(spark, sf_dir):
+    """A tier over a stream of its upstream rows, published; a second run finds nothing new."""
+    path = f"{shared_dir(spark)}/tier-{uuid.uuid4().hex}"
+    schema = T(spark, sf_dir, "orders").schema
+
+    def process(rows):
+        return rows.select("pipeline", "session_id", "user_id", (F.col("price") > 100_000).alias("large"))
+
+    for _ in range(2):
+        orders = spark.readStream.schema(schema).option("pathGlobFilter", "orders*.parquet").parquet(sf_dir)
+        rows = orders.select(F.lit("price").alias("pipeline"), F.col("o_orderkey").alias("session_id"), F.col("o_custkey").alias("user_id"), F.col("o_totalprice").alias("price"), "o_orderdate")
+        tb.tier_stream(rows, path, f"{path}/checkpoint", process, key=("pipeline", "session_id"), order="o_orderdate").awaitTermination()
+    return tb.published(spark, path).drop("pipeline")
+
+
+@query("strided_events", "WITH r AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS i, count(*) OVER () AS n FROM events) SELECT event_id FROM r WHERE i % greatest(1, (n + 499) // 500) = 0")
+def strided_events(spark, sf_dir):
+    """Every so many-th event of all, 500 at most."""
+    return tb.strided(T(spark, sf_dir, "events"), ["ts", "event_id"], 500).select("event_id")
+
+
 @query("live_children", f"WITH {SEG} SELECT session_id, sequence FROM seg WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def live_children(spark, sf_dir):
     parents = T(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'")

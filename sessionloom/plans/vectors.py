@@ -114,7 +114,7 @@ def purity_split(spark, sf_dir):
     return cl.purity_split(t, ["user_id"]).select("user_id", "turn_id", "label")
 
 
-@query("merged_speakers", "WITH RECURSIVE ed AS (SELECT s_suppkey AS a, s_suppkey + 1 AS b FROM supplier WHERE s_suppkey % 4 <> 0), up AS (SELECT s_suppkey AS id, s_suppkey AS r FROM supplier UNION SELECT up.id, ed.a FROM up JOIN ed ON up.r = ed.b) SELECT l_orderkey * 10 + l_linenumber AS id, min(r) AS speaker_id FROM lineitem JOIN up ON l_suppkey = up.id GROUP BY l_orderkey, l_linenumber, l_suppkey, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate")
+@query("merged_speakers", "WITH RECURSIVE ed AS (SELECT s_suppkey AS a, s_suppkey + 1 AS b FROM supplier WHERE s_suppkey % 4 <> 0), up AS (SELECT s_suppkey AS id, s_suppkey AS r FROM supplier UNION SELECT up.id, ed.b FROM up JOIN ed ON up.r = ed.a), top AS (SELECT id, max(r) AS r FROM up GROUP BY id) SELECT l_orderkey * 10 + l_linenumber AS id, r AS speaker_id FROM lineitem JOIN top ON l_suppkey = top.id")
 def merged_speakers(spark, sf_dir):
     edges = d.table(spark, sf_dir, "supplier").filter("s_suppkey % 4 <> 0").select(F.col("s_suppkey").alias("from_id"), (F.col("s_suppkey") + 1).alias("to_id"))
     members = d.table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_suppkey").alias("speaker_id"))

@@ -85,19 +85,32 @@ def cluster_rebuild_counts(spark, sf_dir):
     return vo.rebuild_counts(prints(spark, sf_dir).withColumn("pin", pin).withColumnRenamed("label", "cluster"), ["user_id"], min_talk_ms=3000)
 
 
+@query("speaker_rebuild")
+def speaker_rebuild(spark, sf_dir):
+    """Speakers of every user made anew under the user's own gate and threshold."""
+    p = prints(spark, sf_dir).withColumn("pin", F.when(F.col("vec_id") % 97 == 0, F.concat(F.lit("p"), F.col("vec_id") % 2)))
+    parameters = p.select("user_id").distinct().withColumn("min_talk_ms", F.col("user_id") * 1000).withColumn("threshold", F.when(F.col("user_id") % 2 == 0, 0.65).otherwise(0.5))
+    return vo.rebuilt(p, ["user_id"], parameters, id_col="vec_id")[1]
+
+
 def merges(spark, sf_dir):
     p = prints(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("label").alias("speaker_id"), "embedding")
     speakers = p.select("speaker_id", F.when(F.col("speaker_id") % 2 == 1, F.concat(F.lit("Name "), F.col("speaker_id").cast("string"))).alias("name")).distinct()
-    edges = speakers.filter("speaker_id % 2 = 1").select(F.col("speaker_id").alias("from_id"), (F.col("speaker_id") - 1).alias("to_id"))
+    there = speakers.select((F.col("speaker_id") - 1).alias("from_id"), F.col("speaker_id").alias("to_id"))
+    edges = there.join(speakers.select(F.col("speaker_id").alias("from_id")), "from_id").filter("from_id % 3 <> 2")
     return vo.merged_clusters(edges, p, speakers, "embedding")
 
 
-@query("merged_cluster_members", f"WITH {E} SELECT vec_id AS id, label - label % 2 AS survivor, label % 2 = 1 OR label + 1 IN (SELECT label FROM e) AS pinned FROM e")
+#: Chains of merges 0 -> 1 -> 2, 3 -> 4 -> 5 and so on, of the labels that are there.
+CHAINS = "ed AS (SELECT DISTINCT label AS a, label + 1 AS b FROM e WHERE label % 3 <> 2 AND label + 1 IN (SELECT label FROM e)), up AS (SELECT label AS id, label AS r FROM e UNION SELECT id, b FROM up JOIN ed ON r = a), sv AS (SELECT id AS label, max(r) AS survivor FROM up GROUP BY id)"
+
+
+@query("merged_cluster_members", f"WITH RECURSIVE {E}, {CHAINS} SELECT vec_id AS id, survivor, label IN (SELECT a FROM ed UNION SELECT b FROM ed) AS pinned FROM e JOIN sv USING (label)")
 def merged_cluster_members(spark, sf_dir):
     return merges(spark, sf_dir)[0].select("id", "survivor", "pinned")
 
 
-@query("merged_clusters", f"WITH {CENT}, c AS (SELECT label - label % 2 AS survivor, i, avg(x) AS x FROM x GROUP BY ALL), n AS (SELECT label - label % 2 AS survivor, min(CASE WHEN label % 2 = 1 THEN 'Name ' || label END) AS name FROM e GROUP BY 1) SELECT survivor, name, i, round(x, 6) AS x FROM c JOIN n USING (survivor)")
+@query("merged_clusters", f"WITH RECURSIVE {CENT}, {CHAINS}, c AS (SELECT survivor, i, avg(x) AS x FROM x JOIN sv USING (label) GROUP BY ALL), n AS (SELECT survivor, CASE WHEN survivor % 2 = 1 THEN 'Name ' || survivor ELSE 'Name ' || min(CASE WHEN label % 2 = 1 THEN label END) END AS name FROM sv GROUP BY 1) SELECT survivor, name, i, round(x, 6) AS x FROM c JOIN n USING (survivor)")
 def merged_clusters(spark, sf_dir):
     c = merges(spark, sf_dir)[1]
     return c.select("survivor", "name", F.posexplode("centroid").alias("i", "x")).select("survivor", "name", (F.col("i") + 1).cast("long").alias("i"), F.round("x", 6).alias("x"))
