@@ -287,8 +287,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Groups of more than ``block`` rows are split.  First each row's best partners
     in its block are verified, in its FOREST_GROUPS largest groups; then, in split groups,
-    those where more pairs passed and those that a row was left out of, all pairs of different components, the largest component of a group against the
-    others only.  None is capped.
+    those where more pairs passed and those that a row was left out of, its best
+    partners of other components in every block; at last, where more pairs passed
+    then, all pairs of different components.  The largest component of a group is
+    compared with the others only.  None is capped.
     """
     import numpy as np
 
@@ -456,7 +458,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         discard(wanted, texts)
         return out
 
-    salted = lambda parts: F.pmod(F.xxhash64(F.lit(7), "row"), parts)
+    salted = lambda parts: F.pmod(F.xxhash64(F.lit(7), "row", "g"), parts)  # noqa: E731  blocks that lie across each other in each group
     zero = F.lit(0).cast("long")
     size = member_of.groupBy("g").agg(F.count("*").alias("c"))
     parts = F.greatest(F.ceil(F.col("c") / block), F.lit(1)).cast("long")
@@ -465,29 +467,36 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     placed = written(placed, "placed")
     first = placed.filter(F.col("nth") <= FOREST_GROUPS).withColumn("own", salted(parts))
     pairs, unfinished = candidates(first.select("g", "row", "low", F.col("row").alias("comp"), "own", F.col("own").alias("bi"), F.col("own").alias("bj")), True)
-    unfinished = unfinished.union(placed.filter(F.col("nth") > FOREST_GROUPS).select("g")).distinct()
+    unfinished = unfinished.union(placed.filter(F.col("nth") > FOREST_GROUPS).select("g")).union(size.filter(F.col("c") > block).select("g")).distinct()
     links = fixed.union(verified(pairs))
-    found = components(links)
-
-    # what is left: pairs of different components
-    named_rows = written(member_of.join(found.withColumnRenamed("id", "row"), "row", "left").withColumn("comp", F.coalesce("component", "row")).drop("component"), "members")
-    by_comp = named_rows.groupBy("g", "comp").agg(F.count("*").alias("m"))
-    top = written(by_comp.groupBy("g").agg(F.sum("m").alias("c"), F.max(F.struct("m", "comp")).alias("top")).filter("c > top.m").select("g", "c", F.col("top.m").alias("m"), F.col("top.comp").alias("most")).join(unfinished.withColumn("u", F.lit(True)), "g", "left").filter(F.col("u") | (F.col("c") > block)).drop("u"), "top")
-    rest, large = F.ceil((F.col("c") - F.col("m")) / block).cast("long"), F.ceil(F.col("m") / block).cast("long")
-    split, is_top = F.col("c") > block, F.col("comp") == F.col("most")
-    own = F.when(~split, zero).when(is_top, rest + salted(large)).otherwise(salted(rest))
-    others = F.when(~split, F.array(zero)).when(is_top, F.sequence(zero, rest - 1)).otherwise(F.sequence(zero, rest + large - 1))
-    second = named_rows.join(top, "g").withColumn("own", own).withColumn("other", F.explode(others))
-    second = second.select("g", "row", "low", "comp", "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"))
-    more = candidates(second, False)[0].join(pairs, ["a", "b"], "left_anti")
-    more = verified(written(more, "candidates"))
-    if more.limit(1).count():
-        found = components(links.union(more))
+    found, used = components(links), [placed]
+
+    def apart(unfinished: DataFrame) -> DataFrame:
+        """Of unfinished groups the rows, in blocks, if they are of different components: the largest component against the others only."""
+        named_rows = written(member_of.join(unfinished, "g", "left_semi").join(found.withColumnRenamed("id", "row"), "row", "left").withColumn("comp", F.coalesce("component", "row")).drop("component"), "members")
+        by_comp = named_rows.groupBy("g", "comp").agg(F.count("*").alias("m"))
+        top = written(by_comp.groupBy("g").agg(F.sum("m").alias("c"), F.max(F.struct("m", "comp")).alias("top")).filter("c > top.m").select("g", "c", F.col("top.m").alias("m"), F.col("top.comp").alias("most")), "top")
+        used.extend([named_rows, top])
+        rest, large = F.ceil((F.col("c") - F.col("m")) / block).cast("long"), F.ceil(F.col("m") / block).cast("long")
+        split, is_top = F.col("c") > block, F.col("comp") == F.col("most")
+        own = F.when(~split, zero).when(is_top, rest + salted(large)).otherwise(salted(rest))
+        others = F.when(~split, F.array(zero)).when(is_top, F.sequence(zero, rest - 1)).otherwise(F.sequence(zero, rest + large - 1))
+        rows = named_rows.join(top, "g").withColumn("own", own).withColumn("other", F.explode(others))
+        return rows.select("g", "row", "low", "comp", "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"))
+
+    # what is left: pairs of different components, again each row's best, at last all
+    for forest in (True, False):
+        more, unfinished = candidates(apart(unfinished), forest)
+        more = written(more.join(pairs, ["a", "b"], "left_anti"), "candidates")
+        new = verified(more)
+        if more.limit(1).count():
+            pairs, links = pairs.union(more), links.union(new)
+            found = components(links)
     nodes = known.select("row", "id").join(found.withColumnRenamed("id", "row"), "row")
     least = nodes.join(nodes.groupBy("component").agg(F.min("id").alias("component_id")), "component").select("row", "component_id")
     out = rows.select("row", "id", "n").join(least, "row", "left").select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
     out = written(out, "components")
-    discard(bodies, member_of, placed, named_rows, top, rows)
+    discard(bodies, member_of, *used, rows)
     return out
 
 
