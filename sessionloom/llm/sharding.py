@@ -35,17 +35,37 @@ def tree(n_shards: int, *, shards_per_rack: int = 4, racks_per_region: int = 2,
 
 
 def descended(node: Node, key: Column) -> Column:
-    """The shard a key falls to: at each level the child with the least -ln(u) / weight, u drawn by hash of child and key."""
-    if not node.children:
-        return F.lit(node.shard)
-    if len(node.children) == 1:
-        return descended(node.children[0], key)
-    draws = [F.struct((-F.log((F.shiftrightunsigned(F.xxhash64(F.lit(c.name), key), 11) + 1) / float(1 << 53)) / c.weight).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(node.children)]
-    first = F.array_min(F.array(*draws))["i"]
-    out = descended(node.children[-1], key)
-    for i, c in enumerate(node.children[:-1]):
-        out = F.when(first == i, descended(c, key)).otherwise(out)
-    return out
+    """The shard a key falls to: at each level the child with the least -ln(u) / weight, u drawn by hash of child and key.
+
+    The tree is three constant arrays (of each node its children's names, weights and
+    numbers) and the descent a fold over its levels, so the expression is the same for
+    every tree, however many shards it has.
+    """
+    nodes, at = [node], 0
+    below: list[list[int]] = []
+    while at < len(nodes):
+        children = nodes[at].children
+        below.append(list(range(len(nodes), len(nodes) + len(children))))
+        nodes += children
+        at += 1
+    depth, level = 0, [node]
+    while any(n.children for n in level):
+        depth, level = depth + 1, [c for n in level for c in n.children]
+
+    def arrays(values, one, kind: str) -> Column:
+        return F.expr("array(" + ", ".join(f"cast(array({', '.join(map(one, v))}) as array<{kind}>)" for v in values) + ")")
+
+    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    names = arrays([[c.name for c in n.children] for n in nodes], quoted, "string")
+    weights = arrays([[c.weight for c in n.children] for n in nodes], lambda x: f"{x!r}D", "double")
+    numbers = arrays(below, str, "int")
+
+    def step(n: Column, _: Column) -> Column:
+        draw = lambda name, i: F.struct((-F.log((F.shiftrightunsigned(F.xxhash64(name, key), 11) + 1) / float(1 << 53)) / weights[n][i]).alias("d"), i.alias("i"))
+        return F.when(F.size(numbers[n]) == 0, n).otherwise(numbers[n][F.array_min(F.transform(names[n], draw))["i"]])
+
+    leaf = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), step) if depth else F.lit(0)
+    return F.expr("array(" + ", ".join(str(n.shard) for n in nodes) + ")")[leaf]
 
 
 def slotted(df: DataFrame, *, by: str, order: list[str], rows_per_chunk: int = 200_000) -> DataFrame:
