@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,6 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionloom.functions.storage import discard
 from sessionloom.llm.common import dropped, free_name, released, table, written
 
 OUTPUTS = ["n_words", "n_hit", "item_ids", "spans"]
@@ -30,7 +32,7 @@ class Automaton:
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
         self.window = window
-        self.vocab: dict[bytes, int] = {}
+        self.vocab: dict[bytes, int] = {}  # numbers of words
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
         coded = []
@@ -42,24 +44,49 @@ class Automaton:
                 for c in ids:
                     last = self._extend(last, c)
         self.least = min((min(window, len(ids)) for _, ids in coded), default=0)
-        self.whole: dict[int, set[str]] = {}
-        ends: dict[int, list[tuple[int, str]]] = {}
-        for name, ids in coded:
+        self._freeze(coded)
+
+    def _freeze(self, coded: list[tuple[str, list[int]]]) -> None:
+        """Flat arrays in place of a dictionary a state: most states have one way on, and most windows one item."""
+        n, window = len(self.link), self.window
+        none = array("i", [-1])
+        self.names = [name for name, _ in coded]
+        one_of, more_of = none * n, {}  # the items of a state's window: the first, and the others
+        ends: dict[int, list[tuple[int, int]]] = {}
+        for item, (_, ids) in enumerate(coded):
             state = 0
-            for n, c in enumerate(ids, 1):
+            for k, c in enumerate(ids, 1):
                 state = self.next[state][c]
-                if n >= window:
-                    self.whole.setdefault(self._holder(state, window), set()).add(name)
+                if k >= window:
+                    at = self._holder(state, window)
+                    if one_of[at] < 0:
+                        one_of[at] = item
+                    elif one_of[at] != item:
+                        more_of.setdefault(at, set()).add(item)
             if len(ids) < window:
-                ends.setdefault(self._holder(state, len(ids)), []).append((len(ids), name))
+                ends.setdefault(self._holder(state, len(ids)), []).append((len(ids), item))
         # items of under `window` words that end in a state or in one of its suffixes
-        self.short: list[list[tuple[int, str]]] = [[] for _ in self.link]
-        for s in sorted(range(1, len(self.link)), key=self.length.__getitem__):
-            above = self.short[self.link[s]]
-            self.short[s] = above + ends[s] if s in ends else above
-        self.has_short = bool(ends)
+        self.short: dict[int, list[tuple[int, int]]] = {}
+        for s in sorted(range(1, n), key=self.length.__getitem__) if ends else ():
+            above = self.short.get(self.link[s], [])
+            if s in ends or above:
+                self.short[s] = above + ends[s] if s in ends else above
         # the state that stands for the last `window` words
-        self.at_window = [self._holder(s, window) if n >= window else 0 for s, n in enumerate(self.length)]
+        self.at_window = array("i", (self._holder(s, window) if k >= window else 0 for s, k in enumerate(self.length)))
+        self.one_of, self.more_of = one_of, more_of
+        self.char, self.to, self.ways = none * n, none * n, {}
+        self.root = none * len(self.vocab)
+        for c, to in self.next[0].items():
+            self.root[c] = to
+        for s in range(1, n):
+            ways = self.next[s]
+            if ways:
+                c, to = ways.popitem()
+                self.char[s], self.to[s] = c, to
+                if ways:
+                    self.ways[s] = ways
+        self.next = []
+        self.link, self.length = array("i", self.link), array("i", self.length)
 
     def _holder(self, state: int, n: int) -> int:
         while self.length[self.link[state]] >= n:
@@ -101,40 +128,51 @@ class Automaton:
         import numpy as np
 
         found: list[list[int]] = []
-        items: set[str] = set()
+        items: set[int] = set()
         n = len(words)
         if not self.least or n < self.least:
-            return found, items
+            return found, set()
         ids = np.fromiter(map(self.vocab.get, words, itertools.repeat(-1)), np.int64, n)
         stops = np.concatenate(([-1], np.flatnonzero(ids < 0), [n]))  # an unknown word leads back to the root
         runs = np.flatnonzero(np.diff(stops) > self.least)
-        nexts, link, length, window = self.next, self.link, self.length, self.window
+        char, to_of, ways, root, link, length, window = self.char, self.to, self.ways, self.root, self.link, self.length, self.window
+        short, one_of, more_of, at_window = self.short, self.one_of, self.more_of, self.at_window
         for r in runs.tolist():
             at = int(stops[r]) + 1
             state = n_match = 0
             for i, c in enumerate(ids[at : stops[r + 1]].tolist(), at + 1):
-                to = nexts[state].get(c)
-                while to is None:
+                while state:
+                    if char[state] == c:
+                        to = to_of[state]
+                    else:
+                        to = ways[state].get(c, -1) if state in ways else -1
+                    if to >= 0:
+                        break
                     state = link[state]
                     n_match = length[state]
-                    to = nexts[state].get(c)
+                else:
+                    to = root[c]
                 state = to
                 n_match += 1
                 take = 0
                 if n_match >= window:
                     take = window
-                    items |= self.whole.get(self.at_window[state], ())
-                if self.has_short:
-                    for k, name in self.short[state]:
+                    held = at_window[state]
+                    if one_of[held] >= 0:
+                        items.add(one_of[held])
+                        if held in more_of:
+                            items |= more_of[held]
+                if state in short:
+                    for k, item in short[state]:
                         if k <= n_match:
                             take = max(take, k)
-                            items.add(name)
+                            items.add(item)
                 if take:
                     start = i - take
                     while found and start <= found[-1][1]:
                         start = min(start, found.pop()[0])
                     found.append([start, i])
-        return found, items
+        return found, {self.names[i] for i in items}
 
 
 def merged(spans: list[list[int]]) -> list[list[int]]:
@@ -155,7 +193,7 @@ def block_of(benchmark: DataFrame, i: int, n_blocks: int, *, item_id_col: str, i
     return Automaton([(name, (text or "").encode().translate(bytemap).split()) for name, text in mine], window)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = 2 << 20) -> DataFrame:
     """Where each document repeats a test item.
 
     Words: runs of ASCII letters (case folded), digits and non-ASCII characters.
@@ -213,12 +251,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
 
     docs = dropped(docs, OUTPUTS)
     name = free_name(docs, "_found")
-    out = docs.withColumn(name, F.lit(None).cast("struct<" + RESULT + ">"))
+    out, last = docs.withColumn(name, F.lit(None).cast("struct<" + RESULT + ">")), None
     for i in range(n_blocks):
         auto = block_of(benchmark, i, n_blocks, item_id_col=item_id_col, item_text_col=item_text_col, window=window)
         out = out.withColumn(name, scanner(auto)(F.col(text_col), F.col(name)))
         if i + 1 < n_blocks:
             out = written(out, "contamination")
+            if last is not None:  # what the pass before wrote has been read
+                discard(last)
+            last = out
     return out.select(*docs.columns, f"{name}.*")
 
 
