@@ -30,17 +30,28 @@ def of_session(df: DataFrame, session_id, *, from_ms: int | None = None, to_ms:
     return df.orderBy(F.col("start_ms").asc_nulls_first(), "artifact_id")
 
 
+def stored_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path under ``root``, length, content) of every file in it, read as they are asked for."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    whole = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return files.select(F.regexp_replace(F.col("path").substr(F.lit(len(whole) + 1), F.length("path")), "^/+", "").alias("path"), "length", "content")
+
+
+def relative(path: str = "path") -> Column:
+    return F.regexp_replace(path, "^/+", "")
+
+
 def segment_bytes(spark: SparkSession, segments: DataFrame, root: str) -> DataFrame:
-    """Segments with the bytes of their files under ``root``, and whether the declared sha256 holds."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.element_at(F.split("path", "/"), -1).alias("_name"), "content")
-    j = segments.withColumn("_name", F.element_at(F.split("path", "/"), -1)).join(files, "_name", "left").drop("_name")
+    """Segments (path under ``root``) with the bytes of their files, and whether the declared sha256 holds; null without a file."""
+    files = stored_files(spark, root).select(F.col("path").alias("_path"), "content")
+    j = segments.withColumn("_path", relative()).join(files, "_path", "left").drop("_path")
     return j.withColumn("valid", F.sha2("content", 256) == F.col("sha256"))
 
 
 def orphans(spark: SparkSession, segments: DataFrame, root: str) -> DataFrame:
-    """Stored files that no row points to."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", F.element_at(F.split("path", "/"), -1).alias("_name"))
-    return files.join(segments.select(F.element_at(F.split("path", "/"), -1).alias("_name")), "_name", "left_anti").drop("_name")
+    """(path, length) of stored files that no row points to."""
+    return stored_files(spark, root).select("path", "length").join(segments.select(relative().alias("path")), "path", "left_anti")
 
 
 def session_summaries(stats: DataFrame, path: str) -> None:
