@@ -75,7 +75,7 @@ def templates(shapes: DataFrame, *, max_children: int, max_depth: int = 32) -> D
         t = written(t, "templates")
 
 
-def branches(by_template: DataFrame, *, merge_z: float) -> DataFrame:
+def branches(by_template: DataFrame, *, merge_z: float, max_depth: int = 32) -> DataFrame:
     """(host, template, branch): templates merged bottom-up.
 
     At each node a child whose rate of label 1 differs from that of its siblings
@@ -83,19 +83,17 @@ def branches(by_template: DataFrame, *, merge_z: float) -> DataFrame:
     others merge and stand for the node when that is compared with its own siblings.
     ``by_template``: host, template, k labels, good of them.  A template without labels
     goes with its node.  Levels at which no node has two labelled children decide
-    nothing and are passed over.
+    nothing and are passed over; segments from ``max_depth`` on are one.
     """
-    t = by_template.withColumn("parts", F.split("template", "/")).withColumn("branch", F.size("parts")).withColumn("apart", F.lit(False))
+    t = by_template.withColumn("parts", F.concat(F.array(F.lit("")), segments(F.col("template"), max_depth))).withColumn("branch", F.size("parts")).withColumn("apart", F.lit(False))
     at = lambda n: F.array_join(F.slice("parts", 1, n), "/")  # noqa: E731  the node of n parts that a template lies under
-    top = t.agg(F.coalesce(F.max("branch"), F.lit(1))).first()[0]
     labelled = t.filter("k > 0")
     forks = labelled.select("host", "parts", F.explode(F.sequence(F.lit(2), F.greatest(F.col("branch"), F.lit(2)))).alias("level")).select("host", "level", at(F.col("level") - 1).alias("parent"), F.element_at("parts", F.least("level", F.size("parts"))).alias("child")).distinct()
     forked = {r[0] for r in forks.groupBy("host", "level", "parent").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("level").distinct().collect()}  # numbers up to the depth of the tree
-    for level in range(top, 1, -1):
+    climbed = lambda level: F.when(F.col("apart"), F.col("branch")).otherwise(F.least("branch", F.lit(level)))
+    for level in sorted(forked, reverse=True):
+        t = t.withColumn("branch", climbed(level))
         here = ~F.col("apart") & (F.col("branch") == level)
-        if level not in forked:
-            t = t.withColumn("branch", F.when(here, level - 1).otherwise(F.col("branch")))
-            continue
         node = t.filter(here).groupBy("host", at(F.lit(level)).alias("node"), at(F.lit(level - 1)).alias("parent")).agg(F.sum("k").alias("k"), F.sum("good").alias("good"))
         whole = node.groupBy("host", "parent").agg(F.sum("k").alias("k0"), F.sum("good").alias("good0"))
         n = node.join(whole, ["host", "parent"]).withColumn("k0", F.col("k0") - F.col("k")).withColumn("good0", F.col("good0") - F.col("good"))
@@ -107,7 +105,7 @@ def branches(by_template: DataFrame, *, merge_z: float) -> DataFrame:
         apart = F.col("here") & F.coalesce("differs", F.lit(False))
         t = t.select("host", "template", "k", "good", "parts", F.when(F.col("here") & ~apart, level - 1).otherwise(F.col("branch")).alias("branch"), (F.col("apart") | apart).alias("apart"))
         t = written(t, "branches")
-    return t.select("host", "template", at(F.col("branch")).alias("branch"))
+    return t.select("host", "template", at(climbed(1)).alias("branch"))
 
 
 def url_verdicts(urls: DataFrame, labelled: DataFrame, *, url_col: str = "url", label_col: str = "label", rules: list[tuple[str, str, str]] = (), max_children: int = 12, max_depth: int = 32, merge_z: float = 1.96, prior_weight: float = 10.0, min_purity: float = 0.6) -> DataFrame:
@@ -135,7 +133,7 @@ def url_verdicts(urls: DataFrame, labelled: DataFrame, *, url_col: str = "url",
     shapes = pages.groupBy("host", "shape").agg(F.count("*").alias("n")).join(per_shape, ["host", "shape"], "left").fillna(0, ["k", "good"])
     t = templates(written(shapes, "shapes"), max_children=max_children, max_depth=max_depth)
     by_template = t.groupBy("host", "template").agg(F.sum("k").alias("k"), F.sum("good").alias("good"))
-    tree = branches(written(by_template, "by-template"), merge_z=merge_z)
+    tree = branches(written(by_template, "by-template"), merge_z=merge_z, max_depth=max_depth)
     overall = marks.agg(F.coalesce(F.avg("y"), F.lit(1.0)).alias("p")).first()["p"]
     purity = (F.sum("good") + prior_weight * overall) / (F.sum("k") + prior_weight)
     judges = t.select("host", "shape", "template").join(held, ["host", "shape"]).join(tree, ["host", "template"])
