@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,9 +13,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from sessionloom.functions.scalars import epoch_ms
+from sessionloom.functions.storage import committed, shared_dir
 
 #: A frame: its session, its number there, when it was taken, its bytes.
 FRAME = "session_id long, sequence long, captured_at timestamp, pcm binary"
+ROCKS_DB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 PROGRESS = "session_id long, through long, stored long, bytes long, duplicates long"
 
 
@@ -247,7 +250,7 @@ def in_order(frames: DataFrame, fold, *, watermark_ms: int, grace_ms: int, idle_
     ``grace_ms`` older still come out as refused, Spark drops what is older.  The state
     store must be RocksDB's; it is set for the session.
     """
-    frames.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    frames.sparkSession.conf.set(*ROCKS_DB)
     more = "" if "captured_at" in fold.columns else "captured_at timestamp, "
     timed = framed(frames).filter("sequence is not null and captured_at is not null").withWatermark("captured_at", f"{watermark_ms + grace_ms} milliseconds")
     return timed.groupBy("session_id").transformWithStateInPandas(InOrder(fold, grace_ms, idle_ms), f"session_id long, {fold.columns}, {more}refused string", "append", "eventTime")
@@ -371,7 +374,19 @@ def location_events(batches: DataFrame, from_ms: int | None = None, to_ms: int |
 
 
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """All that a finite stream gives, as a batch table."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """All that a finite stream gives, as a batch table in the shared folder; no row passes the driver.
+
+    Spark's file sink takes rows that are appended only; those of other modes are
+    written batch by batch, each into a folder of its own.
+    """
+    spark = stream.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    w = stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").outputMode(mode).trigger(availableNow=True)
+    if mode == "append":
+        q = w.format("parquet").start(f"{path}/rows")
+    else:
+        q = w.foreachBatch(lambda rows, number: rows.write.mode("overwrite").parquet(f"{path}/rows/micro_batch={number}")).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    if mode != "append" and not committed(spark, f"{path}/rows", "micro_batch"):
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows").select(*stream.columns)
