@@ -24,6 +24,7 @@ PROGRESS = "session_id long, through long, stored long, bytes long, duplicates l
 def deduplicated(frames: DataFrame, watermark: str = "10 minutes") -> DataFrame:
     """The first frame of each (session, sequence); a stream remembers keys within the watermark."""
     if frames.isStreaming:
+        frames.sparkSession.conf.set(*ROCKS_DB)  # keys on disk, not in the heap
         return frames.withWatermark("captured_at", watermark).dropDuplicatesWithinWatermark(["session_id", "sequence"])
     return frames.dropDuplicates(["session_id", "sequence"])
 
