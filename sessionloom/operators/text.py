@@ -89,28 +89,68 @@ def ranked(index: DataFrame, terms: DataFrame) -> DataFrame:
     return docs.select("query_id", "id", density("hits", "n_words").alias("score")).groupBy("query_id", "id").agg(F.max("score").alias("score"))
 
 
-def extent_score(wanted: set, run: list[str], floor: float) -> float:
+class Placed:
+    """A run of trigrams with where each occurs, for the scores of many queries."""
+
+    def __init__(self, run: list[str]):
+        self.run, self.at, self.counts = run, {}, {}
+        for i, t in enumerate(run):
+            self.at.setdefault(t, []).append(i)
+
+    def repeats(self, width: int) -> list[int]:
+        """At i: how many of the first i trigrams were there already among the ``width`` before them."""
+        if width not in self.counts:
+            last, n, out = {}, 0, [0]
+            for i, t in enumerate(self.run):
+                n += i - last.get(t, -width - 1) <= width
+                last[t] = i
+                out.append(n)
+            self.counts[width] = out
+        return self.counts[width]
+
+
+def extent_score(wanted: set, run: list[str] | Placed, floor: float) -> float:
     """The greatest share of common trigrams among all of ``wanted`` and a stretch of ``run``; 0 if it is under ``floor``.
 
     A best stretch begins and ends with a wanted trigram.  Behind each such begin it
     grows; the others met so far stay in it, so it can't exceed the wanted ones over
     the wanted and the others: where that isn't more than the best found, it stops.
+    A stretch that reaches ``floor`` has at least so many occurrences of wanted ones;
+    where the different trigrams up to there are too many, none begins.
     """
-    best, found = floor, 0.0
-    for i, first in enumerate(run):
-        if first not in wanted:
+    best, found, size = floor, 0.0, len(wanted)
+    placed = run if isinstance(run, Placed) else Placed(run)
+    run = placed.run
+    hits = sorted(i for t in wanted if t in placed.at for i in placed.at[t])
+    least, most = next((c for c in range(1, size + 1) if c / size >= floor), size + 1), len(run)
+    if floor > 0:
+        most = min(most, int(size / floor) + 1)
+        while most >= 0 and size / (size + most) < floor:
+            most -= 1
+    width = 1 << max(0, most + least).bit_length()  # a power of two over what is allowed, so that few are counted
+    n = placed.repeats(width)
+    for k, i in enumerate(hits):
+        if k + least > len(hits):
+            break
+        end = min(hits[k + least - 1], i + width - 1)
+        if end - i - n[end + 1] + n[i + 1] >= most + least:  # different ones but one, at least
             continue
         common, other = set(), set()
-        for t in run[i:]:
+        for j in range(i, len(run)):
+            t = run[j]
             if t not in wanted:
                 other.add(t)
-                if len(wanted) / (len(wanted) + len(other)) < best or len(wanted) / (len(wanted) + len(other)) <= found:
+                if size / (size + len(other)) < best or size / (size + len(other)) <= found:
                     break
             elif t not in common:
                 common.add(t)
-                share = len(common) / (len(wanted) + len(other))
+                share = len(common) / (size + len(other))
                 if share >= best and share > found:
                     best = found = share
+                    while least <= size and least / size <= found:
+                        least += 1
+                    while most > 0 and size / (size + most) <= found:
+                        most -= 1
     return found
 
 
@@ -130,12 +170,20 @@ def fuzzy(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, *, fl
     often = held.join(each.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.count(F.lit(1)).alias("docs"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.coalesce("docs", F.lit(0)), "t"))
     rare = each.join(often, "t", "left").withColumn("rank", rank).filter(F.col("rank") <= F.col("n") - F.ceil(F.lit(floor) * F.col("n") - 1e-9) + 1)
-    near = rare.select("query_id", "t").join(held, "t").select("query_id", "id").distinct()
+    # dealt by number, so that few bytes don't become one task; a document's pairs follow one another
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = rare.select("query_id", "t").join(held, "t").select("query_id", "id").distinct().repartition(tasks, "id").sortWithinPartitions("id")
     pairs = near.join(q.select("query_id", "query"), "query_id").join(d, "id")
 
     @F.arrow_udf("double")
     def score(query: pa.Array, text: pa.Array) -> pa.Array:
-        return pa.array([extent_score(set(trigram_run(a)), trigram_run(b), floor) for a, b in zip(query.to_pylist(), text.to_pylist(), strict=True)], pa.float64())
+        out, sets, last, run = [], {}, None, None
+        for a, b in zip(query.to_pylist(), text.to_pylist(), strict=True):
+            if b != last:
+                last, run = b, Placed(trigram_run(b))
+            wanted = sets[a] if a in sets else sets.setdefault(a, set(trigram_run(a)))
+            out.append(extent_score(wanted, run, floor))
+        return pa.array(out, pa.float64())
 
     return pairs.select("query_id", "id", score("query", "text").alias("score")).filter(F.col("score") >= floor)
 

@@ -119,3 +119,12 @@ def test_index_by_document(spark, tmp_path):
     # a generation whose documents aren't listed was cut off, and isn't seen
     spark.createDataFrame([(0, 1, "cat", [0])], "id long, n_words int, stem string, deltas array<int>").withColumn("bucket", ix.bucket_of(F.col("stem"), 64)).write.partitionBy("bucket").parquet(f"{path}/postings/generation=2")
     assert hits() == [(1, 7), (3, 0)] and ix.index_documents(docs.limit(0), path) == 2
+
+
+def test_fuzzy_scores_in_many_tasks(spark):
+    docs = spark.createDataFrame([(i, f"word number {i} of many words") for i in range(200)], "id long, text string")
+    asked = spark.createDataFrame([(1, "numbre"), (2, "wordz")], "query_id long, query string")
+    got = tx.fuzzy(docs, asked, "id", "text").withColumn("task", F.spark_partition_id())
+    assert got.select("task").distinct().count() > 1
+    run = trigram_run("word of word and words")
+    assert tx.extent_score(set(trigram_run("words")), tx.Placed(run), 0.35) == tx.extent_score(set(trigram_run("words")), run, 0.35) == 1.0
