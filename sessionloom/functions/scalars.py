@@ -22,7 +22,8 @@ def norm(a: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    return F.transform(a, lambda x: x.cast("double") / norm(a))
+    """``a`` over its length, which is taken once a row, not once a number."""
+    return F.zip_with(a, F.array_repeat(norm(a), F.size(a)), lambda x, n: x.cast("double") / n)
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
