@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -166,17 +167,22 @@ class InOrder(StatefulProcessor):
         self.handle = handle
         self.waiting = handle.getListState("waiting", "sequence long, at long, pcm binary, trigger boolean")
         self.gaps = handle.getListState("gaps", "first long, last long")
-        self.at = handle.getValueState("at", f"through long, seen long, {self.fold.state}")
-
-    def load(self) -> tuple[int, int, tuple, list, list]:
-        held = self.at.get() if self.at.exists() else None
-        waiting = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
-        gaps = [tuple(r) for r in self.gaps.get()] if self.gaps.exists() else []
-        return (-1, 0, self.fold.empty, waiting, gaps) if held is None else (held[0], held[1], tuple(held[2:]), waiting, gaps)
-
-    def advance(self, key: tuple, new: list[tuple], now_ms: int) -> Iterator[pd.DataFrame]:
-        """Fold what is in order or given up, close what is due, and keep the rest; ``now_ms``: the watermark."""
-        through, seen, state, waiting, gaps = self.load()
+        self.at = handle.getValueState("at", f"through long, seen long, timer long, n_waiting int, n_gaps int, {self.fold.state}")
+
+    def load(self) -> tuple[int, int, int | None, tuple, list, list]:
+        """What is kept of the session; ``at`` says what else there is, as each look at the store is a round trip."""
+        held = self.at.get()
+        if held is None:
+            return -1, 0, None, self.fold.empty, [], []
+        through, seen, timer, n_waiting, n_gaps, *state = held
+        waiting = sorted(tuple(r) for r in self.waiting.get()) if n_waiting else []
+        gaps = [tuple(r) for r in self.gaps.get()] if n_gaps else []
+        return through, seen, timer, tuple(state), waiting, gaps
+
+    def advance(self, key: tuple, new: list[tuple], now_ms: int, fired: int | None = None) -> Iterator[pd.DataFrame]:
+        """Fold what is in order or given up, close what is due, and keep the rest; ``now_ms``: the watermark, ``fired``: the timer, which Spark deletes."""
+        through, seen, timer, state, waiting, gaps = self.load()
+        known, had_waiting, had_gaps = timer is not None, bool(waiting), len(gaps)
         out, refused, there = [], [], {w[0] for w in waiting}
         for frame in sorted(new):
             seen = max(seen, frame[1] // 1000)
@@ -203,42 +209,56 @@ class InOrder(StatefulProcessor):
         if due is not None and due <= now_ms + self.grace_ms:
             rows, state = self.fold.close(state)
             out, due = out + rows, None
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        if not waiting and due is None and now_ms >= seen + self.idle_ms:
-            for x in (self.at, self.waiting, self.gaps):
-                x.clear()
-        else:
-            self.at.update((through, seen, *state))
-            self.waiting.put(waiting) if waiting else self.waiting.clear()
-            self.gaps.put(gaps[-1000:]) if gaps else self.gaps.clear()
+        then = None  # the session's one timer from now on
+        if waiting or due is not None or now_ms < seen + self.idle_ms:
             at = [seen + self.idle_ms, *([due - self.grace_ms] if due is not None else []), *(w[1] // 1000 + 1 - self.grace_ms for w in waiting)]
-            self.handle.registerTimer(max(min(at), now_ms + 1))
-        yield self.frame(key, out, refused)
+            then = max(min(at), now_ms + 1)
+            more_gaps, gaps = len(gaps) > had_gaps, gaps[-1000:]
+            self.at.update((through, seen, then, len(waiting), len(gaps), *state))
+            if waiting:
+                self.waiting.put(waiting)
+            if more_gaps:
+                self.gaps.put(gaps)
+        elif known:
+            self.at.clear()
+        if had_waiting and not waiting:
+            self.waiting.clear()
+        if had_gaps and then is None:
+            self.gaps.clear()
+        if timer != then:
+            if timer is not None and timer != fired:
+                self.handle.deleteTimer(timer)
+            if then is not None:
+                self.handle.registerTimer(then)
+        if out or refused:
+            yield self.frame(key, out, refused)
 
     def frame(self, key: tuple, out: list[tuple], refused: list[tuple]) -> pd.DataFrame:
         """Rows of the fold, and of refused frames, as the columns of the output."""
         kinds = {x.split()[0]: x.split()[1] for x in self.fold.columns.split(", ")}
-        rows = [dict(zip(kinds, r, strict=True)) for r in out] + [{"sequence": q, "captured_at": at, "refused": why} for q, at, why in refused]
+        columns = dict(zip(kinds, map(list, zip(*out, strict=True)), strict=True)) if out else {}
         kinds.setdefault("captured_at", "timestamp")
-        pdf = pd.DataFrame({"session_id": pd.Series([key[0]] * len(rows), dtype="int64")})
-        for name, kind in (kinds | {"refused": "string"}).items():
-            values = [r.get(name) for r in rows]
+        kinds["refused"] = "string"
+        columns = {name: columns.get(name) or [None] * len(out) for name in kinds}
+        for name, values in columns.items():
+            values += [{"sequence": q, "captured_at": at, "refused": why}.get(name) for q, at, why in refused]
+        pdf = {"session_id": np.full(len(out) + len(refused), key[0], "int64")}
+        for name, kind in kinds.items():
             if kind == "timestamp":
-                pdf[name] = pd.to_datetime(pd.Series(values, dtype="Int64"), unit="us")
+                pdf[name] = np.array(columns[name], "datetime64[us]")
             else:
-                pdf[name] = pd.Series(values, dtype="Int64" if kind == "long" else object)
-        return pdf
+                pdf[name] = pd.array(columns[name], "Int64") if kind == "long" else np.fromiter(columns[name], object, len(columns[name]))
+        return pd.DataFrame(pdf)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         new = []
         for pdf in rows:
-            at = pdf["captured_at"].astype("datetime64[us]").astype("int64")
-            new += [(int(q), int(t), bytes(p) if p is not None else b"", bool(g)) for q, t, p, g in zip(pdf["sequence"], at, pdf["pcm"], pdf["trigger"], strict=True)]
+            at = pdf["captured_at"].to_numpy().astype("datetime64[us]").view("int64")
+            new += [(int(q), int(t), bytes(p) if p is not None else b"", bool(g)) for q, t, p, g in zip(pdf["sequence"].to_numpy(), at, pdf["pcm"].to_numpy(), pdf["trigger"].to_numpy(), strict=True)]
         yield from self.advance(key, new, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        yield from self.advance(key, [], timerValues.getCurrentWatermarkInMs())
+        yield from self.advance(key, [], timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
 
     def close(self) -> None:
         pass

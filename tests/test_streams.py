@@ -140,3 +140,66 @@ def test_patterns_over_any_frames(spark, seed):
     first = {s: min(i for t, i in want if t == s) for s, _ in want}
     opened = st.gated(timed, before_ms=1, window_ms=10_000, bytes_per_ms=1, pattern=b"abcab").groupBy("session_id").agg(F.min("sequence").alias("i"))
     assert {x["session_id"]: x["i"] for x in opened.collect()} == first
+
+
+class Store:
+    """A state store of one session that counts how often it is asked."""
+
+    def __init__(self):
+        self.kept, self.timers, self.asked = {}, set(), 0
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return Kept(self, name)
+
+    getListState = getValueState  # noqa: N815
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.asked += 1
+        self.timers.remove(at)
+
+    def registerTimer(self, at):  # noqa: N802
+        self.asked += 1
+        self.timers.add(at)
+
+    def listTimers(self):  # noqa: N802
+        self.asked += 1
+        return iter(sorted(self.timers))
+
+
+class Kept:
+    def __init__(self, store, name):
+        self.store, self.name = store, name
+
+    def exists(self):
+        self.store.asked += 1
+        return self.name in self.store.kept
+
+    def get(self):
+        self.store.asked += 1
+        return self.store.kept.get(self.name)
+
+    def update(self, value):
+        self.store.asked += 1
+        self.store.kept[self.name] = value
+
+    put = update
+
+    def clear(self):
+        self.store.asked += 1
+        self.store.kept.pop(self.name, None)
+
+
+def test_a_session_in_order_asks_the_store_three_times_and_leaves_nothing():
+    store, p = Store(), st.InOrder(st.Gate(8, 8, None), 60_000, 600_000)
+    p.init(store)
+    frames = [(i, i * 1_000_000, b"abcd", i == 50) for i in range(40)]
+    assert list(p.advance((1,), frames, 0)) == []  # no window yet: nothing is sent
+    assert store.asked == 3 and len(store.timers) == 1
+    (late,) = p.advance((1,), [(50, 100_000_000, b"abcd", True), (3, 3_000_000, b"abcd", False)], 0)  # waits for 40 to 49
+    assert late["refused"].tolist() == ["duplicate"] and late["captured_at"].dtype == "datetime64[us]"
+    assert len(store.kept["waiting"]) == 1 and len(store.timers) == 1
+    (fired,) = store.timers
+    store.asked = 0
+    (opened,) = p.advance((1,), [], 800_000, fired)
+    assert opened["sequence"].tolist() == [39, 50] and opened["refused"].isna().all()
+    assert store.kept == {} and store.timers == {fired} and store.asked <= 4  # Spark deletes the timer that fired
