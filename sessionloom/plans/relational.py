@@ -17,11 +17,16 @@ from sessionloom.plans.catalog import query
 T = d.table
 
 
-def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as sessions, their lines as stored segments."""
+def segments(spark: SparkSession, sf_dir: str, part_rows: int = 500_000) -> DataFrame:
+    """Orders as sessions, their lines as stored segments.
+
+    Dealt by session into parts of about ``part_rows`` lines, so that a task's sorts don't grow
+    with the table; what follows by session needs no other shuffle.
+    """
     o = T(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session_id"), F.col("o_custkey").alias("user_id"), F.col("o_orderstatus").alias("status"), "o_orderdate")
     li = T(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("session_id"), F.col("l_linenumber").cast("long").alias("sequence"), F.col("l_returnflag").alias("resource"), F.col("l_quantity").cast("long").alias("bytes"), F.col("l_partkey").alias("blob"), (F.col("l_quantity") * 20).cast("long").alias("duration_ms"), F.col("l_shipdate").alias("captured_at"))
-    return li.join(o, "session_id")
+    parts = max(spark.sparkContext.defaultParallelism, -(-T(spark, sf_dir, "lineitem").count() // part_rows))
+    return li.repartition(parts, "session_id").join(o.repartition(parts, "session_id"), "session_id")
 
 
 SEG = "seg AS (SELECT l_orderkey AS session_id, o_custkey AS user_id, o_orderstatus AS status, CAST(l_linenumber AS BIGINT) AS sequence, l_returnflag AS resource, CAST(l_quantity AS BIGINT) AS bytes, l_partkey AS blob, CAST(l_quantity * 20 AS BIGINT) AS duration_ms, l_shipdate AS captured_at FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
