@@ -61,7 +61,7 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str, vecto
         take = lambda n: ids.take(pa.array([o[n] for o in out], pa.int64()))
         return pa.table({"query_id": take(0), "id": take(1), "distance": pa.array([o[2] for o in out], pa.float64())})
 
-    found = r.unionByName(q).groupBy("g", "rb", "qb").applyInArrow(best, f"query_id {kind}, id {kind}, distance double")
+    found = r.unionByName(q).repartition("g", "rb", "qb").groupBy("g", "rb", "qb").applyInArrow(best, f"query_id {kind}, id {kind}, distance double")
     w = Window.partitionBy("query_id").orderBy("distance", "id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
