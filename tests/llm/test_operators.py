@@ -255,6 +255,38 @@ def test_jaccard_join_frequent_shingles(spark):
     assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == jaccard_brute_force(rows)
 
 
+def test_jaccard_join_gives_no_rows_for_pairs(spark, monkeypatch):
+    """Near copies of one text that seldom link: no step gives more than a row for each member of a group in each block pair (three at most)."""
+    r = random.Random(7)
+    base, rows = [f"w{i}" for i in range(200)], []
+    for i in range(400):
+        own = list(base)
+        for at in r.sample(range(200), 3 if i % 8 else 1):
+            own[at] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    made, written = {}, jaccard_join.written
+
+    def counted(df, name):
+        out = written(df, name)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "written", counted)
+    got = jaccard_join.near_duplicates(frame(spark, rows).repartition(4)).collect()
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == jaccard_brute_force(rows)
+    assert max(made[n] for n in ("candidates", "open", "links") if n in made) <= 3 * made["members"], made
+
+
+def test_jaccard_join_links_across_blocks(spark):
+    """Chains of near copies whose neighbours alone link, cut into blocks of four rows."""
+    base, rows = [f"w{i}" for i in range(100)], []
+    for i in range(120):
+        rows.append((i, " ".join(base)))
+        base[i * 37 % 100] = f"x{i}"
+    got = jaccard_join.near_duplicates(frame(spark, rows).repartition(4), block=4).collect()
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == jaccard_brute_force(rows)
+
+
 def test_jaccard_join_edges(edge, nothing):
     got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(edge).collect()}
     assert got == {1: 1, 2: 2, 3: 3, None: None, 5: 5, 6: 6, 7: 6, 8: 8}
