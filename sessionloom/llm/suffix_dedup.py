@@ -124,9 +124,11 @@ def repeats_removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Suffixes are taken at anchors, which every string of ``length`` bytes has in it.
     Sampled splitters range-partition them by their leading bytes.  First only the
-    leading tokens travel, once a block of texts; buckets sort them and name those
-    that several documents have.  Then the contexts of just those travel; buckets
-    sort them by multikey quicksort and compare.  A token lies in one bucket, and a
+    leading tokens travel, 32 bits of each once a block of texts; buckets sort them and
+    answer with a bit for each whether several documents have it (tokens alike in
+    these bits count as one: more is sent then, never less).  Then the contexts of just
+    those travel, named anew where they arrive; buckets sort them by multikey
+    quicksort and compare.  A token lies in one bucket, and a
     block sends it once however often it has it, so no bucket holds a frequent
     passage more than once a block.
     """
@@ -177,6 +179,15 @@ def repeats_removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     splitters = leads[(np.arange(1, n_buckets) * len(leads)) // n_buckets] if len(leads) else np.empty(0, np.uint64)
     shared = spark.sparkContext.broadcast(splitters)
 
+    def parts_of(s: Suffixes):
+        """(order, where each key's runs begin in it, the buckets, which keys go to each): the same whenever it is asked."""
+        order, first = runs_of(s.key)
+        one = order[first]
+        where = bucket_of(s.leads()[one], s.key[one], shared.value)
+        by = np.argsort(where, kind="stable")
+        cut = np.flatnonzero(np.diff(where[by], prepend=-1))
+        return order, first, where[by][cut].tolist(), [by[a:b] for a, b in zip(cut, np.append(cut[1:], len(by)), strict=True)]
+
     def send_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
@@ -184,39 +195,41 @@ def repeats_removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 s, ids = opened(row, hasher)
                 if not len(s.key):
                     continue
-                order, first = runs_of(s.key)
+                order, first, where, parts = parts_of(s)
                 doc = ids[s.doc[order]]
-                several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first) if len(first) else first
-                one = order[first]
-                where = bucket_of(s.leads()[one], s.key[one], shared.value)
                 # a key that several documents of the block have is shared whatever the other blocks say
-                by = np.argsort(where, kind="stable")
-                cut = np.flatnonzero(np.diff(where[by], prepend=-1))
-                parts = [by[a:b] for a, b in zip(cut, np.append(cut[1:], len(by)), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([int(where[p[0]]) for p in parts], pa.int32()), pa.array([row["block"]] * len(parts), pa.int64()), pa.array([s.key[one[p]].tobytes() for p in parts], pa.binary()), pa.array([np.packbits(several[p]).tobytes() for p in parts], pa.binary())], names=["bucket", "block", "keys", "several"])
+                several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+                short = (s.key[order[first]] >> np.uint64(32)).astype("<u4")
+                yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array([row["block"]] * len(parts), pa.int64()), pa.array([short[p].tobytes() for p in parts], pa.binary()), pa.array([np.packbits(several[p]).tobytes() for p in parts], pa.binary())], names=["bucket", "block", "keys", "several"])
 
     def shared_keys(t: pa.Table) -> pa.Table:
-        blocks_, keys = t.column("block").to_pylist(), [np.frombuffer(b, np.uint64) for b in t.column("keys").to_pylist()]
+        blocks_, keys = t.column("block").to_pylist(), [np.frombuffer(b, "<u4") for b in t.column("keys").to_pylist()]
         several = [np.unpackbits(np.frombuffer(b, np.uint8))[: len(k)] for b, k in zip(t.column("several").to_pylist(), keys, strict=True)]
         key, of = np.concatenate(keys), np.repeat(np.arange(len(keys)), [len(k) for k in keys])
         order, first = runs_of(key)
         size = np.diff(np.append(first, len(order)))
         yes = (size > 1) | np.maximum.reduceat(np.concatenate(several)[order], first).astype(bool)
-        yes = order[np.repeat(yes, size)]
-        yes = yes[np.argsort(of[yes], kind="stable")]
-        cut = np.searchsorted(of[yes], np.arange(len(keys) + 1))
-        return pa.table({"block": pa.array(blocks_, pa.int64()), "reply": pa.array([key[yes[a:b]].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())})
+        bits = np.empty(len(key), bool)
+        bits[order] = np.repeat(yes, size)
+        cut = np.searchsorted(of, np.arange(len(keys) + 1))
+        return pa.table({"block": pa.array(blocks_, pa.int64()), "bucket": t.column("bucket"), "reply": pa.array([np.packbits(bits[a:b]).tobytes() for a, b in zip(cut, cut[1:])], pa.binary())})
 
     keys = blocks.mapInArrow(send_keys, "bucket int, block long, keys binary, several binary")
-    replies = written(keys.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(shared_keys, "block long, reply binary"), "shared-keys")
+    replies = written(keys.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(shared_keys, "block long, bucket int, reply binary"), "shared-keys")
 
     def answered(replies: DataFrame) -> DataFrame:
-        return blocks.join(replies.groupBy("block").agg(F.collect_list("reply").alias("replies")), "block", "left")
-
-    def chosen(s: Suffixes, known: np.ndarray) -> np.ndarray:
-        """Runs whose key is among ``known`` (sorted)."""
-        at = np.searchsorted(known, s.key)
-        return np.flatnonzero(known[np.minimum(at, len(known) - 1)] == s.key) if len(known) else np.empty(0, np.int64)
+        return blocks.join(replies.groupBy("block").agg(F.collect_list(F.struct("bucket", "reply")).alias("replies")), "block", "left")
+
+    def chosen(s: Suffixes, replies: list) -> np.ndarray:
+        """Runs whose key the buckets have found to be shared."""
+        bits = {r["bucket"]: r["reply"] for r in replies}
+        if not bits:
+            return np.empty(0, np.int64)
+        order, first, where, parts = parts_of(s)
+        yes = np.zeros(len(first), bool)
+        for b, p in zip(where, parts, strict=True):
+            yes[p] = np.unpackbits(np.frombuffer(bits[b], np.uint8), count=len(p))
+        return np.sort(order[np.repeat(yes, np.diff(np.append(first, len(order))))])
 
     def send_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -225,7 +238,7 @@ def repeats_removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             for row in rows(batch):
                 s, ids = opened(row, hasher)
-                run = chosen(s, np.sort(np.frombuffer(b"".join(row["replies"] or []), np.uint64)))
+                run = chosen(s, row["replies"] or [])
                 if not len(run):
                     continue
                 name, doc = s.contexts(run), ids[s.doc[run]]
@@ -239,17 +252,16 @@ def repeats_removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                     r = one[p]
                     size = s.n[r] + length - 1
                     text = s.data[np.repeat(s.start[r] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-                    out.append({"bucket": int(where[p[0]]), "block": row["block"], "keys": s.key[r].tobytes(), "names": name[order[first]][p].tobytes(), "docs": least[p].tobytes(), "shape": np.stack([s.anchor[r] - s.start[r], s.n[r]]).astype(np.uint8).tobytes(), "text": shrink(text.tobytes())})
-                yield pa.RecordBatch.from_pylist(out, pa.schema([("bucket", pa.int32()), ("block", pa.int64()), *[(c, pa.binary()) for c in ("keys", "names", "docs", "shape", "text")]]))
+                    out.append({"bucket": int(where[p[0]]), "block": row["block"], "docs": shrink(least[p].tobytes()), "shape": np.stack([s.anchor[r] - s.start[r], s.n[r]]).astype(np.uint8).tobytes(), "text": shrink(text.tobytes())})
+                yield pa.RecordBatch.from_pylist(out, pa.schema([("bucket", pa.int32()), ("block", pa.int64()), *[(c, pa.binary()) for c in ("docs", "shape", "text")]]))
 
     def compare(t: pa.Table) -> pa.Table:
         """For each block's contexts: the least document that has it, and which of its strings a still smaller one has; left out where the block knows as much."""
         import zstandard
 
-        joined = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
-        key, name, doc = joined("keys", np.uint64), joined("names", np.uint64), joined("docs", np.int64)
-        data = np.frombuffer(b"".join(map(zstandard.ZstdDecompressor().decompress, t.column("text").to_pylist())), np.uint8)
-        each = np.array([len(b) // 8 for b in t.column("keys").to_pylist()])
+        opened_ = lambda c, kind: np.frombuffer(b"".join(map(zstandard.ZstdDecompressor().decompress, t.column(c).to_pylist())), kind)
+        doc, data = opened_("docs", np.int64), opened_("text", np.uint8)
+        each = np.array([len(b) // 2 for b in t.column("shape").to_pylist()])
         shape = np.concatenate([np.frombuffer(b, np.uint8).reshape(2, -1) for b in t.column("shape").to_pylist()], 1).astype(np.int64)
         place, n = shape
         size = n + length - 1
@@ -257,6 +269,8 @@ def repeats_removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         one, two = Hasher(), Hasher()
         two.codes = two.codes[::-1].copy()
         sums, sums2 = one.sums(data), two.sums(data)
+        key = one.ranges(sums, start + place, start + place + GRAM)
+        name = mixed(one.ranges(sums, start, start + size) ^ mixed(key + place.astype(np.uint64)))
         # equal contexts
         order, first = runs_of(key, name, two.ranges(sums2, start, start + size))
         least = np.minimum.reduceat(doc[order], first)
@@ -283,23 +297,25 @@ def repeats_removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             low[o] = np.repeat(np.minimum.reduceat(d[o], f), np.diff(np.append(f, len(o))))
             np.bitwise_or.at(mask, g[which], np.where(low < d, np.uint64(1) << i.astype(np.uint64), np.uint64(0)))
         matters = (mask[group] != 0) | (least[group] < doc)
-        out, at = [], 0
+        out, at, shrink = [], 0, zstandard.ZstdCompressor(level=1).compress
         for k in each:
             own = np.arange(at, at + k)[matters[at : at + k]]
-            out.append(np.stack([name[own], least[group[own]].view(np.uint64), mask[group[own]]]).tobytes())
+            out.append(shrink(np.stack([name[own], least[group[own]].view(np.uint64), mask[group[own]]]).tobytes()))
             at += k
-        return pa.table({"block": t.column("block"), "reply": pa.array(out, pa.binary())})
+        return pa.table({"block": t.column("block"), "bucket": t.column("bucket"), "reply": pa.array(out, pa.binary())})
 
-    contexts = answered(replies).mapInArrow(send_contexts, "bucket int, block long, keys binary, names binary, docs binary, shape binary, text binary")
-    judged = written(contexts.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(compare, "block long, reply binary"), "compared")
+    contexts = answered(replies).mapInArrow(send_contexts, "bucket int, block long, docs binary, shape binary, text binary")
+    judged = written(contexts.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(compare, "block long, bucket int, reply binary"), "compared")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        import zstandard
+
+        hasher, unpack = Hasher(), zstandard.ZstdDecompressor().decompress
         kind = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
         for batch in batches:
             for row in rows(batch):
                 s, ids = opened(row, hasher)
-                parts = [np.frombuffer(b, np.uint64).reshape(3, -1) for b in row["replies"] or []]
+                parts = [np.frombuffer(unpack(r["reply"]), np.uint64).reshape(3, -1) for r in row["replies"] or []]
                 name, least, mask = np.concatenate([np.empty((3, 0), np.uint64), *parts], 1)
                 depth = np.zeros(len(s.data) + length + 1, np.int32)
                 run_name, own = s.contexts(np.arange(len(s.start))), ids[s.doc]

@@ -207,6 +207,25 @@ def test_suffix_dedup(spark, seed):
     assert {r["doc_id"]: (bytes(r["kept"]), len(r["spans"])) for r in got} == want
 
 
+def test_suffix_dedup_answers_by_bits(spark, monkeypatch):
+    """Buckets answer each leading token with a bit, not with the token: a byte a row is enough for few of them."""
+    r = random.Random(3)
+    text = "".join(r.choices("abcdefghij klmnop", k=4000))
+    sent, written = {}, suffix_dedup.written
+
+    def counted(df, name):
+        out = written(df, name)
+        if name == "shared-keys":
+            sent["bytes"], sent["rows"] = out.agg(F.sum(F.length("reply")), F.count("*")).first()
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "written", counted)
+    got = suffix_dedup.repeats_removed(frame(spark, [(i, text) for i in range(8)]).repartition(4), block_bytes=4000).collect()
+    assert {x["doc_id"]: x["n_removed"] for x in got} == {i: 4000 if i else 0 for i in range(8)}
+    n_tokens = 8 * len(suffix_dedup.Suffixes(text.encode(), np.array([4000]), 50, suffix_dedup.Hasher()).key)
+    assert sent["bytes"] <= n_tokens / 8 + sent["rows"], (sent, n_tokens)
+
+
 def test_suffix_dedup_edges(edge, nothing):
     got = suffix_dedup.repeats_removed(edge).collect()
     assert len(got) == 9
