@@ -72,7 +72,7 @@ def frequency_classes(docs: DataFrame, text_col: str, k: int):
 
         hasher, total = Hasher(), np.zeros(1 << CELL_BITS, np.uint32)
         for batch in batches:
-            for _, part in slices(batch.column(0).to_pylist()):
+            for _, part in slices(t.as_py() for t in batch.column(0)):
                 np.add.at(total, (np.concatenate(shingle_sets(part, hasher, k)) >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
         if total.any():
             shrink = zstandard.ZstdCompressor(level=1).compress
@@ -363,7 +363,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         none = np.empty(0, np.int64)
         for batch in batches:
             n, h, bits, tokens, cold = [], [], [], [[] for _ in range(ORDERS)], [[] for _ in range(ORDERS)]
-            for _, part in slices(batch.to_pylist()):
+            for _, part in slices(t.as_py() for t in batch):
                 for s in shingle_sets(part, hasher, k):
                     n.append(len(s))
                     h.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
@@ -415,7 +415,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
         hasher = Hasher()
         for texts, digests in batches:
-            sets = [s.tobytes() for _, part in slices(texts.to_pylist()) for s in shingle_sets(part, hasher, k)]
+            sets = [s.tobytes() for _, part in slices(t.as_py() for t in texts) for s in shingle_sets(part, hasher, k)]
             yield pa.array([s if hashlib.blake2b(s, digest_size=16).digest() == h else None for s, h in zip(sets, digests.to_pylist(), strict=True)], pa.binary())
             released()
 
@@ -442,23 +442,23 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         t, cold, low = F.col(f"tokens_{order}"), F.col(f"cold_{order}"), F.explode(F.array(F.lit(True), F.lit(False)))
 
         def tokens(some, before) -> DataFrame:
-            """A row a token: its first 48 bits, and in the last 16 twice its band, and one if it is in the index prefix.
+            """A row a token: its first 48 bits, and ``at``: the row and in the last 8 bits twice its band, and one if it is in the index prefix.
 
             Tokens that differ in the other bits alone are of one cell, so the cells' bound holds for them together.
             """
             each = of.select("row", band.alias("band"), (n_index - before).alias("k"), F.posexplode(some).alias("pos", "t"))
             place = 2 * F.col("band") + (F.col("pos") < F.col("k")).cast("int")
-            return each.select(F.col("t").bitwiseOR(place.cast("long")).alias("token"), "row")
+            return each.select(F.shiftright("t", 16).alias("t"), F.shiftleft("row", 8).bitwiseOR(place.cast("long")).alias("at"))
 
         def twice(rows: DataFrame) -> DataFrame:
-            place = F.col("token").bitwiseAND(F.lit((1 << 16) - 1))
-            both = rows.select(F.shiftright("token", 16).alias("t"), "row", F.shiftright(place, 1).cast("int").alias("band"), (place % 2 == 1).alias("is_index"), low.alias("low"))
+            place = F.col("at").bitwiseAND(F.lit(255))
+            both = rows.select("t", F.shiftright("at", 8).alias("row"), F.shiftright(place, 1).cast("int").alias("band"), (place % 2 == 1).alias("is_index"), low.alias("low"))
             return both.withColumn("band", F.when(F.col("low"), F.col("band")).otherwise(F.col("band") - 1))
 
         facts = {"c": F.count("*"), "i": F.max(F.col("low") & F.col("is_index"))} | {f"x{x}": F.bit_xor(F.xxhash64(F.lit(x), "row", "low")) for x in (0, 1)}
         met, g = F.expr("c > 1 and i"), F.xxhash64("x0", "x1", "c").alias("g")
         here = Window.partitionBy("t", "band")
-        usual = twice(tokens(F.slice(t, F.lit(1), cold), F.lit(0)).repartition(F.shiftright("token", 16))).select("row", "low", *[f.over(here).alias(name) for name, f in facts.items()])
+        usual = twice(tokens(F.slice(t, F.lit(1), cold), F.lit(0)).repartition("t")).select("row", "low", *[f.over(here).alias(name) for name, f in facts.items()])
         frequent = twice(tokens(F.slice(t, cold + 1, F.size(t)), cold))
         counted = frequent.groupBy("t", "band").agg(*[f.alias(name) for name, f in facts.items()]).filter(met).select("t", "band", g)
         return written(usual.filter(met).select(g, "row", "low").union(frequent.join(counted, ["t", "band"]).select("g", "row", "low")).distinct(), "groups")

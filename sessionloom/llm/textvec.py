@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 
-def slices(texts: list, most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def slices(texts: Iterable, most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """(first index, UTF-8 texts) in runs of about ``most`` bytes; null is empty."""
     first, part, size = 0, [], 0
     for i, t in enumerate(texts):
