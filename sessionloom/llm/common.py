@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.functions.storage import written
 
+BATCH = 4 << 20  # bytes of an Arrow batch in ``small_batches``
+
 
 def dropped(df: DataFrame, names: list[str]) -> DataFrame:
     """``df`` without its columns called like an operator's own outputs: the operator's replace them."""
@@ -35,7 +40,29 @@ def released() -> None:
         trim(0)
 
 
-__all__ = ["dropped", "free_name", "fit_logistic", "held_out", "labelled_sample", "released", "table", "written"]
+def small_batches(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``f`` of a DataFrame, which runs all its jobs before it returns, with Arrow batches of about ``BATCH`` bytes or one row.
+
+    Spark's own bound is a number of rows, so a worker and the executor beside it would
+    hold whole batches of long texts; and an executor has more workers than cores, as
+    every Python step of a running stage has its own and idle ones are kept.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    @functools.wraps(f)
+    def bounded(docs: DataFrame, *args, **how) -> DataFrame:
+        conf = docs.sparkSession.conf
+        before = conf.get(key, None)
+        conf.set(key, str(BATCH))
+        try:
+            return f(docs, *args, **how)
+        finally:
+            conf.set(key, before) if before is not None else conf.unset(key)
+
+    return bounded
+
+
+__all__ = ["dropped", "free_name", "fit_logistic", "held_out", "labelled_sample", "released", "small_batches", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions.storage import discard
-from sessionloom.llm.common import released, table, written
+from sessionloom.llm.common import released, small_batches, table, written
 from sessionloom.llm.textvec import Hasher, Texts, mixed, slices
 from sessionloom.operators.graph import components
 
@@ -17,6 +17,7 @@ CELL_BITS = 22  # of a shingle's hash: its counter
 SLICES = 64  # of the counters, each summed apart
 HOT = 128  # classes from here on: cells that hold more than so many times the mean cell
 ORDERS = 3
+PART = 1 << 18  # bytes of text whose words are hashed at a time: a few dozen bytes of memory each
 
 
 def shingle_sets(texts: list[bytes], hasher: Hasher, k: int) -> list:
@@ -72,7 +73,7 @@ def frequency_classes(docs: DataFrame, text_col: str, k: int):
 
         hasher, total = Hasher(), np.zeros(1 << CELL_BITS, np.uint32)
         for batch in batches:
-            for _, part in slices(t.as_py() for t in batch.column(0)):
+            for _, part in slices((t.as_py() for t in batch.column(0)), PART):
                 np.add.at(total, (np.concatenate(shingle_sets(part, hasher, k)) >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
         if total.any():
             shrink = zstandard.ZstdCompressor(level=1).compress
@@ -323,6 +324,7 @@ class Members:
                 yield both[0], both[1], more
 
 
+@small_batches
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, block: int = 256) -> DataFrame:
     """(id, n_shingles, component_id) of every row: components of the links with 100 * intersection >= percent * union.
 
@@ -363,7 +365,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         none = np.empty(0, np.int64)
         for batch in batches:
             n, h, bits, tokens, cold = [], [], [], [[] for _ in range(ORDERS)], [[] for _ in range(ORDERS)]
-            for _, part in slices(t.as_py() for t in batch):
+            for _, part in slices((t.as_py() for t in batch), PART):
                 for s in shingle_sets(part, hasher, k):
                     n.append(len(s))
                     h.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
@@ -386,7 +388,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
         hasher = Hasher()
         for batch in batches:
-            yield pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for _, part in slices(batch.to_pylist()) for s in shingle_sets(part, hasher, k)], pa.binary())
+            yield pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for _, part in slices((t.as_py() for t in batch), PART) for s in shingle_sets(part, hasher, k)], pa.binary())
             released()
 
     @F.arrow_udf("boolean")
@@ -402,7 +404,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             for at in range(0, len(a), 200):
                 left, right = a[at : at + 200].to_pylist(), b[at : at + 200].to_pylist()
                 texts, sets = list(dict.fromkeys([*left, *right])), {}
-                for first, part in slices(texts):
+                for first, part in slices(texts, PART):
                     sets.update(zip(texts[first : first + len(part)], shingle_sets(part, hasher, k), strict=True))
                 out += [similar(sets[x], sets[y]) for x, y in zip(left, right, strict=True)]
             yield pa.array(out, pa.bool_())
@@ -415,7 +417,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
         hasher = Hasher()
         for texts, digests in batches:
-            sets = [s.tobytes() for _, part in slices(t.as_py() for t in texts) for s in shingle_sets(part, hasher, k)]
+            sets = [s.tobytes() for _, part in slices((t.as_py() for t in texts), PART) for s in shingle_sets(part, hasher, k)]
             yield pa.array([s if hashlib.blake2b(s, digest_size=16).digest() == h else None for s, h in zip(sets, digests.to_pylist(), strict=True)], pa.binary())
             released()
 

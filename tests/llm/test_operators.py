@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -306,6 +307,27 @@ def test_jaccard_join_links_across_blocks(spark):
     assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == jaccard_brute_force(rows)
 
 
+def test_jaccard_join_bounds_batches(spark, monkeypatch):
+    """Whatever runs within the operator gets long texts in batches of about ``common.BATCH`` bytes; the session's bound is back afterwards."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    docs = frame(spark, [(i, f"w{i} " * 100_000) for i in range(40)]).coalesce(1)
+    sizes, written = [], jaccard_join.written
+
+    def bytes_of(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    def looked(df, name):
+        sizes.extend(r[0] for r in docs.select("text").mapInArrow(bytes_of, "n long").collect() if name == "signatures")
+        return written(df, name)
+
+    monkeypatch.setattr(jaccard_join, "written", looked)
+    assert jaccard_join.near_duplicates(docs).count() == 40
+    assert max(sizes) <= 2 * common.BATCH < sum(sizes), sizes
+    assert spark.conf.get(key) == before
+
+
 def test_jaccard_join_edges(edge, nothing):
     got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(edge).collect()}
     assert got == {1: 1, 2: 2, 3: 3, None: None, 5: 5, 6: 6, 7: 6, 8: 8}
