@@ -512,6 +512,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
         return members.repartition("g", "bi", "bj").sortWithinPartitions("g", "bi", "bj").mapInArrow(compare, schema)
 
+    def once(members: DataFrame) -> DataFrame:
+        """Of blocks with the same members, on the same sides, one: near copies meet in many groups, and each would get their sets."""
+        block = ["g", "bi", "bj"]
+        sides = members.withColumn("own", F.when(F.col("bi") == F.col("bj"), zero).otherwise((F.col("own") == F.col("bj")).cast("long")))
+        sides = written(sides.withColumn("across", (F.col("bi") != F.col("bj")).cast("long")), "sides")
+        facts = [F.bit_xor(F.xxhash64(F.lit(x), "row", "low", "own", "across")).alias(f"x{x}") for x in (0, 1)]
+        alike = sides.groupBy(*block).agg(F.count("*").alias("c"), *facts).filter("c > 1").select(*block, F.xxhash64("x0", "x1", "c").alias("of"))
+        named = sides.join(alike, block).select(F.col("of").alias("g"), "row", "low", "comp", "own", zero.alias("bi"), F.col("across").alias("bj"), "n")
+        return named.distinct()
+
     def best(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         """Pairs (a, b) of rows, and the groups (g) of which more pass."""
         for a, b, more in Members(batch, percent).candidates():
@@ -558,7 +568,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     others = F.when(~split, F.array(zero)).when(is_top, F.sequence(zero, rest - 1)).otherwise(F.sequence(zero, rest + large - 1))
     second = named_rows.join(top, "g").withColumn("own", own).withColumn("other", F.explode(others))
     second = second.select("g", "row", "low", "comp", "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"))
-    second = written(by_group(second.join(bodies, "row"), may_link, "g long, row long, low boolean, comp long, own long, bi long, bj long, n long"), "open")
+    second = written(once(by_group(second.join(bodies, "row"), may_link, "g long, row long, low boolean, comp long, own long, bi long, bj long, n long")), "open")
     wanted = written(known.join(second.select("row").distinct(), "row", "left_semi").select("row", "id", "h"), "wanted")
     sets = source.filter(maybe_in("id", wanted)).join(wanted, "id").select("row", set_of("text", "h").alias("tokens")).filter("tokens is not null").groupBy("row").agg(F.first("tokens").alias("tokens"))
     more = written(by_group(second.join(written(sets, "sets"), "row"), joining, "a long, b long").distinct(), "links")

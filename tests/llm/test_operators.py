@@ -328,6 +328,30 @@ def test_jaccard_join_bounds_batches(spark, monkeypatch):
     assert spark.conf.get(key) == before
 
 
+def test_jaccard_join_compares_the_same_rows_once(spark, monkeypatch):
+    """Near copies meet in many groups; of those of which the same rows may link, one gets their sets."""
+    r = random.Random(7)
+    base, rows = [f"w{i}" for i in range(200)], []
+    for i in range(400):
+        own = list(base)
+        for at in r.sample(range(200), 3 if i % 8 else 1):
+            own[at] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    blocks, written = collections.defaultdict(set), jaccard_join.written
+
+    def looked(df, name):
+        out = written(df, name)
+        for x in out.collect() if name == "open" else ():
+            blocks[x["g"], x["bi"], x["bj"]].add((x["row"], x["low"], x["own"] == x["bj"]))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "written", looked)
+    got = jaccard_join.near_duplicates(frame(spark, rows).repartition(4), block=32).collect()
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == jaccard_brute_force(rows)
+    seen = [(k[1] == k[2], frozenset(v)) for k, v in blocks.items()]
+    assert seen and len(set(seen)) == len(seen)
+
+
 def test_jaccard_join_edges(edge, nothing):
     got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(edge).collect()}
     assert got == {1: 1, 2: 2, 3: 3, None: None, 5: 5, 6: 6, 7: 6, 8: 8}
